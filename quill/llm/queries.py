@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quill.llm.jaccard import similar_documents
 from quill.llm.leaks import decontaminate
 from quill.llm.lines import line_dedup
 from quill.llm.packing import pack
@@ -33,6 +34,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return similar_documents(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -44,6 +50,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op7_transport_stream": op7_transport_stream,
     "op8_warc": op8_warc,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
 }
 
