@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quill.llm.jaccard import similar_documents
+from quill.llm.language import language_id
 from quill.llm.leaks import decontaminate
 from quill.llm.lines import line_dedup
 from quill.llm.packing import pack
@@ -26,6 +27,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
@@ -48,6 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
+    "op3_language_id": op3_language_id,
     "op7_transport_stream": op7_transport_stream,
     "op8_warc": op8_warc,
     "op9_jaccard_join": op9_jaccard_join,
