@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quill.llm.htmltext import main_text
 from quill.llm.jaccard import similar_documents
 from quill.llm.language import language_id
 from quill.llm.leaks import decontaminate
@@ -32,6 +33,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
+    "op4_html_text": op4_html_text,
     "op7_transport_stream": op7_transport_stream,
     "op8_warc": op8_warc,
     "op9_jaccard_join": op9_jaccard_join,
