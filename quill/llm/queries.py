@@ -11,6 +11,7 @@ from quill.llm.language import language_id
 from quill.llm.leaks import decontaminate
 from quill.llm.lines import line_dedup
 from quill.llm.packing import pack
+from quill.llm.quality import quality
 from quill.llm.transport import media_columns
 from quill.llm.warc import warc_round_trip
 
@@ -37,6 +38,11 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality(docs).select("doc_id", "votes", "posterior", "quality", "keep")
+
+
 def op7_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
@@ -61,6 +67,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
     "op4_html_text": op4_html_text,
+    "op6_quality": op6_quality,
     "op7_transport_stream": op7_transport_stream,
     "op8_warc": op8_warc,
     "op9_jaccard_join": op9_jaccard_join,
