@@ -12,6 +12,7 @@ from quill.llm.leaks import decontaminate
 from quill.llm.lines import line_dedup
 from quill.llm.packing import pack
 from quill.llm.quality import quality
+from quill.llm.repeats import without_repeats
 from quill.llm.transport import media_columns
 from quill.llm.warc import warc_round_trip
 
@@ -38,6 +39,11 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality(docs).select("doc_id", "votes", "posterior", "quality", "keep")
@@ -67,6 +73,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
     "op4_html_text": op4_html_text,
+    "op5_repeats": op5_repeats,
     "op6_quality": op6_quality,
     "op7_transport_stream": op7_transport_stream,
     "op8_warc": op8_warc,
