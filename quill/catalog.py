@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from quill.plans import analytics
+
+QUERIES: dict = {**analytics.PLANS}
