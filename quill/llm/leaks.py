@@ -55,8 +55,9 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     second = index.select("d", "pos", F.col("term").alias("other"))
     both = first.where("other is not null").join(second, ["d", "pos", "other"]).unionByName(first.where("other is null")).select("d", "start", "w", "len")
     starts, _ = written(both.distinct(), "window-starts")
-    texts = docs.join(starts.select("d").distinct(), "d", "left_semi").select("d", words_of(F.col("text")).alias("all"))
-    found = starts.join(distinct, "w").join(texts, "d").where(F.slice("all", F.col("start") + 1, F.col("len")) == F.col("words")).select("d", "start", "w", "len")
+    # the documents with starts grow with the corpus: sort and merge at every size, never a broadcast
+    texts = docs.join(starts.select("d").distinct().hint("merge"), "d", "left_semi").select("d", words_of(F.col("text")).alias("all"))
+    found = starts.join(distinct, "w").join(texts.hint("merge"), "d").where(F.slice("all", F.col("start") + 1, F.col("len")) == F.col("words")).select("d", "start", "w", "len")
     return written(found.distinct(), "phrases")[0], windows
 
 
