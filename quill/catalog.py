@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quill.plans import analytics
+from quill.plans import analytics, learning, risk
 
-QUERIES: dict = {**analytics.PLANS}
+QUERIES: dict = {**analytics.PLANS, **learning.PLANS, **risk.PLANS}
