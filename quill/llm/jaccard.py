@@ -1,20 +1,18 @@
 """Exact Jaccard join of documents on word shingles by vertical partitioning.
 
-Shingles have one global order: rarest words first, by a word count table of fixed size over the
-whole corpus, ties by hash. Two sets that are similar enough share a shingle of their prefixes in
+Shingles have one global order: by the count of their rarest word, from a table of fixed size over
+the whole corpus, ties by hash. Two sets that are similar enough share a shingle of their prefixes in
 that order, so only prefixes are dealt out to find candidates. For candidates the order of hashes
 is cut into fragments; partial overlaps are counted per fragment and summed per pair.
 
-Groups of documents that share a prefix shingle are not expanded into all pairs: each member is
-compared with the group's smallest first, and only members whom the verified links leave in
-different components are then compared with each other.
+Groups of documents that share a prefix shingle are not expanded into all pairs: members are
+compared with one of them at a time, and only those whom the verified links leave in different
+components are at last compared with each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +25,10 @@ WORDS, SIMILARITY = 5, 75
 COUNTERS = 1 << 20
 SLICES = 64
 FRAGMENTS = 4
+#: Rounds of comparisons with one member of each group, at most, before all open pairs are compared.
+ROUNDS = 10
+#: Larger groups are compared in blocks of so many documents and bytes of hashes.
+SMALL, BLOCK_ROWS, BLOCK_BYTES = 32, 1024, 1 << 23
 LAST_ID = (1 << 63) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -53,7 +55,10 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, weights: np.ndarray | None = None, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Row, hash and weight of every shingle (with repeats); a row of fewer words is one shingle."""
+    """Row, hash and weight of every shingle (with repeats); a row of fewer words is one shingle.
+
+    The weight is that of the rarest word: no shingle is in more places than its rarest word.
+    """
     rows = np.repeat(np.arange(len(counts)), counts)
     first = np.cumsum(counts) - counts
     m = max(0, len(hashes) - n + 1)
@@ -63,16 +68,18 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, weights: np.ndarray | None
     whole = (rows[:m] == rows[n - 1 : n - 1 + m]) if m else np.zeros(0, bool)
     row, hashed = rows[:m][whole], mixed(acc[whole] + np.uint64(n))
     own = weights[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.int64) if weights is not None else None
-    heavy = np.convolve(own, np.ones(n, np.int64), "valid")[whole] if own is not None and m else np.zeros(len(row), np.int64)
+    heavy = np.zeros(len(row), np.int64)
+    if own is not None and m:
+        heavy = np.min([own[k : k + m] for k in range(n)], axis=0)[whole]
     short = np.flatnonzero((counts > 0) & (counts < n))
     if len(short):
         extra = np.zeros(len(short), np.uint64)
-        load = np.zeros(len(short), np.int64)
+        load = np.full(len(short), 255, np.int64)
         for k in range(n - 1):
             there = counts[short] > k
             extra[there] += hashes[first[short[there]] + k] * _FACTORS[k]
             if own is not None:
-                load[there] += own[first[short[there]] + k]
+                load[there] = np.minimum(load[there], own[first[short[there]] + k])
         row, hashed, heavy = np.concatenate([row, short]), np.concatenate([hashed, mixed(extra + counts[short].astype(np.uint64))]), np.concatenate([heavy, load])
     return row, hashed, heavy if own is not None else None
 
@@ -105,7 +112,8 @@ def _sequences_and_counts(rows: DataFrame) -> DataFrame:
                 at = np.arange(len(hashes)) - np.repeat(first, counts)
                 sums = []
                 for seed in (1, 2):
-                    run = np.concatenate([[0], np.cumsum(mixed(hashes + mixed(at.astype(np.uint64) * np.uint64(2) + np.uint64(seed << 40))))]).astype(np.uint64)
+                    run = np.zeros(len(hashes) + 1, np.uint64)
+                    np.cumsum(mixed(hashes + mixed(at.astype(np.uint64) * np.uint64(2) + np.uint64(seed << 40))), out=run[1:])
                     sums.append((run[first + counts] - run[first]).view(np.int64))
                 n = b.num_rows
                 yield pa.RecordBatch.from_arrays([b.column("d"), b.column("v"), pa.array(sums[0]), pa.array(sums[1]), pa.array(counts, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
@@ -136,97 +144,123 @@ def _weights(counted: DataFrame) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, weights: np.ndarray, similarity: int, n: int, buckets: int) -> DataFrame:
-    """A row per document (d, v, size), and by bucket the prefix shingles of many documents in one row (hashes, docs)."""
+    """A row per document (d, v, size), and by bucket the prefix shingles of many documents in one row (hashes, docs, set sizes, places in the order)."""
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["d", "v", "size", "bucket", "hashes", "docs"]
+        names = ["d", "v", "size", "bucket", "hashes", "docs", "sizes", "places"]
         for batch in it:
             for b in steps(batch, "text"):
                 row, hashed, load = shingles(*words(b.column("text")), shared.value, n)
-                row, hashed = sets(row, hashed, np.minimum(load, 1023).astype(np.uint64) << np.uint64(54) | hashed >> np.uint64(10))
+                row, hashed = sets(row, hashed, load.astype(np.uint64) << np.uint64(56) | hashed >> np.uint64(8))
                 size = np.bincount(row, minlength=b.num_rows)
                 m = b.num_rows
-                yield pa.RecordBatch.from_arrays([b.column("d"), b.column("v"), pa.array(size, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([b.column("d"), b.column("v"), pa.array(size, pa.int64()), pa.nulls(m, pa.int32())] + [pa.nulls(m, pa.binary())] * 4, names)
                 length = size - -(-size * similarity // 100) + 1
                 at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
                 keep = at < length[row]
-                row, hashed = row[keep], hashed[keep]
+                row, hashed, at = row[keep], hashed[keep], at[keep]
                 bucket = (hashed >> np.uint64(20)) % np.uint64(buckets)
                 order = np.argsort(bucket.astype(np.uint32), kind="stable")
                 ids = b.column("d").to_numpy(zero_copy_only=False)[row[order]]
                 hashed, bucket = hashed[order], bucket[order]
+                sizes, places = size[row[order]].astype(np.uint32), at[order].astype(np.uint32)
                 own, first = np.unique(bucket, return_index=True)
                 stop = np.append(first[1:], len(bucket))
                 k = len(own)
-                blobs = [[x[i:j].tobytes() for i, j in zip(first, stop, strict=True)] for x in (hashed, ids)]
+                blobs = [[x[i:j].tobytes() for i, j in zip(first, stop, strict=True)] for x in (hashed, ids, sizes, places)]
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 3 + [pa.array(own, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names)
 
-    return rows.mapInArrow(batches, "d bigint, v bigint, size bigint, bucket int, hashes binary, docs binary")
+    return rows.mapInArrow(batches, "d bigint, v bigint, size bigint, bucket int, hashes binary, docs binary, sizes binary, places binary")
 
 
-def _groups(entries: DataFrame) -> DataFrame:
-    """g, hub, d: the documents that share a prefix shingle, equal groups of a bucket once."""
+def _groups(entries: DataFrame, similarity: int) -> DataFrame:
+    """g, d: the documents that share a prefix shingle, equal groups of a bucket once.
+
+    A document leaves a group without another of a size near enough to its own. A group of two
+    also needs that what follows the shared shingle can still make up the overlap.
+    """
 
     def found(table):
-        h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")])
-        d = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("docs")])
-        order = np.argsort(h)
-        h, d = h[order], d[order]
+        columns = [np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in (("hashes", np.uint64), ("docs", np.int64), ("sizes", np.uint32), ("places", np.uint32))]
+        order = np.argsort(columns[0])
+        h = columns[0][order]
         same = np.zeros(len(h) + 1, bool)
         same[1:-1] = h[1:] == h[:-1]
-        many = same[1:] | same[:-1]
-        h, d = h[many], d[many]
+        many = order[same[1:] | same[:-1]]
+        h, d, n, i = (c[many] for c in columns)
+        n, i = n.astype(np.int64), i.astype(np.int64)
+        order = np.lexsort((d, n, h))
+        h, d, n, i = h[order], d[order], n[order], i[order]
+        near = np.zeros(len(h), bool)  # the next larger set of the group is near enough
+        near[:-1] = (h[1:] == h[:-1]) & (n[:-1] * 100 >= n[1:] * similarity)
+        keep = near.copy()
+        keep[1:] |= near[:-1]
+        h, d, n, i = h[keep], d[keep], n[keep], i[keep]
         order = np.lexsort((d, h))
-        h, d = h[order], d[order]
+        h, d, n, i = h[order], d[order], n[order], i[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        h, d = h[new], d[new]
+        h, d, n, i = h[new], d[new], n[new], i[new]
         if not len(h):
-            return pa.table({c: pa.array([], pa.int64()) for c in ("g", "hub", "d")})
+            return pa.table({c: pa.array([], pa.int64()) for c in ("g", "d")})
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(first, len(h)))
         g = np.add.reduceat(mixed(d.astype(np.uint64) + np.uint64(77)), first) + size.astype(np.uint64)
+        usable = size > 1
+        two = first[size == 2]
+        both, rest = n[two] + n[two + 1], np.minimum(n[two] - i[two], n[two + 1] - i[two + 1])
+        usable[size == 2] = rest * (100 + similarity) >= both * similarity
+        first, size, g = first[usable], size[usable], g[usable]
         _, one = np.unique(g, return_index=True)
-        keep = np.zeros(len(first), bool)
-        keep[one] = True
-        keep &= size > 1
-        inside = np.repeat(keep, size)
-        return pa.table({"g": np.repeat(g.view(np.int64), size)[inside], "hub": np.repeat(d[first], size)[inside], "d": d[inside]})
+        at = np.concatenate([np.zeros(0, np.int64), *(np.arange(f, f + k) for f, k in zip(first[one], size[one], strict=True))])
+        return pa.table({"g": np.repeat(g[one].view(np.int64), size[one]), "d": d[at]})
 
-    return entries.groupBy("bucket").applyInArrow(found, "g bigint, hub bigint, d bigint")
+    return entries.groupBy("bucket").applyInArrow(found, "g bigint, d bigint")
 
 
 def _segments(rows: DataFrame, n: int) -> DataFrame:
-    """d, v, fragment, part: the sorted hashes of each set, cut at fixed places of the order of hashes."""
+    """d, fragment, m, part: the m sorted hashes of each set in each fragment of the order of hashes."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for b in steps(batch, "text"):
                 row, hashed, _ = shingles(*words(b.column("text")), None, n)
                 row, hashed = sets(row, hashed, hashed)
-                key = row * FRAGMENTS + (hashed >> np.uint64(62)).astype(np.int64) * FRAGMENTS // 4
+                key = row * FRAGMENTS + (hashed >> np.uint64(62)).astype(np.int64)
                 cuts = np.searchsorted(key, np.arange(b.num_rows * FRAGMENTS + 1))
                 parts = [hashed[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(np.repeat(np.arange(b.num_rows), FRAGMENTS))) for c in ("d", "v")] + [pa.array(np.tile(np.arange(FRAGMENTS), b.num_rows), pa.int32()), pa.array(parts, pa.binary())], ["d", "v", "fragment", "part"])
+                yield pa.RecordBatch.from_arrays([b.column("d").take(pa.array(np.repeat(np.arange(b.num_rows), FRAGMENTS))), pa.array(np.tile(np.arange(FRAGMENTS), b.num_rows), pa.int32()), pa.array(np.diff(cuts), pa.int64()), pa.array(parts, pa.binary())], ["d", "fragment", "m", "part"])
 
-    return rows.mapInArrow(batches, "d bigint, v bigint, fragment int, part binary")
+    return rows.mapInArrow(batches, "d bigint, fragment int, m bigint, part binary")
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame:
-    """Of the pairs (a, b) those that are similar enough, by overlaps counted per fragment and summed."""
+def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """a, b, fragment, both, least: shared hashes and the smaller count, per fragment of ``segments``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in it:
             both = [len(np.intersect1d(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), assume_unique=True)) for p, q in zip(x.column("p"), x.column("q"), strict=True)]
-            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(both, pa.int64())], ["a", "b", "both"])
+            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(both, pa.int64()), x.column("least")], ["a", "b", "both", "least"])
+
+    own, hub = segments.select(F.col("d").alias("b"), "fragment", F.col("part").alias("q"), F.col("m").alias("mq")), segments.select(F.col("d").alias("a"), "fragment", F.col("part").alias("p"), F.col("m").alias("mp"))
+    met = pairs.select("a", "b").join(own, "b").join(hub, ["a", "fragment"]).select("a", "b", "p", "q", F.least("mp", "mq").alias("least"))
+    return met.mapInArrow(batches, "a bigint, b bigint, both bigint, least bigint")
+
+
+def _verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame:
+    """Of the pairs (a, b) those that are similar enough, by overlaps counted per fragment and summed.
 
+    Pairs whose first fragment leaves too little to reach the similarity stop there.
+    """
     fits = pairs.join(sizes.select(F.col("d").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("d").alias("b"), F.col("size").alias("nb")), "b")
     fits = fits.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity) & (F.least("na", "nb") > 0))
-    own, hub = segments.select(F.col("d").alias("b"), "fragment", F.col("part").alias("q")), segments.select(F.col("d").alias("a"), "fragment", F.col("part").alias("p"))
-    met = fits.select("a", "b").join(own, "b").join(hub, ["a", "fragment"]).select("a", "b", "p", "q")
-    overlaps = met.mapInArrow(batches, "a bigint, b bigint, both bigint").groupBy("a", "b").agg(F.sum("both").alias("both"))
-    return fits.join(overlaps, ["a", "b"]).where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * similarity).select("a", "b")
+    enough = lambda both: both * (100 + similarity) >= (F.col("na") + F.col("nb")) * similarity
+    begun = _overlaps(fits, segments.where("fragment = 0")).withColumnsRenamed({"both": "begun", "least": "least0"})
+    # what the other fragments share at most is what the smaller set has outside the first
+    open_, _ = written(fits.join(begun, ["a", "b"]).where(enough(F.col("begun") + F.least("na", "nb") - F.least(F.col("least0"), F.least("na", "nb")))), "open-pairs")
+    rest = _overlaps(open_, segments.where("fragment > 0")).groupBy("a", "b").agg(F.sum("both").alias("both"))
+    return open_.join(rest, ["a", "b"]).where(enough(F.col("both") + F.col("begun"))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -247,38 +281,130 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _placed(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """g, d, c of the groups whose documents are not yet in one component."""
+    if labels is None:
+        return groups.withColumn("c", F.col("d"))
+    placed = groups.join(labels, "d", "left").select("g", "d", F.coalesce("c", "d").alias("c"))
+    split = placed.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("g")
+    return placed.join(split, "g")
+
+
+def _links(groups: DataFrame, segments: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) that connect all documents of the groups that similar pairs connect.
+
+    Each round compares one member of the largest component of each group with the group's other
+    components, another member each time. When rounds find little, or few pairs are left, all
+    pairs across components that no round has compared are.
+    """
+    tested: DataFrame | None = None
+    links: DataFrame | None = None
+    labels: DataFrame | None = None
+    for turn in range(ROUNDS):
+        placed, _ = written(_placed(groups, labels), "open-groups")
+        counts = placed.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"), F.min_by("d", F.xxhash64("d", F.lit(turn))).alias("hub"))
+        by_group, _ = written(counts.groupBy("g").agg(F.max_by(F.struct("c", "hub"), F.struct("k", -F.col("c"))).alias("top"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("inside")).select("g", "top.c", "top.hub", "n", "inside"), "group-hubs")
+        left = by_group.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2).alias("pairs")).first()
+        if not left["rows"]:
+            return links
+        few = turn > 0 and left["pairs"] <= 2 * left["rows"]
+        if few or turn == ROUNDS - 1:
+            break
+        stars = placed.join(by_group.select("g", F.col("c").alias("top"), "hub"), "g").where("c <> top").select(F.least("hub", "d").alias("a"), F.greatest("hub", "d").alias("b")).distinct()
+        fresh, _ = written(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        new, _ = written(_verified(fresh, segments, sizes, similarity), "links")
+        found = new.count()
+        links = new if links is None else links.unionByName(new)
+        if found:
+            labels = components(links)
+        if turn > 0 and found * 50 < fresh.count():
+            break
+    open_, _ = written(_placed(groups, labels), "open-groups")
+    large = open_.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).select("g")
+    small = open_.join(large, "g", "left_anti")
+    others = small.alias("x").join(small.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c"))).select(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")).distinct()
+    last, _ = written(_verified(others.join(tested, ["a", "b"], "left_anti"), segments, sizes, similarity), "links")
+    blocks, _ = written(_block_links(open_.join(large, "g"), segments, sizes, similarity), "links")
+    return links.unionByName(last).unionByName(blocks)
+
+
+def _block_links(open_: DataFrame, segments: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame:
+    """Links across the components of large groups (g, d, c), without rows for pairs.
+
+    Groups with common documents are taken together and cut into blocks of a bounded size; each
+    two blocks meet in one task, which adds up the overlaps of its documents fragment by fragment
+    and gives, for each document, one link into each component that it is similar to.
+    """
+    hubs = open_.groupBy("g").agg(F.min("d").alias("a"))
+    family = components(open_.join(hubs, "g").select("a", F.col("d").alias("b")).distinct())
+    members, _ = written(open_.select("d", "c").distinct().join(family.select("d", F.col("c").alias("f")), "d").join(sizes, "d"), "families")
+    cuts = members.groupBy("f").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("cuts"))
+    dealt = members.join(cuts, "f").withColumn("own", F.pmod(F.xxhash64("d"), F.col("cuts")).cast("int"))
+    dealt = dealt.select("f", "d", "c", "size", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+    dealt = dealt.select("f", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "d", "c", "size", "own")
+
+    def met(table):
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        d, c, size, own = (table.column(x).to_numpy() for x in ("d", "c", "size", "own"))
+        ids, first, at = np.unique(d, return_index=True, return_inverse=True)
+        c, size, own = c[first], size[first], own[first]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        place = np.zeros((2, len(ids)), np.int64)
+        place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+        both = np.zeros((len(left), len(right)), np.float32)
+        fragment = table.column("fragment").to_numpy()
+        for f in range(FRAGMENTS):
+            rows = np.flatnonzero(fragment == f)
+            parts = [np.frombuffer(table.column("part")[int(r)].as_buffer(), np.uint64) for r in rows]
+            doc = np.repeat(at[rows], [len(x) for x in parts])
+            hashed, column = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_inverse=True)
+            many = np.bincount(column, minlength=len(hashed)) > 1
+            keep, rank = many[column], np.cumsum(many) - 1
+            doc, column = doc[keep], rank[column[keep]]
+            order = np.argsort(column, kind="stable")
+            doc, column = doc[order], column[order]
+            for low in range(0, int(many.sum()), 1024):
+                k = slice(*np.searchsorted(column, (low, low + 1024)))
+                x, y = np.zeros((len(left), 1024), np.float32), np.zeros((len(right), 1024), np.float32)
+                for block, side, wanted in ((x, 0, i), (y, 1, j)):
+                    mine = own[doc[k]] == wanted
+                    block[place[side, doc[k][mine]], column[k][mine] - low] = 1
+                both += x @ y.T
+        total = size[left][:, None] + size[right][None, :]
+        p, q = np.nonzero((both.astype(np.int64) * (100 + similarity) >= total * similarity) & (c[left][:, None] != c[right][None, :]))
+        _, one = np.unique(np.stack([left[p], np.unique(c, return_inverse=True)[1][right[q]]]), axis=1, return_index=True)
+        a, b = ids[left[p[one]]], ids[right[q[one]]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    rows = dealt.join(segments.select("d", "fragment", "part"), "d")
+    return rows.groupBy("f", "i", "j").applyInArrow(met, "a bigint, b bigint").distinct()
+
+
 def linked(docs: DataFrame, similarity: int = SIMILARITY, n: int = WORDS) -> DataFrame:
     """d, v, size, c per row of ``docs``: set size and component; v tells rows of one doc_id apart."""
     spark = docs.sparkSession
     rows = _keyed(docs)
     counted, counted_path = written(_sequences_and_counts(rows), "word-counts")
     weights = _weights(counted)
-    each = counted.where("slice is null")
-    classes, _ = written(each.where("n_words > 0").groupBy("s1", "s2").agg(F.min(F.struct("d", "v")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("s1", "s2", F.col("first.d").alias("rep"), F.col("first.v").alias("rep_v")), "classes")
-    copies, _ = written(each.where("n_words > 0").join(classes, ["s1", "s2"]).select("d", "v", "rep", "rep_v").distinct(), "copies")
+    each = counted.where("slice is null and n_words > 0")
+    classes, _ = written(each.groupBy("s1", "s2").agg(F.min(F.struct("d", "v")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("s1", "s2", F.col("first.d").alias("rep"), F.col("first.v").alias("rep_v")), "classes")
+    copies, _ = written(each.join(classes, ["s1", "s2"]).where("d <> rep or v <> rep_v").select("d", "v", "rep", "rep_v").distinct(), "copies")
     dropped(spark, counted_path)
-    rest = rows.join(copies.where("d <> rep or v <> rep_v").select("d", "v"), ["d", "v"], "left_anti")
+    rest = rows.join(copies.select("d", "v"), ["d", "v"], "left_anti")
     prefixes, prefix_path = written(_prefixes(rest, weights, similarity, n, partitions(spark)), "prefixes")
     sizes, _ = written(prefixes.where("bucket is null").select("d", "v", "size").distinct(), "set-sizes")
-    groups, _ = written(_groups(prefixes.where("bucket is not null").select("bucket", "hashes", "docs")), "groups")
+    groups, _ = written(_groups(prefixes.where("bucket is not null").select("bucket", "hashes", "docs", "sizes", "places"), similarity), "groups")
     dropped(spark, prefix_path)
-    members = groups.select("d").distinct()
-    segments, _ = written(_segments(rows.join(copies.where("d <> rep or v <> rep_v").select("d", "v"), ["d", "v"], "left_anti").join(members, "d", "left_semi"), n), "segments")
-    # rows of one doc_id count as one document with all of its shingles linked; their sets stay apart
-    largest = sizes.groupBy("d").agg(F.max("size").alias("size"))
-    one = segments.groupBy("d", "fragment").agg(F.max("part").alias("part"))
-    stars, _ = written(groups.where("d <> hub").select(F.col("hub").alias("a"), F.col("d").alias("b")).distinct(), "pairs")
-    links, _ = written(_verified(stars, one, largest, similarity), "links")
-    joined = components(links)
-    placed = groups.select("g", "d").distinct().join(joined, "d", "left").select("g", "d", F.coalesce("c", "d").alias("c"))
-    split = placed.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("g")
-    open_, _ = written(placed.join(split, "g"), "open-groups")
-    others = open_.alias("x").join(open_.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c"))).select(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more, _ = written(_verified(others, one, largest, similarity), "links")
+    # rows of one doc_id are one document: its largest set stands for it
+    own, _ = written(sizes.join(groups.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.max(F.struct("size", "v")).alias("s")).select("d", "s.size", "s.v"), "members")
+    segments, segment_path = written(_segments(rows.join(own.select("d", "v"), ["d", "v"], "left_semi").dropDuplicates(["d"]), n), "segments", "fragment")
+    links = _links(groups, segments, own.select("d", "size"), similarity)
     same = copies.select(F.col("rep").alias("a"), F.col("d").alias("b")).where("a <> b").distinct()
-    final = components(reduce(DataFrame.unionAll, [links, more, same]))
-    own = copies.where("d <> rep or v <> rep_v").join(sizes.select(F.col("d").alias("rep"), F.col("v").alias("rep_v"), "size"), ["rep", "rep_v"]).select("d", "v", "size").unionByName(sizes).distinct()
-    return written(own.join(final, "d", "left").select("d", "v", "size", F.coalesce("c", "d").alias("c")), "linked")[0]
+    final = components(same if links is None else links.unionByName(same))
+    dropped(spark, segment_path)
+    all_ = copies.join(sizes.select(F.col("d").alias("rep"), F.col("v").alias("rep_v"), "size"), ["rep", "rep_v"]).select("d", "v", "size").unionByName(sizes).distinct()
+    return written(all_.join(final, "d", "left").select("d", "v", "size", F.coalesce("c", "d").alias("c")), "linked")[0]
 
 
 def similar_documents(docs: DataFrame, similarity: int = SIMILARITY, n: int = WORDS) -> DataFrame:
