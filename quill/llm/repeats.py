@@ -155,7 +155,8 @@ def _surviving(entries: DataFrame) -> DataFrame:
         ids, versions, own = ids[keep], versions[keep], own[keep]
         order, new = _sorted_groups(ids, versions)
         first = np.flatnonzero(new)
-        blobs = [own[order][i:j].tobytes() for i, j in zip(first, np.append(first[1:], len(order)), strict=True)]
+        own = own[order]
+        blobs = [own[i:j].tobytes() for i, j in zip(first, np.append(first[1:], len(order)), strict=True)]
         return pa.table({"d": ids[order][first], "v": versions[order][first], "anchors": pa.array(blobs, pa.binary())})
 
     return entries.groupBy("bucket").applyInArrow(found, "d bigint, v bigint, anchors binary")
@@ -283,7 +284,8 @@ def _cuts(entries: DataFrame) -> DataFrame:
         entry, cut = np.concatenate(entries_), np.concatenate(cuts)
         order, new = _sorted_groups(ids[entry], versions[entry])
         first = np.flatnonzero(new)
-        blobs = [cut[order][i:j].tobytes() for i, j in zip(first, np.append(first[1:], len(order)), strict=True)]
+        cut = cut[order]
+        blobs = [cut[i:j].tobytes() for i, j in zip(first, np.append(first[1:], len(order)), strict=True)]
         return pa.table({"d": ids[entry][order][first], "v": versions[entry][order][first], "cuts": pa.array(blobs, pa.binary())})
 
     return entries.groupBy("bucket").applyInArrow(found, "d bigint, v bigint, cuts binary")
