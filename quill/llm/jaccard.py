@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quill.llm.shared import Rolling, dropped, flat, mixed, partitions, steps, written
+from quill.llm.shared import Rolling, dropped, flat, mixed, partitions, steps, stops, written
 
 WORDS, SIMILARITY = 5, 75
 #: Entries of the word count table (a power of two): what is broadcast is this many bytes, whatever the corpus.
@@ -166,7 +166,7 @@ def _prefixes(rows: DataFrame, weights: np.ndarray, similarity: int, n: int, buc
                 hashed, bucket = hashed[order], bucket[order]
                 sizes, places = size[row[order]].astype(np.uint32), at[order].astype(np.uint32)
                 own, first = np.unique(bucket, return_index=True)
-                stop = np.append(first[1:], len(bucket))
+                stop = stops(first, len(bucket))
                 k = len(own)
                 blobs = [[x[i:j].tobytes() for i, j in zip(first, stop, strict=True)] for x in (hashed, ids, sizes, places)]
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 3 + [pa.array(own, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quill.llm.shared import Rolling, dropped, flat, partitions, steps, written
+from quill.llm.shared import Rolling, dropped, flat, partitions, steps, stops, written
 
 LENGTH, START = 50, 20
 WINDOWS = LENGTH - START + 1
@@ -63,7 +63,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
+    last = stops(first, len(at)) - 1
     return hashed[at[first]], at[first], start[first], start[last]
 
 
@@ -92,7 +92,7 @@ def _shared(hashed: np.ndarray, docs: np.ndarray) -> np.ndarray:
 def _by_row(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Rows that have values, and the bytes of each row's values; ``row`` is sorted."""
     own, first = np.unique(row, return_index=True)
-    return own, [values[i:j].tobytes() for i, j in zip(first, np.append(first[1:], len(row)), strict=True)]
+    return own, [values[i:j].tobytes() for i, j in zip(first, stops(first, len(row)), strict=True)]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def _surviving(entries: DataFrame) -> DataFrame:
         order, new = _sorted_groups(ids, versions)
         first = np.flatnonzero(new)
         own = own[order]
-        blobs = [own[i:j].tobytes() for i, j in zip(first, np.append(first[1:], len(order)), strict=True)]
+        blobs = [own[i:j].tobytes() for i, j in zip(first, stops(first, len(order)), strict=True)]
         return pa.table({"d": ids[order][first], "v": versions[order][first], "anchors": pa.array(blobs, pa.binary())})
 
     return entries.groupBy("bucket").applyInArrow(found, "d bigint, v bigint, anchors binary")
@@ -285,7 +285,7 @@ def _cuts(entries: DataFrame) -> DataFrame:
         order, new = _sorted_groups(ids[entry], versions[entry])
         first = np.flatnonzero(new)
         cut = cut[order]
-        blobs = [cut[i:j].tobytes() for i, j in zip(first, np.append(first[1:], len(order)), strict=True)]
+        blobs = [cut[i:j].tobytes() for i, j in zip(first, stops(first, len(order)), strict=True)]
         return pa.table({"d": ids[entry][order][first], "v": versions[entry][order][first], "cuts": pa.array(blobs, pa.binary())})
 
     return entries.groupBy("bucket").applyInArrow(found, "d bigint, v bigint, cuts binary")

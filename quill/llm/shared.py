@@ -73,6 +73,11 @@ def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterato
         start = stop
 
 
+def stops(first: np.ndarray, n: int) -> np.ndarray:
+    """Where runs end that begin at ``first`` among n entries."""
+    return np.append(first[1:], n)[: len(first)]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values (splitmix64's finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
