@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType
 
 #: What separates search tokens, beside white space.
 TOKEN_BREAKS = r"""\s,;!?()\[\]{}"'<>"""
@@ -19,19 +20,19 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC, with runs of white space as one space."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """NFC, white space collapsed, case folded."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unaccented(text: pd.Series) -> pd.Series:
     """Words of [a-z0-9] after NFKD without combining marks; the stroked d counts as d."""
 
@@ -44,13 +45,13 @@ def unaccented(text: pd.Series) -> pd.Series:
     return text.map(plain)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts; 0 where one is missing."""
     return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Levenshtein distance over words."""
 
