@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quill.llm.shared import Rolling, flat, steps, written
+from quill.llm.shared import Rolling, flat, released, steps, written
 
 BITS, SLICES = 15, 32
 #: Cost of a switch between two words, in nats; weight of the word itself beside its trigrams.
@@ -149,6 +149,7 @@ def train(labelled: DataFrame) -> Model | None:
         if rows.any():
             parts = [(f"{t}{k}", x.tobytes()) for t, table in (("g", grams), ("w", whole)) for k, x in enumerate(np.split(table, SLICES, axis=1))] + [("s", scripts.tobytes()), ("r", rows.tobytes())]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts]), pa.array([x for _, x in parts], pa.binary())], ["part", "counts"])
+        released()
 
     def added(key, table):
         total = np.sum([np.frombuffer(c.as_buffer(), np.int64) for c in table.column("counts")], axis=0)
@@ -208,6 +209,7 @@ def label(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                 spans = pa.StructArray.from_arrays([pa.array(w.start[at] - offsets[rows[at]]), pa.array(w.stop[ends] - offsets[rows[at]]), pa.array(names[labels[at]], pa.string())], ["start", "stop", "lang"])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows[at], minlength=b.num_rows))]), pa.int32()), spans)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[np.where(there, top, len(m.langs))], pa.string()), pa.array(score), lists], [f.name for f in schema.fields])
+        released()
 
     return docs.mapInArrow(batches, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -78,6 +79,13 @@ def stops(first: np.ndarray, n: int) -> np.ndarray:
     return np.append(first[1:], n)[: len(first)]
 
 
+def released() -> None:
+    """Give what a task's batches have freed back to the system: workers stay alive beside later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values (splitmix64's finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
