@@ -100,8 +100,13 @@ def masked_shingles(text: Column, n: int = 5) -> Column:
 
 
 def word_shingles(split: Column, n: int) -> Column:
-    """Distinct n-word shingles of an array of words; none if it is shorter."""
-    return F.when(F.size(split) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(split) - n + 1), lambda i: F.array_join(F.slice(split, i, n), " "))))
+    """Distinct n-word shingles of an array of words; none if it is shorter.
+
+    Shifted slices are zipped: a lambda over positions would compute ``split`` anew for each of them.
+    """
+    m = F.greatest(F.size(split) - n + 1, F.lit(0))
+    zipped = F.arrays_zip(*(F.slice(split, k + 1, m).alias(str(k)) for k in range(n)))
+    return F.array_distinct(F.transform(zipped, lambda x: F.concat_ws(" ", *(x[str(k)] for k in range(n)))))
 
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
