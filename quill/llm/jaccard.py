@@ -324,9 +324,10 @@ def _links(groups: DataFrame, segments: DataFrame, sizes: DataFrame, similarity:
     large = open_.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).select("g")
     small = open_.join(large, "g", "left_anti")
     others = small.alias("x").join(small.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c"))).select(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")).distinct()
-    last, _ = written(_verified(others.join(tested, ["a", "b"], "left_anti"), segments, sizes, similarity), "links")
+    last, _ = written(_verified(others if tested is None else others.join(tested, ["a", "b"], "left_anti"), segments, sizes, similarity), "links")
     blocks, _ = written(_block_links(open_.join(large, "g"), segments, sizes, similarity), "links")
-    return links.unionByName(last).unionByName(blocks)
+    found = last.unionByName(blocks)
+    return found if links is None else links.unionByName(found)
 
 
 def _block_links(open_: DataFrame, segments: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame:
