@@ -244,7 +244,7 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(both, pa.int64()), x.column("least")], ["a", "b", "both", "least"])
 
     own, hub = segments.select(F.col("d").alias("b"), "fragment", F.col("part").alias("q"), F.col("m").alias("mq")), segments.select(F.col("d").alias("a"), "fragment", F.col("part").alias("p"), F.col("m").alias("mp"))
-    met = pairs.select("a", "b").join(own, "b").join(hub, ["a", "fragment"]).select("a", "b", "p", "q", F.least("mp", "mq").alias("least"))
+    met = pairs.select("a", "b").join(own.hint("merge"), "b").join(hub.hint("merge"), ["a", "fragment"]).select("a", "b", "p", "q", F.least("mp", "mq").alias("least"))
     return met.mapInArrow(batches, "a bigint, b bigint, both bigint, least bigint")
 
 
@@ -392,14 +392,15 @@ def linked(docs: DataFrame, similarity: int = SIMILARITY, n: int = WORDS) -> Dat
     classes, _ = written(each.groupBy("s1", "s2").agg(F.min(F.struct("d", "v")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("s1", "s2", F.col("first.d").alias("rep"), F.col("first.v").alias("rep_v")), "classes")
     copies, _ = written(each.join(classes, ["s1", "s2"]).where("d <> rep or v <> rep_v").select("d", "v", "rep", "rep_v").distinct(), "copies")
     dropped(spark, counted_path)
-    rest = rows.join(copies.select("d", "v"), ["d", "v"], "left_anti")
+    # what these sides hold grows with the corpus: sort and merge at every size, never a broadcast
+    rest = rows.join(copies.select("d", "v").hint("merge"), ["d", "v"], "left_anti")
     prefixes, prefix_path = written(_prefixes(rest, weights, similarity, n, partitions(spark)), "prefixes")
     sizes, _ = written(prefixes.where("bucket is null").select("d", "v", "size").distinct(), "set-sizes")
     groups, _ = written(_groups(prefixes.where("bucket is not null").select("bucket", "hashes", "docs", "sizes", "places"), similarity), "groups")
     dropped(spark, prefix_path)
     # rows of one doc_id are one document: its largest set stands for it
     own, _ = written(sizes.join(groups.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.max(F.struct("size", "v")).alias("s")).select("d", "s.size", "s.v"), "members")
-    segments, segment_path = written(_segments(rows.join(own.select("d", "v"), ["d", "v"], "left_semi").dropDuplicates(["d"]), n), "segments", "fragment")
+    segments, segment_path = written(_segments(rows.join(own.select("d", "v").hint("merge"), ["d", "v"], "left_semi").dropDuplicates(["d"]), n), "segments", "fragment")
     links = _links(groups, segments, own.select("d", "size"), similarity)
     same = copies.select(F.col("rep").alias("a"), F.col("d").alias("b")).where("a <> b").distinct()
     final = components(same if links is None else links.unionByName(same))
