@@ -8,7 +8,7 @@ window whose anchor is unique is unique. The second round ranks the windows of t
 left, ``LENGTH`` bytes in one step, by 128-bit hashes of what surrounds each anchor.
 
 What a task can settle among the documents it holds it does not send: many copies of a passage
-meet as one entry from each batch.
+meet as one entry from each batch, with the other places of that entry's document as numbers.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ CONTEXT = LENGTH + WINDOWS - 1
 LAST_ID = (1 << 63) - 1
 #: An anchor of a row: its place, how far before it its first window starts, and how many more windows it has.
 ANCHOR = np.dtype([("at", "<u4"), ("left", "u1"), ("more", "u1")])
+#: A further place of a context that a row sends: which of the bucket's contexts, the version, and the anchor.
+AGAIN = np.dtype([("head", "<u4"), ("v", "<i8"), ("at", "<u4"), ("left", "u1")])
 _rolling: list[Rolling] = []
 
 
@@ -162,25 +164,26 @@ def _surviving(entries: DataFrame) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(found, "d bigint, v bigint, anchors binary")
 
 
-SECOND = "bucket int, hashes binary, contexts binary, d bigint, v bigint, ds binary, vs binary, counts binary, anchors binary, cuts binary"
+SECOND = "bucket int, hashes binary, contexts binary, d bigint, v bigint, ds binary, vs binary, counts binary, anchors binary, again binary, cuts binary"
 
 
 def _settled(hashed: np.ndarray, docs: np.ndarray, more: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows of which anchors an earlier document has (entries, WINDOWS), and whether an entry's context is new.
+    """Which windows of which anchors an earlier document has (entries, WINDOWS), and by entry the one that stands for it.
 
-    Of entries with equal hash and context the first document stands for the others.
+    Of entries with equal hash and context one of the first document stands for all of that
+    document, itself too; entries of later documents have -1.
     """
     n = len(hashed)
-    gone, fresh = np.zeros((n, WINDOWS), bool), np.zeros(n, bool)
+    gone, head = np.zeros((n, WINDOWS), bool), np.full(n, -1)
     if not n:
-        return gone, fresh
+        return gone, head
     place = np.arange(CONTEXT)
     context = np.where(place < (more[:, None].astype(np.int64) + LENGTH), context, 0)
     flat_ = np.ascontiguousarray(context).ravel()
     sums = [r.sums(flat_) for r in _rollings()]
     start = np.arange(n) * CONTEXT
     whole = [r.ranges(s, start, start + CONTEXT) for r, s in zip(_rollings(), sums, strict=True)]
-    order, new = _sorted_groups(hashed, *whole, more, docs.view(np.uint64))
+    order, new = _sorted_groups(hashed, *whole, more, docs)
     d = docs[order]
     same = np.ones(n, bool)  # a new (hash, context) begins
     same[1:] = np.any([k[order][1:] != k[order][:-1] for k in (hashed, *whole, more)], axis=0)
@@ -189,7 +192,7 @@ def _settled(hashed: np.ndarray, docs: np.ndarray, more: np.ndarray, context: np
     later = d > d[first][group]
     valid = np.arange(WINDOWS) <= more[:, None]
     gone[order[later]] = True
-    fresh[order[first]] = True
+    head[order[~later]] = order[first][group][~later]
     # anchors of one hash and several contexts are compared window by window, one entry for each context
     heads = order[first]
     anchor_new = np.ones(len(heads), bool)
@@ -208,7 +211,7 @@ def _settled(hashed: np.ndarray, docs: np.ndarray, more: np.ndarray, context: np
         gone[heads[e[worder[lost]]], w[worder[lost]]] = True
         # the same holds for all entries of that context and document
         gone[order] |= gone[order[first]][group]
-    return gone & valid, fresh
+    return gone & valid, head
 
 
 def _runs(gone: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +225,7 @@ def _runs(gone: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _second_round(found: DataFrame, buckets: int) -> DataFrame:
     """``found``: d, v, text, anchors (list of blobs). By bucket the contexts of many rows, and by row the cuts that its batch shows."""
     names = [f.split()[0] for f in SECOND.split(", ")]
-    types = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+    types = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -240,21 +243,31 @@ def _second_round(found: DataFrame, buckets: int) -> DataFrame:
                     hashed = rolling.ranges(sums, at, at + START)
                     begin = at - o["left"]
                     context = data[np.minimum(begin[:, None] + np.arange(CONTEXT), len(data) - 1)]
-                    gone, fresh = _settled(hashed, ids[r], o["more"], context)
+                    gone, head = _settled(hashed, ids[r], o["more"], context)
                     entry, cut = _runs(gone, begin - offsets[r])
                     rr, cuts = _by_row(r[entry], cut)
                     n = len(rr)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in types[:3]] + [pa.array(ids[rr]), pa.array(versions[rr])] + [pa.nulls(n, pa.binary())] * 4 + [pa.array(cuts, pa.binary())], names)
-                    keep = np.flatnonzero(fresh & ~(gone.sum(axis=1) > o["more"]))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in types[:3]] + [pa.array(ids[rr]), pa.array(versions[rr])] + [pa.nulls(n, pa.binary())] * 5 + [pa.array(cuts, pa.binary())], names)
+                    left = (head >= 0) & ~(gone.sum(axis=1) > o["more"])
+                    keep = np.flatnonzero(left & (head == np.arange(len(head))))
                     bucket = ((hashed[keep] >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint32)
                     keep = keep[np.argsort(bucket, kind="stable")]
                     bucket = np.sort(bucket)
                     edges = np.searchsorted(bucket, np.arange(buckets + 1))
+                    sent = np.zeros(len(head), np.int64)
+                    sent[keep] = np.arange(len(keep))
+                    further = np.flatnonzero(left & (head != np.arange(len(head))))
+                    further = further[np.argsort(sent[head[further]], kind="stable")]
+                    again = np.zeros(len(further), AGAIN)
+                    again["head"], again["v"] = sent[head[further]], versions[r[further]]
+                    again["at"], again["left"] = o["at"][further], o["left"][further]
+                    aedges = np.searchsorted(again["head"], edges)
+                    again["head"] -= edges[bucket[again["head"]]].astype(np.uint32)
                     out = []
                     for k in np.flatnonzero(edges[1:] > edges[:-1]):
                         part = keep[edges[k] : edges[k + 1]]
                         rr, counts = np.unique(r[part], return_counts=True)
-                        out.append((int(k), hashed[part].tobytes(), context[part].tobytes(), None, None, ids[rr].tobytes(), versions[rr].tobytes(), counts.astype(np.uint32).tobytes(), o[part].tobytes(), None))
+                        out.append((int(k), hashed[part].tobytes(), context[part].tobytes(), None, None, ids[rr].tobytes(), versions[rr].tobytes(), counts.astype(np.uint32).tobytes(), o[part].tobytes(), again[aedges[k] : aedges[k + 1]].tobytes(), None))
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
@@ -269,7 +282,12 @@ def _cuts(entries: DataFrame) -> DataFrame:
         context = _unpacked(table, "contexts", np.uint8).reshape(-1, CONTEXT)
         counts = _unpacked(table, "counts", np.uint32)
         ids, versions = (np.repeat(_unpacked(table, c, np.int64), counts) for c in ("ds", "vs"))
-        entries_, cuts = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint32)]
+        again = _unpacked(table, "again", AGAIN)
+        heads, places = (np.array([len(x.as_buffer()) // size for x in table.column(c)], np.int64) for c, size in (("hashes", 8), ("again", AGAIN.itemsize)))
+        of = again["head"] + np.repeat(np.cumsum(heads) - heads, places)
+        again, of = again[np.argsort(of, kind="stable")], np.sort(of)
+        begins = np.searchsorted(of, np.arange(len(hashed) + 1))
+        d_, v_, cuts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint32)]
         order = np.argsort(hashed, kind="stable")
         low = 0
         while low < len(order):  # some at a time, but all of one hash together
@@ -278,15 +296,26 @@ def _cuts(entries: DataFrame) -> DataFrame:
             part = order[low:high]
             gone, _ = _settled(hashed[part], ids[part], own["more"][part], context[part])
             entry, cut = _runs(gone, own["at"][part].astype(np.int64) - own["left"][part])
-            entries_.append(part[entry])
+            d_.append(ids[part[entry]])
+            v_.append(versions[part[entry]])
             cuts.append(cut)
+            cutting = np.flatnonzero(gone.any(axis=1))
+            n = begins[part[cutting] + 1] - begins[part[cutting]]
+            which = np.repeat(np.arange(len(cutting)), n)
+            place = np.repeat(begins[part[cutting]] - (np.cumsum(n) - n), n) + np.arange(len(which))
+            for some in range(0, len(which), 1 << 17):
+                w, a = cutting[which[some : some + (1 << 17)]], again[place[some : some + (1 << 17)]]
+                entry, cut = _runs(gone[w], a["at"].astype(np.int64) - a["left"])
+                d_.append(ids[part[w[entry]]])
+                v_.append(a["v"][entry])
+                cuts.append(cut)
             low = high
-        entry, cut = np.concatenate(entries_), np.concatenate(cuts)
-        order, new = _sorted_groups(ids[entry], versions[entry])
+        d, v, cut = np.concatenate(d_), np.concatenate(v_), np.concatenate(cuts)
+        order, new = _sorted_groups(d, v)
         first = np.flatnonzero(new)
         cut = cut[order]
         blobs = [cut[i:j].tobytes() for i, j in zip(first, stops(first, len(order)), strict=True)]
-        return pa.table({"d": ids[entry][order][first], "v": versions[entry][order][first], "cuts": pa.array(blobs, pa.binary())})
+        return pa.table({"d": d[order][first], "v": v[order][first], "cuts": pa.array(blobs, pa.binary())})
 
     return entries.groupBy("bucket").applyInArrow(found, "d bigint, v bigint, cuts binary")
 

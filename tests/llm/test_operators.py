@@ -38,6 +38,25 @@ def test_repeats(docs, empty):
     assert without_repeats(empty).count() == 0
 
 
+def test_repeats_inside_documents_across_batches(spark):
+    from quill.llm.repeats import without_repeats
+
+    rng = np.random.default_rng(5)
+    fresh = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    a, b = fresh(300), fresh(150)
+    texts = {-3: b + fresh(90), 1: "a" * 5000, 2: "a" * 6000, 3: fresh(80) + a + fresh(70), 4: a + fresh(60) + a + fresh(90) + a + b + fresh(55) + a, 5: b + a[:120] + fresh(65) + b + b + "a" * 200, 6: (b + fresh(60)) * 4}
+    rows = [(i, t) for i, t in texts.items()]
+    want = brute.repeats(rows)
+    spread = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for most in (1, 3, 10000):  # rows of an Arrow batch
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            out = without_repeats(spread.coalesce(1)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {r[0]: tuple(r)[1:] for r in out} == want
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
