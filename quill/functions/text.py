@@ -26,6 +26,12 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()))
 
 
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """NFC, with runs of white space as one space."""
+    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()))
+
+
 @F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """NFC, white space collapsed, case folded."""

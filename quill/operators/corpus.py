@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quill.functions.text import nfc, word_distance
+
 
 def first_per_key(df: DataFrame, key: Column, *order: Column | str) -> DataFrame:
     """Each row with the first row's ``order`` of its key; the key's first row has place 1."""
@@ -103,3 +105,25 @@ def manifest_diff(old: DataFrame, new: DataFrame, path: str, digest: str) -> Dat
 def leaked(df: DataFrame, key: Column, split: Column) -> DataFrame:
     """Keys that lie in more than one split."""
     return df.groupBy(key.alias("key")).agg(F.countDistinct(split).alias("splits"), F.count(F.lit(1)).alias("n")).where("splits > 1")
+
+
+def error_rates(pairs: DataFrame, reference: str, prediction: str) -> DataFrame:
+    """``pairs`` with edits, lengths and rates over whole texts, by characters and by words.
+
+    Texts are compared after NFC with white space collapsed. A missing prediction is an empty
+    text; an empty reference has no rates and counts nothing.
+    """
+    r, p = F.coalesce(nfc(F.col(reference)), F.lit("")), F.coalesce(nfc(F.col(prediction)), F.lit(""))
+    n = pairs.withColumns({"_r": r, "_p": p}).withColumns({"n_chars": F.length("_r").cast("long"), "n_words": F.size(F.filter(F.split("_r", " "), lambda w: w != "")).cast("long")})
+    some = F.col("n_chars") > 0
+    edits = {"char_edits": F.when(some, F.levenshtein("_r", "_p")).otherwise(0).cast("long"), "word_edits": F.when(some, word_distance("_r", "_p")).otherwise(0).cast("long")}
+    rates = {"cer": F.when(some, F.col("char_edits") / F.col("n_chars")), "wer": F.when(some, F.col("word_edits") / F.col("n_words"))}
+    return n.withColumns(edits).drop("_r", "_p").withColumns(rates)
+
+
+def pooled_error_rates(rates: DataFrame) -> DataFrame:
+    """One row: sums of ``error_rates``, micro averages (sum of edits / sum of lengths) and macro means."""
+    sums = [F.sum(c).alias(c) for c in ("n_chars", "char_edits", "n_words", "word_edits")]
+    out = rates.agg(F.count(F.lit(1)).alias("pairs"), *sums, F.avg("cer").alias("macro_cer"), F.avg("wer").alias("macro_wer"))
+    micro = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return out.withColumns({"cer": micro("char_edits", "n_chars"), "wer": micro("word_edits", "n_words")})

@@ -165,6 +165,22 @@ def agg_cer_by_pair(spark, d):
     return pairs.select("item_id", F.col("item_id").alias("doc_id"), F.round(T.cer(F.col("r"), F.col("p")), 6).alias("cer"))
 
 
+def _error_rates(spark, d):
+    predictions = docs(spark, d).select("doc_id", F.col("text").alias("prediction"))
+    pairs = table(spark, d, "benchmark").select("item_id", F.col("text").alias("reference")).join(predictions, F.col("doc_id") == F.col("item_id"), "left")
+    return C.error_rates(pairs, "reference", "prediction").drop("reference", "prediction")
+
+
+@PLANS.add()
+def agg_error_rates_by_pair(spark, d):
+    return _error_rates(spark, d)
+
+
+@PLANS.add()
+def agg_error_rates(spark, d):
+    return C.pooled_error_rates(_error_rates(spark, d))
+
+
 @PLANS.add("""WITH o AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 1), n AS (SELECT doc_id::VARCHAR AS path, sha256(CASE WHEN doc_id % 10 = 3 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 2)
 SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'deleted' WHEN o.path IS NULL THEN 'new' WHEN o.h = n.h THEN 'unchanged' ELSE 'updated' END AS status FROM o FULL JOIN n ON o.path = n.path""")
 def set_manifest_diff(spark, d):
