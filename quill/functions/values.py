@@ -108,6 +108,9 @@ def wilson(wins: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
 def mcnemar(b: Column, c: Column) -> Column:
     """Exact two-sided p of two discordant counts; 1 without any."""
     n, low = b + c, F.least(b, c)
-    log_choose = lambda k: F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda acc, i: acc + F.log((n - k + i).cast("double") / i))
-    tail = F.aggregate(F.sequence(F.lit(0), low), F.lit(0.0), lambda acc, k: acc + F.exp(F.when(k > 0, log_choose(F.greatest(k, F.lit(1)))).otherwise(0.0) - n * F.log(F.lit(2.0))))
+    start = -n * F.log(F.lit(2.0))
+    # the logarithm of C(n, k) / 2^n follows from that of k - 1
+    step = lambda acc, k: F.struct((acc["log"] + F.log((n - k + 1) / k)).alias("log"), (acc["sum"] + F.exp(acc["log"] + F.log((n - k + 1) / k))).alias("sum"))
+    ks = F.when(low > 0, F.sequence(F.lit(1).cast("long"), F.greatest(low, F.lit(1)).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    tail = F.aggregate(ks, F.struct(start.alias("log"), F.exp(start).alias("sum")), step, lambda acc: acc["sum"])
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))

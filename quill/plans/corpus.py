@@ -138,7 +138,18 @@ def agg_wilson_by_group(spark, d):
 t AS (SELECT b, c, unnest(range(0, least(b, c) + 1)) AS k FROM c), f AS (SELECT b, c, k, exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2)) AS p FROM t)
 SELECT any_value(b) AS b, any_value(c) AS c, round(least(1, 2 * sum(p)), 9) AS p FROM f""")
 def agg_mcnemar(spark, d):
-    rows = docs(spark, d).join(table(spark, d, "labels"), "doc_id").where("doc_id % 9 = 0")
+    return _mcnemar(docs(spark, d).where("doc_id % 9 = 0"), table(spark, d, "labels"))
+
+
+@PLANS.add("""WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND NOT long_) AS b, count(*) FILTER (WHERE quality = 0 AND long_) AS c FROM (SELECT quality, n_chars > 2000 AS long_ FROM documents JOIN labels USING (doc_id))),
+t AS (SELECT b, c, unnest(range(0, least(b, c) + 1)) AS k FROM c), f AS (SELECT b, c, k, exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2)) AS p FROM t)
+SELECT any_value(b) AS b, any_value(c) AS c, round(least(1, 2 * sum(p)), 9) AS p FROM f""")
+def agg_mcnemar_all(spark, d):
+    return _mcnemar(docs(spark, d), table(spark, d, "labels"))
+
+
+def _mcnemar(documents, labels):
+    rows = documents.join(labels, "doc_id")
     long_ = F.col("n_chars") > 2000
     c = rows.agg(F.count_if((F.col("quality") == 1) & ~long_).alias("b"), F.count_if((F.col("quality") == 0) & long_).alias("c"))
     return c.select("b", "c", F.round(mcnemar(F.col("b"), F.col("c")), 9).alias("p"))
