@@ -6,6 +6,9 @@ slot. After x slots a queue of N ids in W slots has been served floor(N * x / W)
 less that is its deficit. So the place of any id follows from its place in its queue alone, in any
 task, and deficits carry over windows and partitions without a serial pass. A queue that ends
 leaves its share to the others: the schedule has a phase for each such end.
+
+Among very many sources the small ones without a weight share queues. A shared queue takes the ids
+of its members by their progress, (r + 1/2) / n for id r of n, so their proportions hold in it too.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from quill.llm.shared import steps, written
 
 SEQUENCE, END_ID = 4096, 2
-#: Sources beyond so many share queues by hash, so that the schedule on the driver stays this small.
+#: With more sources the smallest without a weight share queues, so that a slot's grants stay this few.
 QUEUES = 256
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, source string, sequence_id bigint, offset bigint, ids binary"
 _encoders: dict = {}
@@ -105,12 +108,73 @@ class Schedule:
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def tokenized(docs: DataFrame, tokenizer: str, source: str = "source", queues: int = QUEUES) -> DataFrame:
+    def at(self, queue: int, ids: np.ndarray) -> np.ndarray:
+        """Places in the stream of all ids of single ids of a queue."""
+        out = np.zeros(len(ids), np.int64)
+        for p in range(len(self.first)):
+            n, w, base = int(self.served[p, queue]), int(self.slots[p]), int(self.before[p, queue])
+            own = np.flatnonzero((ids >= base) & (ids < base + n))
+            if not len(own):
+                continue
+            x = np.array([((r - base + 1) * w - 1) // n for r in ids[own].tolist()], np.int64)
+            phase = np.full(len(own), p)
+            low, high = self.upto(phase, x), self.upto(phase, x + 1)
+            out[own] = low.sum(axis=1) + (high - low)[:, :queue].sum(axis=1) + ids[own] - low[:, queue]
+        return out
+
+
+def interleaved(members: np.ndarray, q: int, start: int, length: int) -> np.ndarray:
+    """Places in a shared queue of a range of ids of its q-th member: by progress, then by member."""
+    n, found = int(members[q]), []
+    small = 4 * n * int(members.max()) < 1 << 62
+    totals = members if small else members.astype(object)
+    later = (np.arange(len(members)) >= q).astype(np.int64)
+    step = max(1, (1 << 20) // len(members))
+    for low in range(start, start + length, step):
+        r = np.arange(low, min(low + step, start + length))
+        odd = (2 * r + 1) if small else (2 * r + 1).astype(object)
+        found.append(((odd[:, None] * totals + n - later) // (2 * n)).sum(axis=1).astype(np.int64))
+    return np.concatenate(found)
+
+
+@dataclass
+class Plan:
+    """The schedule of the queues; by source its queue and, in a shared one, its number there; members' totals by shared queue."""
+
+    schedule: Schedule
+    queue: dict[str, tuple[int, int]]
+    members: dict[int, np.ndarray]
+
+    @classmethod
+    def of(cls, totals: dict[str, int], weights: dict[str, float] | None, sequence: int, queues: int) -> Plan:
+        own, shared = list(totals), []
+        if len(totals) > queues:
+            weighted = [s for s in totals if (weights or {}).get(s, 0.0) > 0]
+            rest = sorted(totals.keys() - set(weighted), key=lambda s: (-totals[s], s))
+            large, small = rest[: queues // 2], rest[queues // 2 :]
+            own = weighted + large
+            dealt = max(1, queues - queues // 2)
+            shared = [small[k::dealt] for k in range(min(dealt, len(small)))]
+        queue = {s: (i, 0) for i, s in enumerate(own)}
+        queue |= {s: (len(own) + k, m) for k, names in enumerate(shared) for m, s in enumerate(names)}
+        members = {len(own) + k: np.array([totals[s] for s in names], np.int64) for k, names in enumerate(shared)}
+        sums = np.array([totals[s] for s in own] + [int(m.sum()) for m in members.values()], np.int64)
+        share = None if weights is None else np.array([weights.get(s, 0.0) for s in own] + [0.0] * len(members))
+        return cls(Schedule.of(sums, share, sequence), queue, members)
+
+    def places(self, source: str, start: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``Schedule.places``, of a range of a source."""
+        queue, m = self.queue[source]
+        if queue not in self.members:
+            return self.schedule.places(queue, start, length)
+        place = self.schedule.at(queue, interleaved(self.members[queue], m, start, length))
+        first = np.flatnonzero(np.diff(place, prepend=-2) != 1)
+        return first + start, np.diff(first, append=length), place[first]
+
+
+def tokenized(docs: DataFrame, tokenizer: str, source: str = "source") -> DataFrame:
     """doc_id, source, part, before (ids of its queue ahead of it in its part), n, ids; written to the shared folder."""
-    names = docs.select(F.col(source).cast("string").alias("s")).distinct().limit(queues + 1).count() if source in docs.columns else 0
     name = F.coalesce(F.col(source).cast("string"), F.lit("")) if source in docs.columns else F.lit("")
-    if names > queues:
-        name = F.pmod(F.xxhash64(name), F.lit(queues)).cast("string")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -134,12 +198,13 @@ def tokenized(docs: DataFrame, tokenizer: str, source: str = "source", queues: i
     return written(rows.mapInArrow(batches, "doc_id bigint, source string, part int, before bigint, n bigint, ids binary"), "tokens")[0]
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float] | None = None, source: str = "source", sequence: int = SEQUENCE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float] | None = None, source: str = "source", sequence: int = SEQUENCE, queues: int = QUEUES) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text, source): each id of each document in exactly one.
 
     ``ids`` are little-endian unsigned 32-bit. Sequences are ``sequence`` ids without gaps; only
     the last one may be shorter. ``weights`` are target proportions by source; sources without one
-    are served when those with one have ended. Null text: the end id alone. A null source is a
+    are served when those with one have ended. With more than ``queues`` sources those with a weight
+    and the largest others have queues of their own and the rest share some. Null text: the end id alone. A null source is a
     queue of its own, as is a missing column. Null or repeated doc_ids stay rows of their own.
     Other columns are not read. An empty table gives no pieces.
     """
@@ -149,20 +214,19 @@ def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases, _ = written(parts.withColumn("base", ahead), "bases")
     totals = {r["source"]: r["n"] for r in bases.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").collect()}
-    names = {s: i for i, s in enumerate(totals)}
-    plan = Schedule.of(np.array(list(totals.values()), np.int64), None if weights is None else np.array([weights.get(s, 0.0) for s in totals]), sequence)
+    plan = Plan.of(totals, weights, sequence, queues)
     wide = np.dtype("<u4")
-    shared_plan = spark.sparkContext.broadcast((names, plan))
+    shared_plan = spark.sparkContext.broadcast(plan)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, plan = shared_plan.value
+        plan = shared_plan.value
         fields = [f.split()[0] for f in PIECES.split(", ")]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         for b in it:
             out, held = [], 0
             for doc_id, name, start, n, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "start", "n", "ids")), strict=True):
                 own = np.frombuffer(ids, np.dtype("<u2") if len(ids) == 2 * n else wide).astype(wide)
-                for first, size, place in zip(*(c.tolist() for c in plan.places(names[name], start, n)), strict=True):
+                for first, size, place in zip(*(c.tolist() for c in plan.places(name, start, n)), strict=True):
                     while size:
                         take = min(size, sequence - place % sequence)
                         piece = own[first - start : first - start + take].tobytes()

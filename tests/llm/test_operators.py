@@ -77,6 +77,42 @@ def test_packing(docs, empty):
     assert pack(empty).count() == 0
 
 
+def test_packing_of_many_sources(spark):
+    from quill.llm.packing import Plan, pack
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join("w" + str(x) for x in rng.integers(0, 99, 40)), f"site{i % 30}" if i % 3 else "big") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    for weights in (None, {"site4": 3.0, "site7": 1.0}):
+        got = pack(docs, weights=weights, sequence=64, queues=8).collect()
+        assert {r["doc_id"]: r["source"] for r in got} == {i: s for i, _, s in rows}
+        n = {r["doc_id"]: r["doc_tokens"] for r in got}
+        own = sorted((r["doc_id"], r["start"] + k) for r in got for k in range(r["length"]))
+        assert own == sorted((i, k) for i in n for k in range(n[i]))
+        at = {r["sequence_id"] * 64 + r["offset"] + k: r["source"] for r in got for k in range(r["length"])}
+        assert sorted(at) == list(range(sum(n.values())))
+        stream = [at[k] for k in range(len(at))]
+        if weights:  # the two alone until the first ends, three to one
+            head = stream[:64]  # slots are somewhat shorter than windows here
+            assert abs(head.count("site4") - 48) <= 2 and head.count("site4") + head.count("site7") == 64
+    # proportions of every source hold in every part of the stream, in shared queues too
+    totals = {f"s{i}": 1000 - 7 * i for i in range(40)}
+    plan = Plan.of(totals, None, 512, 8)
+    assert max(len(m) for m in plan.members.values()) > 3
+    every = np.zeros(sum(totals.values()), int)
+    place = {}
+    for s, t in totals.items():
+        cuts = [plan.places(s, a, min(333, t - a)) for a in range(0, t, 333)]
+        own = np.concatenate([np.arange(p, p + k) for c in cuts for _, k, p in zip(*c, strict=True)])
+        every[own] += 1
+        assert (np.diff(own) > 0).all()
+        place[s] = own
+    assert (every == 1).all()
+    for s, t in totals.items():
+        progress = np.abs(place[s] / len(every) - (np.arange(t) + 0.5) / t)
+        assert progress.max() < 512 / len(every) + 2 / t
+
+
 def test_packing_targets():
     from quill.llm.packing import Schedule
 
