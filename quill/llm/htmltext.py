@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quill.llm.shared import written
+from quill.llm.shared import lean, written
 
 #: Labelled pages that the model is counted on, at most: those of the smallest hashes of page_id.
 TRAIN_PAGES = 2000
@@ -300,7 +300,7 @@ def train(pages: DataFrame, most: int = TRAIN_PAGES) -> Model:
     if bound is None:
         return Model.of({})
     sample = pages.where(F.col("html").isNotNull() & (order <= bound)).select("html")
-    rows, _ = written(sample.mapInArrow(counted, "feature string, label int, n bigint"), "html-counts")
+    rows, _ = written(sample.mapInArrow(lean(counted), "feature string, label int, n bigint"), "html-counts")
     return Model.of({(r["feature"], r["label"]): r["n"] for r in rows.groupBy("feature", "label").agg(F.sum("n").alias("n")).where("n >= 3 or feature not like 'tag %'").collect()})
 
 
@@ -324,4 +324,4 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
                 blocks = pa.array([[{"text": s, "marginal": p} for s, p in x[1]] for x in done], pa.list_(pa.struct([("text", pa.string()), ("marginal", pa.float64())])))
                 yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array([x[0] for x in done], pa.string()), pa.array([len(x[0]) for x in done], pa.int64()), blocks], [f.name for f in schema.fields])
 
-    return rest.mapInArrow(batches, schema)
+    return rest.mapInArrow(lean(batches), schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quill.llm.shared import Rolling, dropped, flat, mixed, partitions, steps, stops, written
+from quill.llm.shared import Rolling, dropped, flat, lean, mixed, partitions, steps, stops, written
 
 WORDS, SIMILARITY = 5, 75
 #: Entries of the word count table (a power of two): what is broadcast is this many bytes, whatever the corpus.
@@ -122,7 +122,7 @@ def _sequences_and_counts(rows: DataFrame) -> DataFrame:
             empty = pa.nulls(SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays([empty] * 5 + [pa.array(range(SLICES), pa.int32()), pa.array(cut, pa.binary())], names)
 
-    return rows.mapInArrow(batches, "d bigint, v bigint, s1 bigint, s2 bigint, n_words bigint, slice int, counts binary")
+    return rows.mapInArrow(lean(batches), "d bigint, v bigint, s1 bigint, s2 bigint, n_words bigint, slice int, counts binary")
 
 
 def _weights(counted: DataFrame) -> np.ndarray:
@@ -171,7 +171,7 @@ def _prefixes(rows: DataFrame, weights: np.ndarray, similarity: int, n: int, buc
                 blobs = [[x[i:j].tobytes() for i, j in zip(first, stop, strict=True)] for x in (hashed, ids, sizes, places)]
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 3 + [pa.array(own, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names)
 
-    return rows.mapInArrow(batches, "d bigint, v bigint, size bigint, bucket int, hashes binary, docs binary, sizes binary, places binary")
+    return rows.mapInArrow(lean(batches), "d bigint, v bigint, size bigint, bucket int, hashes binary, docs binary, sizes binary, places binary")
 
 
 def _groups(entries: DataFrame, similarity: int) -> DataFrame:
@@ -232,7 +232,7 @@ def _segments(rows: DataFrame, n: int) -> DataFrame:
                 parts = [hashed[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([b.column("d").take(pa.array(np.repeat(np.arange(b.num_rows), FRAGMENTS))), pa.array(np.tile(np.arange(FRAGMENTS), b.num_rows), pa.int32()), pa.array(np.diff(cuts), pa.int64()), pa.array(parts, pa.binary())], ["d", "fragment", "m", "part"])
 
-    return rows.mapInArrow(batches, "d bigint, fragment int, m bigint, part binary")
+    return rows.mapInArrow(lean(batches), "d bigint, fragment int, m bigint, part binary")
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
     own, hub = segments.select(F.col("d").alias("b"), "fragment", F.col("part").alias("q"), F.col("m").alias("mq")), segments.select(F.col("d").alias("a"), "fragment", F.col("part").alias("p"), F.col("m").alias("mp"))
     met = pairs.select("a", "b").join(own.hint("merge"), "b").join(hub.hint("merge"), ["a", "fragment"]).select("a", "b", "p", "q", F.least("mp", "mq").alias("least"))
-    return met.mapInArrow(batches, "a bigint, b bigint, both bigint, least bigint")
+    return met.mapInArrow(lean(batches), "a bigint, b bigint, both bigint, least bigint")
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame:

@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quill.llm.shared import Rolling, flat, released, steps, written
+from quill.llm.shared import Rolling, flat, lean, steps, written
 
 BITS, SLICES = 15, 32
 #: Cost of a switch between two words, in nats; weight of the word itself beside its trigrams.
 SWITCH, WORD_WEIGHT = 12.0, 0.5
 SMOOTHING = 0.5
+#: Rows of more words are labelled by stretches.
+LONG = 1024
 #: A language keeps a script in which it has at least this share of its words.
 SCRIPT_SHARE = 0.01
 #: First code points of the scripts' ranges.
@@ -92,8 +94,58 @@ class Model:
         return out + WORD_WEIGHT * self.whole[w.whole] + np.where(self.scripts[w.script], 0, -1e4).astype(np.float32)
 
 
-def viterbi(scores: np.ndarray, counts: np.ndarray, prior: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """Labels of the words of many rows at once: one step for the k-th word of every row that has one."""
+def _stretches(scores: np.ndarray, prior: np.ndarray, switch: float) -> np.ndarray:
+    """Labels of the words of one long row: its stretches at once, for every label that may come before.
+
+    The first stretch starts from the prior. Of each other stretch the best scores by the label before
+    it are known after as many steps as a stretch has words; then one step for each stretch joins them.
+    """
+    n, langs = scores.shape
+    size = int(np.sqrt(n)) + 1
+    m = -(-n // size)
+    s = np.zeros((m * size, langs), np.float32)
+    s[:n] = scores
+    s = s.reshape(m, size, langs)
+    each = np.arange(langs, dtype=np.int16)
+    best = s[:, :1] - switch * (each[:, None] != each)[None].astype(np.float32)
+    best[0] = prior + s[0, 0]
+    came = np.zeros((size, m, langs, langs), np.int16)
+    for k in range(1, size):
+        top = best.argmax(axis=2).astype(np.int16)
+        jump = np.take_along_axis(best, top[..., None].astype(np.int64), 2) - np.float32(switch)
+        stay = best >= jump
+        came[k] = np.where(stay, each, top[..., None])
+        best = np.where(stay, best, jump) + s[:, k, None]
+    total, entered = best[0, 0].astype(np.float64), np.zeros((m, langs), np.int16)
+    for k in range(1, m):
+        paths = total[:, None] + best[k]
+        entered[k] = paths.argmax(axis=0)
+        total = paths.max(axis=0)
+    last, before = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    last[-1] = total.argmax()
+    for k in range(m - 1, 0, -1):
+        before[k] = last[k - 1] = entered[k, last[k]]
+    labels, rows = np.zeros((m, size), np.int16), np.arange(m)
+    for k in range(size - 1, -1, -1):
+        labels[:, k] = last
+        if k:
+            last = came[k, rows, before, last].astype(np.int64)
+    return labels.reshape(-1)[:n]
+
+
+def viterbi(scores: np.ndarray, counts: np.ndarray, prior: np.ndarray, switch: float = SWITCH, long: int = LONG) -> np.ndarray:
+    """Labels of the words of many rows at once: one step for the k-th word of every row that has one.
+
+    Rows of more than ``long`` words are labelled one by one, their stretches at once.
+    """
+    wide = np.flatnonzero(counts > long)
+    if len(wide):
+        first = np.cumsum(counts) - counts
+        labels, short = np.zeros(len(scores), np.int16), np.repeat(counts <= long, counts)
+        labels[short] = viterbi(scores[short], counts[counts <= long], prior, switch, long)
+        for r in wide:
+            labels[first[r] : first[r] + counts[r]] = _stretches(scores[first[r] : first[r] + counts[r]], prior, switch)
+        return labels
     order = np.argsort(-counts, kind="stable")
     first = (np.cumsum(counts) - counts)[order]
     lengths = counts[order]
@@ -149,13 +201,12 @@ def train(labelled: DataFrame) -> Model | None:
         if rows.any():
             parts = [(f"{t}{k}", x.tobytes()) for t, table in (("g", grams), ("w", whole)) for k, x in enumerate(np.split(table, SLICES, axis=1))] + [("s", scripts.tobytes()), ("r", rows.tobytes())]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts]), pa.array([x for _, x in parts], pa.binary())], ["part", "counts"])
-        released()
 
     def added(key, table):
         total = np.sum([np.frombuffer(c.as_buffer(), np.int64) for c in table.column("counts")], axis=0)
         return pa.table({"part": [key[0].as_py()], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    counted, _ = written(labelled.where("lang is not null and text is not null").select("text", "lang").mapInArrow(batches, "part string, counts binary"), "language-counts")
+    counted, _ = written(labelled.where("lang is not null and text is not null").select("text", "lang").mapInArrow(lean(batches), "part string, counts binary"), "language-counts")
     got = {r["part"]: np.frombuffer(r["counts"], np.int64) for r in counted.groupBy("part").applyInArrow(added, "part string, counts binary").collect()}
     logs = []
     for t in "gw":
@@ -209,9 +260,8 @@ def label(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                 spans = pa.StructArray.from_arrays([pa.array(w.start[at] - offsets[rows[at]]), pa.array(w.stop[ends] - offsets[rows[at]]), pa.array(names[labels[at]], pa.string())], ["start", "stop", "lang"])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows[at], minlength=b.num_rows))]), pa.int32()), spans)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[np.where(there, top, len(m.langs))], pa.string()), pa.array(score), lists], [f.name for f in schema.fields])
-        released()
 
-    return docs.mapInArrow(batches, schema)
+    return docs.mapInArrow(lean(batches), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quill.llm.shared import steps, written
+from quill.llm.shared import lean, steps, written
 
 SEQUENCE, END_ID = 4096, 2
 #: With more sources the smallest without a weight share queues, so that a slot's grants stay this few.
@@ -32,7 +32,7 @@ _encoders: dict = {}
 
 
 def encoder(path: str):
-    """The worker's encoder of a tokenizer file."""
+    """The worker's encoder of a tokenizer file; it lives as long as its task."""
     if path not in _encoders:
         from quill.llm.tokens import Encoder
 
@@ -193,9 +193,10 @@ def tokenized(docs: DataFrame, tokenizer: str, source: str = "source") -> DataFr
                 offsets = np.concatenate([[0], stops * kind.itemsize]).astype(np.int32)
                 data = pa.Array.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(offsets), pa.py_buffer(full.tobytes())])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array([part] * len(stops), pa.int32()), pa.array(before, pa.int64()), pa.array(counts + 1, pa.int64()), data], ["doc_id", "source", "part", "before", "n", "ids"])
+        _encoders.clear()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), name.alias("source"))
-    return written(rows.mapInArrow(batches, "doc_id bigint, source string, part int, before bigint, n bigint, ids binary"), "tokens")[0]
+    return written(rows.mapInArrow(lean(batches), "doc_id bigint, source string, part int, before bigint, n bigint, ids binary"), "tokens")[0]
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float] | None = None, source: str = "source", sequence: int = SEQUENCE, queues: int = QUEUES) -> DataFrame:
@@ -240,7 +241,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], fields)
 
     placed = rows.join(bases.select("part", "source", "base"), ["part", "source"]).select("doc_id", "source", (F.col("base") + F.col("before")).alias("start"), "n", "ids")
-    return placed.mapInArrow(batches, PIECES)
+    return placed.mapInArrow(lean(batches), PIECES)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

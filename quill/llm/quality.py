@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quill.llm.shared import Rolling, flat, steps, written
+from quill.llm.shared import Rolling, flat, lean, steps, written
 
 BITS = 16
 #: Documents that the scorer is trained on, at most: those of the smallest hashes of doc_id.
@@ -136,7 +136,7 @@ def voted(docs: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["code", "n"])
 
-    return docs.select("text").mapInArrow(batches, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(batches), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +182,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array([sum(len(p[3]) for p in parts)], pa.int64()), pa.array([np.append(w, bias).tobytes()], pa.binary())], ["n", "weights"])
 
     sample = docs.where(order <= bound).select("text").repartition(SHARDS)
-    shards = written(sample.mapInArrow(fitted, "n bigint, weights binary"), "quality-weights")[0].collect()  # SHARDS rows of fixed size
+    shards = written(sample.mapInArrow(lean(fitted), "n bigint, weights binary"), "quality-weights")[0].collect()  # SHARDS rows of fixed size
     n = np.array([r["n"] for r in shards], float)
     return posteriors, np.average([np.frombuffer(r["weights"]) for r in shards], axis=0, weights=n), right
 
@@ -210,4 +210,4 @@ def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
                 score = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes), pa.array(posteriors[codes]), pa.array(score), pa.array(score >= least)], [f.name for f in schema.fields])
 
-    return docs.mapInArrow(batches, schema)
+    return docs.mapInArrow(lean(batches), schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quill.llm.shared import Rolling, dropped, flat, partitions, steps, stops, written
+from quill.llm.shared import Rolling, dropped, flat, lean, partitions, steps, stops, written
 
 LENGTH, START = 50, 20
 WINDOWS = LENGTH - START + 1
@@ -139,7 +139,7 @@ def _first_round(rows: DataFrame, buckets: int) -> DataFrame:
                     out.append((int(k), alone[part].tobytes(), twice[torder][t].tobytes(), None, None, ids[r].tobytes(), versions[r].tobytes(), counts.astype(np.uint32).tobytes(), alone_own[part].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return rows.mapInArrow(batches, FIRST)
+    return rows.mapInArrow(lean(batches), FIRST)
 
 
 def _unpacked(table: pa.Table, column: str, kind) -> np.ndarray:
@@ -271,7 +271,7 @@ def _second_round(found: DataFrame, buckets: int) -> DataFrame:
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return found.mapInArrow(batches, SECOND)
+    return found.mapInArrow(lean(batches), SECOND)
 
 
 def _cuts(entries: DataFrame) -> DataFrame:
@@ -375,5 +375,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.xxhash64(text).alias("v"), text.alias("text"))
     marked = ranges.withColumn("copied", F.lit(False)).unionByName(copies.select("d", "v", F.expr("cast(null as array<binary>)").alias("cuts"), F.lit(True).alias("copied")))
-    return rows.join(marked, ["d", "v"], "left").select("doc_id", "text", "cuts", "copied").mapInArrow(batches, kinds)
+    return rows.join(marked, ["d", "v"], "left").select("doc_id", "text", "cuts", "copied").mapInArrow(lean(batches), kinds)
 

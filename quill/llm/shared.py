@@ -3,25 +3,35 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on; temporaries take some 60 times as much.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    A temporary one is set only on a local master, as in tests; on a cluster no other machine sees it.
+    """
+    context = spark.sparkContext
+    set_dir = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not set_dir and context._jsc.sc().getCheckpointDir().isDefined():
+        set_dir = context._jsc.sc().getCheckpointDir().get()
     if not set_dir:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="quill-")
-        spark.conf.set("spark.checkpoint.dir", set_dir)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that all executors see")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quill-"))
+        set_dir = context._jsc.sc().getCheckpointDir().get()
     return set_dir.rstrip("/")
 
 
@@ -86,6 +96,23 @@ def released() -> None:
     ctypes.CDLL(None).malloc_trim(0)
 
 
+def lean(batches: Callable) -> Callable:
+    """A function of ``mapInArrow`` that gives its memory back when its task ends, and now and then before."""
+
+    @functools.wraps(batches)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for k, out in enumerate(batches(it)):
+                yield out
+                del out
+                if k % 64 == 63:
+                    pa.default_memory_pool().release_unused()
+        finally:
+            released()
+
+    return run
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values (splitmix64's finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -108,7 +135,8 @@ class Rolling:
         self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
-        if len(self.up) < n:
+        """Tables of n powers at least; those for a longer step than usual go with the next step."""
+        if len(self.up) < n or len(self.up) > STEP_BYTES + 1 >= n:
             for name, b in (("up", self.base), ("down", self.inverse)):
                 p = np.full(n, b, np.uint64)
                 p[0] = 1

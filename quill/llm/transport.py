@@ -17,9 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quill.llm.shared import lean, written
+
 PACKET, SYNC, PAT_PID, PMT_PID, DATA_PID = 188, 0x47, 0, 0x1000, 0x0100
 #: Bytes of an access unit, and 90 kHz ticks between two.
 UNIT_BYTES, TICKS, FIRST_PTS = 32_000, 3_600, 90_000
+#: The clock is so many ticks behind the stamp of the unit it comes with.
+DELAY = 9_000
 #: Every so many access units is a random-access point.
 ACCESS_EVERY = 4
 #: stream_type and stream_id of private data in PES packets.
@@ -61,14 +65,19 @@ def _stamp(pts: int) -> bytes:
     return bytes([0x21 | (pts >> 29) & 0x0E, pts >> 22 & 0xFF, 1 | pts >> 14 & 0xFE, pts >> 7 & 0xFF, 1 | pts << 1 & 0xFE])
 
 
+def _clock(ticks: int) -> bytes:
+    """A program clock reference: 33 bits of 90 kHz, six reserved ones, an extension of 0."""
+    return (ticks << 15 | 0x7E00).to_bytes(6, "big")
+
+
 def mux(payload: bytes) -> bytes:
     """Payload cut into access units, each one PES packet with a timestamp, in 188-byte packets."""
     parts, counter = [_TABLES], 0
     for k, at in enumerate(range(0, len(payload), UNIT_BYTES)):
         pes = b"\x00\x00\x01" + bytes([PRIVATE_ID]) + (min(len(payload) - at, UNIT_BYTES) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(FIRST_PTS + k * TICKS) + payload[at : at + UNIT_BYTES]
-        flags = 0x40 if k % ACCESS_EVERY == 0 else 0x00
-        # the first packet has an adaptation field with the random-access flag; the last one is stuffed by one
-        room = 184 - 2
+        # the first packet has an adaptation field, at access points with their flag and the clock; the last one is stuffed by one
+        field_ = (b"\x50" + _clock(FIRST_PTS + k * TICKS - DELAY)) if k % ACCESS_EVERY == 0 else b"\x00"
+        room = 184 - 1 - len(field_)
         n = 1 + max(0, -(-(len(pes) - room) // 184))
         out = np.full((n, PACKET), 0xFF, np.uint8)
         out[:, 0], out[:, 1], out[:, 2] = SYNC, DATA_PID >> 8, DATA_PID & 0xFF
@@ -77,14 +86,13 @@ def mux(payload: bytes) -> bytes:
         raw = np.frombuffer(pes, np.uint8)
         first = min(len(raw), room)
         if n == 1:
-            stuff = 184 - first - 1
             out[0, 3] |= 0x20
-            out[0, 4], out[0, 5] = stuff, flags
+            out[0, 4], out[0, 5 : 5 + len(field_)] = 184 - first - 1, np.frombuffer(field_, np.uint8)
             out[0, PACKET - first :] = raw
         else:
             out[0, 3] |= 0x20
-            out[0, 4], out[0, 5] = 1, flags
-            out[0, 6:] = raw[:room]
+            out[0, 4], out[0, 5 : 5 + len(field_)] = len(field_), np.frombuffer(field_, np.uint8)
+            out[0, PACKET - room :] = raw[:room]
             full = raw[room : room + (n - 2) * 184]
             if n > 2:
                 out[1:-1, 4:] = full.reshape(n - 2, 184)
@@ -110,11 +118,15 @@ class Stream:
     lost_sync: int = 0
     gaps: int = 0
     bad_tables: int = 0
+    orphans: int = 0
+    clocks: list[int] = field(default_factory=list)
 
 
 def _read_section(packet: np.ndarray) -> tuple[int, bytes] | None:
-    body = packet[4:].tobytes()
-    body = body[1 + body[0] :]
+    body = packet[5 + int(packet[4]) if packet[3] & 0x20 else 4 :].tobytes()
+    body = body[1 + body[0] :] if body else body
+    if len(body) < 3:
+        return None
     size = ((body[1] & 0x0F) << 8 | body[2]) + 3
     if size < 12 or size > len(body) or section_crc(body[:size]):
         return None
@@ -125,7 +137,9 @@ def demux(media: bytes) -> Stream:
     """Parse tables, check continuity counters per PID and reassemble the PES packets.
 
     Packets without a sync byte are counted and skipped; a gap in a PID's counter is counted and
-    its open unit kept as far as it came. Empty input gives an empty stream.
+    its open unit kept as far as it came; packets before a PID's first unit are counted as orphans.
+    Damaged tables, headers and lengths are counted or read as far as they go, never raised. Empty
+    input gives an empty stream.
     """
     s = Stream()
     raw = np.frombuffer(media, np.uint8, len(media) // PACKET * PACKET).reshape(-1, PACKET)
@@ -140,14 +154,18 @@ def demux(media: bytes) -> Stream:
         if not (got := _read_section(p)):
             s.bad_tables += 1
             continue
-        for i in range(0, len(got[1]), 4):
+        for i in range(0, len(got[1]) - 3, 4):
             maps[(got[1][i + 2] & 0x1F) << 8 | got[1][i + 3]] = got[1][i] << 8 | got[1][i + 1]
     for pid, program in maps.items():
         for p in raw[(pids == pid) & starts]:
             if not (got := _read_section(p)):
                 s.bad_tables += 1
                 continue
-            body, at = got[1], 4 + ((got[1][2] & 0x0F) << 8 | got[1][3])
+            body = got[1]
+            if len(body) < 4:
+                s.bad_tables += 1
+                continue
+            at = 4 + ((body[2] & 0x0F) << 8 | body[3])
             while at + 5 <= len(body):
                 s.programs.setdefault(program, {})[(body[at + 1] & 0x1F) << 8 | body[at + 2]] = body[at]
                 at += 5 + ((body[at + 3] & 0x0F) << 8 | body[at + 4])
@@ -163,8 +181,11 @@ def demux(media: bytes) -> Stream:
         adapted = packets[:, 3] & 0x20 > 0
         begin = np.where(adapted, 5 + packets[:, 4].astype(np.int64), 4)
         access = adapted & (packets[:, 4] > 0) & (packets[:, 5] & 0x40 > 0)
+        clocked = adapted & (packets[:, 4] > 6) & (packets[:, 5] & 0x10 > 0)
+        s.clocks += [int.from_bytes(p[6:12].tobytes(), "big") >> 15 for p in packets[clocked]]
         at = np.flatnonzero(first)
-        for a, b in zip(at, np.r_[at[1:], len(packets)], strict=True):
+        s.orphans += int(at[0]) if len(at) else len(packets)
+        for a, b in zip(at, np.append(at[1:], len(packets))[: len(at)], strict=True):
             block, begins = packets[a:b], begin[a:b]
             if len(block) > 2 and (begins[1:-1] == 4).all():
                 pes = block[0, begins[0] :].tobytes() + block[1:-1, 4:].tobytes() + block[-1, begins[-1] :].tobytes()
@@ -174,7 +195,7 @@ def demux(media: bytes) -> Stream:
                 s.bad_tables += 1
                 continue
             pts = None
-            if pes[7] & 0x80:
+            if pes[7] & 0x80 and len(pes) >= 14:
                 t = pes[9:14]
                 pts = (t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1
             body, declared = pes[9 + pes[8] :], int.from_bytes(pes[4:6], "big")
@@ -196,7 +217,7 @@ def stored(df: DataFrame, text: str = "text", keep: str = "doc_id") -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([mux(padded(x)) for x in raw], pa.large_binary() if sum(map(len, raw)) > 1 << 30 else pa.binary())], ["key", "n_bytes", "media"])
 
     kind = df.schema[keep].dataType.simpleString()
-    return df.select(F.col(keep).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(batches, f"key {kind}, n_bytes bigint, media binary").withColumnRenamed("key", keep)
+    return df.select(F.col(keep).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(lean(batches), f"key {kind}, n_bytes bigint, media binary").withColumnRenamed("key", keep)
 
 
 def read_back(df: DataFrame, keep: str = "doc_id") -> DataFrame:
@@ -220,13 +241,13 @@ def read_back(df: DataFrame, keep: str = "doc_id") -> DataFrame:
             types = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], [f.split()[0] for f in out.split(", ")])
 
-    return df.select(F.col(keep).alias("key"), "n_bytes", "media").mapInArrow(batches, out).withColumnRenamed("key", keep)
+    return df.select(F.col(keep).alias("key"), "n_bytes", "media").mapInArrow(lean(batches), out).withColumnRenamed("key", keep)
 
 
 def media_columns(df: DataFrame, text: str = "text", keep: str = "doc_id") -> DataFrame:
-    """Store each text as a transport stream and read it back.
+    """Store each text as a transport stream in a table of the shared folder, and read that back.
 
     Null and empty texts store 64 zero bytes; repeated rows give repeated results; other columns
     of ``df`` are not read, whatever their names; an empty table gives an empty one.
     """
-    return read_back(stored(df, text, keep), keep)
+    return read_back(written(stored(df, text, keep), "media")[0], keep)

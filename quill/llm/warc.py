@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quill.llm.shared import written
+from quill.llm.shared import lean, written
 
 CHUNK = 1 << 16
 #: Equal payloads of at least so many bytes become revisits.
@@ -120,7 +120,7 @@ def archived(pages: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return written(rows.mapInArrow(batches, CHUNK_SCHEMA), "warc")[0]
+    return written(rows.mapInArrow(lean(batches), CHUNK_SCHEMA), "warc")[0]
 
 
 def records(table: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def records(table: DataFrame) -> DataFrame:
 
     whole = (F.col("chunk_no") == 0) & F.col("last")
     large = table.where(~whole).repartition("record").sortWithinPartitions("record", "chunk_no")
-    return table.where(whole).mapInArrow(batches, RECORD_SCHEMA).unionByName(large.mapInArrow(batches, RECORD_SCHEMA))
+    return table.where(whole).mapInArrow(lean(batches), RECORD_SCHEMA).unionByName(large.mapInArrow(lean(batches), RECORD_SCHEMA))
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
