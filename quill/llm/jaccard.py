@@ -2,33 +2,38 @@
 
 Shingles have one global order: by the count of their rarest word, from a table of fixed size over
 the whole corpus, ties by hash. Two sets that are similar enough share a shingle of their prefixes in
-that order, so only prefixes are dealt out to find candidates. For candidates the order of hashes
-is cut into fragments; partial overlaps are counted per fragment and summed per pair.
+that order, so only prefixes are dealt out, by shingle, to find candidates. The sets of candidates
+are cut into fragments; partial overlaps are counted fragment by fragment and summed per pair.
 
-Groups of documents that share a prefix shingle are not expanded into all pairs: members are
-compared with one of them at a time, and only those whom the verified links leave in different
-components are at last compared with each other.
+Groups of documents that share a prefix shingle are not expanded into all pairs: the members of a
+large group are compared with one of them at a time, and only those whom the verified links leave in
+different components are at last compared with each other, in blocks of a bounded size.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quill.llm.shared import Rolling, dropped, flat, lean, mixed, partitions, steps, stops, written
+from quill.llm.shared import STEP_BYTES, Rolling, dropped, flat, lean, mixed, partitions, steps, table_path, written
 
 WORDS, SIMILARITY = 5, 75
 #: Entries of the word count table (a power of two): what is broadcast is this many bytes, whatever the corpus.
 COUNTERS = 1 << 20
 SLICES = 64
+#: Ranges of hashes that a set is cut into; most pairs that are not similar stop after the first.
 FRAGMENTS = 4
-#: Rounds of comparisons with one member of each group, at most, before all open pairs are compared.
-ROUNDS = 10
-#: Larger groups are compared in blocks of so many documents and bytes of hashes.
-SMALL, BLOCK_ROWS, BLOCK_BYTES = 32, 1024, 1 << 23
+#: Rounds of comparisons with one member of each group, at most, before what is open is compared.
+ROUNDS = 6
+#: Groups of at most FEW are compared at once; open ones of more than SMALL in blocks of so many documents.
+FEW, SMALL, BLOCK_ROWS = 4, 64, 1024
+#: A block that has more feasible pairs than this for each member counts them by fragment, all together.
+DENSE = 4
 LAST_ID = (1 << 63) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -38,11 +43,7 @@ _FACTORS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _rolling: list[Rolling] = []
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of every row, and each row's count."""
-    if not _rolling:
-        _rolling.append(Rolling(9))
-    data, offsets = flat(column)
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = ~_SPACE[data]
     before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
     after = np.concatenate([inside[1:], [False]]) if len(data) else inside
@@ -54,6 +55,29 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(start, offsets))
 
 
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of every row, and each row's count. One long row is taken in blocks of whole words."""
+    if not _rolling:
+        _rolling.append(Rolling(9))
+    data, offsets = flat(column)
+    if len(offsets) != 2 or len(data) <= 2 * STEP_BYTES:
+        return _words(data, offsets)
+    found, low = [], 0
+    while low < len(data):
+        high = min(len(data), low + STEP_BYTES)
+        if high < len(data):
+            blanks = np.flatnonzero(_SPACE[data[low:high]])
+            while not len(blanks) and high < len(data):
+                more = min(len(data), high + STEP_BYTES)
+                blanks = np.flatnonzero(_SPACE[data[high:more]]) + (high - low)
+                high = more
+            high = low + int(blanks[-1]) + 1 if len(blanks) else high
+        found.append(_words(data[low:high], np.array([0, high - low]))[0])
+        low = high
+    hashes = np.concatenate(found)
+    return hashes, np.array([len(hashes)])
+
+
 def shingles(hashes: np.ndarray, counts: np.ndarray, weights: np.ndarray | None = None, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Row, hash and weight of every shingle (with repeats); a row of fewer words is one shingle.
 
@@ -143,124 +167,120 @@ def _weights(counted: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(rows: DataFrame, weights: np.ndarray, similarity: int, n: int, buckets: int) -> DataFrame:
-    """A row per document (d, v, size), and by bucket the prefix shingles of many documents in one row (hashes, docs, set sizes, places in the order)."""
+def _prefixes(rows: DataFrame, weights: np.ndarray, similarity: int, n: int) -> DataFrame:
+    """Of each document (d, size) the shingles h of its prefix with their places in its order; h is null in one row of each, for its size."""
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["d", "v", "size", "bucket", "hashes", "docs", "sizes", "places"]
         for batch in it:
             for b in steps(batch, "text"):
                 row, hashed, load = shingles(*words(b.column("text")), shared.value, n)
                 row, hashed = sets(row, hashed, load.astype(np.uint64) << np.uint64(56) | hashed >> np.uint64(8))
                 size = np.bincount(row, minlength=b.num_rows)
-                m = b.num_rows
-                yield pa.RecordBatch.from_arrays([b.column("d"), b.column("v"), pa.array(size, pa.int64()), pa.nulls(m, pa.int32())] + [pa.nulls(m, pa.binary())] * 4, names)
                 length = size - -(-size * similarity // 100) + 1
                 at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
                 keep = at < length[row]
-                row, hashed, at = row[keep], hashed[keep], at[keep]
-                bucket = (hashed >> np.uint64(20)) % np.uint64(buckets)
-                order = np.argsort(bucket.astype(np.uint32), kind="stable")
-                ids = b.column("d").to_numpy(zero_copy_only=False)[row[order]]
-                hashed, bucket = hashed[order], bucket[order]
-                sizes, places = size[row[order]].astype(np.uint32), at[order].astype(np.uint32)
-                own, first = np.unique(bucket, return_index=True)
-                stop = stops(first, len(bucket))
-                k = len(own)
-                blobs = [[x[i:j].tobytes() for i, j in zip(first, stop, strict=True)] for x in (hashed, ids, sizes, places)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 3 + [pa.array(own, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names)
-
-    return rows.mapInArrow(lean(batches), "d bigint, v bigint, size bigint, bucket int, hashes binary, docs binary, sizes binary, places binary")
-
-
-def _groups(entries: DataFrame, similarity: int) -> DataFrame:
-    """g, d: the documents that share a prefix shingle, equal groups of a bucket once.
-
-    A document leaves a group without another of a size near enough to its own. A group of two
-    also needs that what follows the shared shingle can still make up the overlap.
-    """
+                row, hashed, at = row[keep], hashed[keep].view(np.int64), at[keep].astype(np.int32)
+                ids = b.column("d").to_numpy(zero_copy_only=False)
+                m = b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(size, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], ["d", "size", "h", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(size[row], pa.int32()), pa.array(hashed), pa.array(at)], ["d", "size", "h", "place"])
 
-    def found(table):
-        columns = [np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in (("hashes", np.uint64), ("docs", np.int64), ("sizes", np.uint32), ("places", np.uint32))]
-        order = np.argsort(columns[0])
-        h = columns[0][order]
-        same = np.zeros(len(h) + 1, bool)
-        same[1:-1] = h[1:] == h[:-1]
-        many = order[same[1:] | same[:-1]]
-        h, d, n, i = (c[many] for c in columns)
-        n, i = n.astype(np.int64), i.astype(np.int64)
-        order = np.lexsort((d, n, h))
-        h, d, n, i = h[order], d[order], n[order], i[order]
-        near = np.zeros(len(h), bool)  # the next larger set of the group is near enough
-        near[:-1] = (h[1:] == h[:-1]) & (n[:-1] * 100 >= n[1:] * similarity)
-        keep = near.copy()
-        keep[1:] |= near[:-1]
-        h, d, n, i = h[keep], d[keep], n[keep], i[keep]
-        order = np.lexsort((d, h))
-        h, d, n, i = h[order], d[order], n[order], i[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        h, d, n, i = h[new], d[new], n[new], i[new]
-        if not len(h):
-            return pa.table({c: pa.array([], pa.int64()) for c in ("g", "d")})
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.append(first, len(h)))
-        g = np.add.reduceat(mixed(d.astype(np.uint64) + np.uint64(77)), first) + size.astype(np.uint64)
-        usable = size > 1
-        two = first[size == 2]
-        both, rest = n[two] + n[two + 1], np.minimum(n[two] - i[two], n[two + 1] - i[two + 1])
-        usable[size == 2] = rest * (100 + similarity) >= both * similarity
-        first, size, g = first[usable], size[usable], g[usable]
-        _, one = np.unique(g, return_index=True)
-        at = np.concatenate([np.zeros(0, np.int64), *(np.arange(f, f + k) for f, k in zip(first[one], size[one], strict=True))])
-        return pa.table({"g": np.repeat(g[one].view(np.int64), size[one]), "d": d[at]})
-
-    return entries.groupBy("bucket").applyInArrow(found, "g bigint, d bigint")
-
-
-def _segments(rows: DataFrame, n: int) -> DataFrame:
-    """d, fragment, m, part: the m sorted hashes of each set in each fragment of the order of hashes."""
+    return rows.mapInArrow(lean(batches), "d bigint, size int, h bigint, place int")
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for b in steps(batch, "text"):
-                row, hashed, _ = shingles(*words(b.column("text")), None, n)
-                row, hashed = sets(row, hashed, hashed)
-                key = row * FRAGMENTS + (hashed >> np.uint64(62)).astype(np.int64)
-                cuts = np.searchsorted(key, np.arange(b.num_rows * FRAGMENTS + 1))
-                parts = [hashed[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([b.column("d").take(pa.array(np.repeat(np.arange(b.num_rows), FRAGMENTS))), pa.array(np.tile(np.arange(FRAGMENTS), b.num_rows), pa.int32()), pa.array(np.diff(cuts), pa.int64()), pa.array(parts, pa.binary())], ["d", "fragment", "m", "part"])
 
-    return rows.mapInArrow(lean(batches), "d bigint, fragment int, m bigint, part binary")
+def _groups(entries: DataFrame) -> DataFrame:
+    """g, k, d, size, place: the k documents that share a prefix shingle; equal groups once, with the least places."""
+    same = Window.partitionBy("h")
+    k, one, two = F.count(F.lit(1)).over(same), F.expr("bit_xor(xxhash64(d))").over(same), F.expr("bit_xor(xxhash64(1, d))").over(same)
+    shared = entries.select("h", "d", "size", "place").withColumns({"k": k, "one": one, "two": two}).where("k > 1")
+    return shared.select(F.xxhash64("one", "two", "k").alias("g"), "k", "d", "size", "place").groupBy("g", "d").agg(F.max("k").alias("k"), F.max("size").alias("size"), F.min("place").alias("place"))
 
 
-def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """a, b, fragment, both, least: shared hashes and the smaller count, per fragment of ``segments``."""
+def _feasible(similarity: int, x: str = "x.", y: str = "y.") -> Column:
+    """Whether what follows the first shared shingle, at its place in both orders, can make up the overlap."""
+    n, m = F.col(x + "size"), F.col(y + "size")
+    return F.least(n - F.col(x + "place"), m - F.col(y + "place")).cast("long") * (100 + similarity) >= (n + m).cast("long") * similarity
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in it:
-            both = [len(np.intersect1d(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), assume_unique=True)) for p, q in zip(x.column("p"), x.column("q"), strict=True)]
-            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(both, pa.int64()), x.column("least")], ["a", "b", "both", "least"])
 
-    own, hub = segments.select(F.col("d").alias("b"), "fragment", F.col("part").alias("q"), F.col("m").alias("mq")), segments.select(F.col("d").alias("a"), "fragment", F.col("part").alias("p"), F.col("m").alias("mp"))
-    met = pairs.select("a", "b").join(own.hint("merge"), "b").join(hub.hint("merge"), ["a", "fragment"]).select("a", "b", "p", "q", F.least("mp", "mq").alias("least"))
-    return met.mapInArrow(lean(batches), "a bigint, b bigint, both bigint, least bigint")
+def _pairs(groups: DataFrame, similarity: int, apart: bool) -> DataFrame:
+    """a, b: feasible pairs of the members of small groups; ``apart``: of different components c only."""
+    x, y = groups.alias("x"), groups.alias("y")
+    met = x.join(y.hint("merge"), (F.col("x.g") == F.col("y.g")) & (F.col("x.d") < F.col("y.d")) & _feasible(similarity))
+    if apart:
+        met = met.where("x.c <> y.c")
+    return met.select(F.col("x.d").alias("a"), F.col("y.d").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame:
-    """Of the pairs (a, b) those that are similar enough, by overlaps counted per fragment and summed.
+class Fragments:
+    """The sets of documents as a table bucketed by document, a column for each fragment of the order of hashes.
 
-    Pairs whose first fragment leaves too little to reach the similarity stop there.
+    Joins with it move the other side only, whatever the size of the table.
     """
-    fits = pairs.join(sizes.select(F.col("d").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("d").alias("b"), F.col("size").alias("nb")), "b")
-    fits = fits.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity) & (F.least("na", "nb") > 0))
-    enough = lambda both: both * (100 + similarity) >= (F.col("na") + F.col("nb")) * similarity
-    begun = _overlaps(fits, segments.where("fragment = 0")).withColumnsRenamed({"both": "begun", "least": "least0"})
-    # what the other fragments share at most is what the smaller set has outside the first
-    open_, _ = written(fits.join(begun, ["a", "b"]).where(enough(F.col("begun") + F.least("na", "nb") - F.least(F.col("least0"), F.least("na", "nb")))), "open-pairs")
-    rest = _overlaps(open_, segments.where("fragment > 0")).groupBy("a", "b").agg(F.sum("both").alias("both"))
-    return open_.join(rest, ["a", "b"]).where(enough(F.col("both") + F.col("begun"))).select("a", "b")
+
+    def __init__(self, rows: DataFrame, n: int):
+        names = ["d", "size", *(f"p{k}" for k in range(FRAGMENTS))]
+
+        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                for b in steps(batch, "text"):
+                    row, hashed, _ = shingles(*words(b.column("text")), None, n)
+                    row, hashed = sets(row, hashed, hashed)
+                    key = row * FRAGMENTS + (hashed >> np.uint64(62)).astype(np.int64)
+                    cuts = np.searchsorted(key, np.arange(b.num_rows * FRAGMENTS + 1))
+                    parts = [hashed[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+                    size = np.bincount(row, minlength=b.num_rows)
+                    yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(size, pa.int64()), *(pa.array(parts[k::FRAGMENTS], pa.binary()) for k in range(FRAGMENTS))], names)
+
+        self.spark, self.name, self.path = rows.sparkSession, f"quill_sets_{uuid.uuid4().hex}", table_path(rows.sparkSession, "sets")
+        made = rows.mapInArrow(lean(batches), "d bigint, size bigint, " + ", ".join(f"{x} binary" for x in names[2:]))
+        count = partitions(self.spark)
+        made.repartition(count, "d").write.bucketBy(count, "d").sortBy("d").option("compression", "zstd").option("path", self.path).saveAsTable(self.name)
+
+    def table(self, *columns: str) -> DataFrame:
+        return self.spark.table(self.name).select("d", *columns)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        dropped(self.spark, self.path)
+
+    def overlaps(self, pairs: DataFrame, fragments: list[int], keep: str) -> DataFrame:
+        """``keep`` and, of each pair (a, b), the shared hashes and the smaller count in each of the fragments."""
+        kept = keep.split(", ")
+        out = [f"{kind}{k}" for k in fragments for kind in ("both", "least")]
+
+        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in it:
+                columns = []
+                for k in fragments:
+                    both, least = np.zeros(x.num_rows, np.int64), np.zeros(x.num_rows, np.int64)
+                    for i, (p, q) in enumerate(zip(x.column(f"p{k}"), x.column(f"q{k}"), strict=True)):
+                        p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                        s = np.sort(np.concatenate([p, q]), kind="stable")
+                        both[i], least[i] = int((s[1:] == s[:-1]).sum()), min(len(p), len(q))
+                    columns += [pa.array(both), pa.array(least)]
+                yield pa.RecordBatch.from_arrays([*(x.column(c) for c in kept), *columns], [*kept, *out])
+
+        q, p = ([f"{c}{k}" for k in fragments] for c in "qp")
+        own = self.table("size", *p).withColumnsRenamed(dict(zip(p, q, strict=True)) | {"d": "b", "size": "nb"})
+        hub = self.table("size", *p).withColumnsRenamed({"d": "a", "size": "na"})
+        met = pairs.join(own.hint("merge"), "b").join(hub.hint("merge"), "a").select(*kept, *p, *q)
+        return met.mapInArrow(lean(batches), ", ".join(f"{c} bigint" for c in [*kept, *out]))
+
+    def verified(self, pairs: DataFrame, similarity: int) -> DataFrame:
+        """Of the pairs (a, b) those that are similar enough, by overlaps counted per fragment and summed.
+
+        Pairs whose first fragment leaves too little to reach the similarity stop there.
+        """
+        enough = lambda both: both * (100 + similarity) >= (F.col("na") + F.col("nb")) * similarity
+        begun = self.overlaps(pairs.select("a", "b"), [0], "a, b, na, nb")
+        # what the other fragments share at most is what the smaller set has outside the first
+        open_, path = written(begun.where(enough(F.col("both0") + F.least("na", "nb") - F.least("least0", F.least("na", "nb")))).select("a", "b", "both0"), "open-pairs")
+        rest = self.overlaps(open_, list(range(1, FRAGMENTS)), "a, b, both0, na, nb")
+        total = sum((F.col(f"both{k}") for k in range(1, FRAGMENTS)), F.col("both0"))
+        links, _ = written(rest.where(enough(total)).select("a", "b"), "links")
+        dropped(self.spark, path)
+        return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -282,83 +302,101 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _placed(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """g, d, c of the groups whose documents are not yet in one component."""
+    """The rows of groups whose documents are not yet in one component, with their components c."""
     if labels is None:
         return groups.withColumn("c", F.col("d"))
-    placed = groups.join(labels, "d", "left").select("g", "d", F.coalesce("c", "d").alias("c"))
+    placed = groups.join(labels, "d", "left").withColumn("c", F.coalesce("c", "d"))
     split = placed.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("g")
     return placed.join(split, "g")
 
 
-def _links(groups: DataFrame, segments: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame:
+def _links(groups: DataFrame, fragments: Fragments, similarity: int) -> DataFrame:
     """Links (a, b) that connect all documents of the groups that similar pairs connect.
 
-    Each round compares one member of the largest component of each group with the group's other
-    components, another member each time. When rounds find little, or few pairs are left, all
-    pairs across components that no round has compared are.
+    Each round compares one member of the largest component of each large group with the group's
+    other components, another member each time. When rounds find little, all feasible pairs across
+    components that no round has compared are.
     """
-    tested: DataFrame | None = None
-    links: DataFrame | None = None
+    tested = links = None
     labels: DataFrame | None = None
     for turn in range(ROUNDS):
-        placed, _ = written(_placed(groups, labels), "open-groups")
-        counts = placed.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"), F.min_by("d", F.xxhash64("d", F.lit(turn))).alias("hub"))
-        by_group, _ = written(counts.groupBy("g").agg(F.max_by(F.struct("c", "hub"), F.struct("k", -F.col("c"))).alias("top"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("inside")).select("g", "top.c", "top.hub", "n", "inside"), "group-hubs")
-        left = by_group.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2).alias("pairs")).first()
-        if not left["rows"]:
-            return links
-        few = turn > 0 and left["pairs"] <= 2 * left["rows"]
-        if few or turn == ROUNDS - 1:
+        placed, placed_path = written(_placed(groups.where(F.col("k") > FEW), labels), "open-groups")
+        by_part = placed.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("d", "size"), F.xxhash64("d", F.lit(turn))).alias("hub"))
+        by_group = by_part.groupBy("g").agg(F.max_by(F.struct("c", "hub"), F.struct("n", -F.col("c"))).alias("top")).select("g", F.col("top.c").alias("top"), F.col("top.hub.d").alias("hub"), F.col("top.hub.size").alias("hub_size"))
+        near = F.least("size", "hub_size") * 100 >= F.greatest("size", "hub_size") * similarity
+        stars = placed.join(by_group, "g").where((F.col("c") != F.col("top")) & near).select(F.least("hub", "d").alias("a"), F.greatest("hub", "d").alias("b")).distinct()
+        if turn == 0:
+            stars = stars.unionByName(_pairs(groups.where(F.col("k") <= FEW), similarity, False)).distinct()
+        fresh, _ = written(stars if tested is None else stars.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        n = fresh.count()
+        dropped(groups.sparkSession, placed_path)
+        if not n:
             break
-        stars = placed.join(by_group.select("g", F.col("c").alias("top"), "hub"), "g").where("c <> top").select(F.least("hub", "d").alias("a"), F.greatest("hub", "d").alias("b")).distinct()
-        fresh, _ = written(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = fresh if tested is None else tested.unionByName(fresh)
-        new, _ = written(_verified(fresh, segments, sizes, similarity), "links")
+        new = fragments.verified(fresh, similarity)
         found = new.count()
         links = new if links is None else links.unionByName(new)
         if found:
             labels = components(links)
-        if turn > 0 and found * 50 < fresh.count():
+        if turn and found * 50 < n:
             break
-    open_, _ = written(_placed(groups, labels), "open-groups")
-    large = open_.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).select("g")
-    small = open_.join(large, "g", "left_anti")
-    others = small.alias("x").join(small.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c"))).select(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")).distinct()
-    last, _ = written(_verified(others if tested is None else others.join(tested, ["a", "b"], "left_anti"), segments, sizes, similarity), "links")
-    blocks, _ = written(_block_links(open_.join(large, "g"), segments, sizes, similarity), "links")
-    found = last.unionByName(blocks)
+    open_, path = written(_placed(groups.where(F.col("k") > FEW), labels), "open-groups")
+    last = _pairs(open_.where(F.col("k") <= SMALL), similarity, True)
+    blocks, blocks_path = written(_blocks(open_.where(F.col("k") > SMALL), similarity), "blocks")
+    last = last.unionByName(blocks.where("a is not null").select("a", "b")).distinct()
+    last, _ = written(last if tested is None else last.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    found = fragments.verified(last, similarity)
+    dense, _ = written(_dense_links(open_, blocks.where("a is null").select("g", "i", "j"), fragments, similarity), "links")
+    dropped(groups.sparkSession, path, blocks_path)
+    found = found.unionByName(dense)
     return found if links is None else links.unionByName(found)
 
 
-def _block_links(open_: DataFrame, segments: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame:
-    """Links across the components of large groups (g, d, c), without rows for pairs.
+def _dealt(open_: DataFrame) -> DataFrame:
+    """The members of large groups, cut into blocks of a bounded size, once for each two blocks (i, j) that meet."""
+    cuts = F.ceil(F.col("k") / BLOCK_ROWS).cast("int")
+    dealt = open_.withColumn("own", F.pmod(F.xxhash64("d"), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    return dealt.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "d", "c", "size", "place", "own")
+
 
-    Groups with common documents are taken together and cut into blocks of a bounded size; each
-    two blocks meet in one task, which adds up the overlaps of its documents fragment by fragment
-    and gives, for each document, one link into each component that it is similar to.
+def _blocks(open_: DataFrame, similarity: int) -> DataFrame:
+    """Of each two blocks of large groups the feasible pairs (a, b) across components or, where these are many, a row without a pair."""
+
+    most = 2 * DENSE
+
+    def met(table):
+        order = np.argsort(table.column("d").to_numpy())
+        d, c, n, place, own = (table.column(x).to_numpy()[order].astype(np.int64) for x in ("d", "c", "size", "place", "own"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        ok = np.minimum((n - place)[left][:, None], (n - place)[right][None]) * (100 + similarity) >= (n[left][:, None] + n[right][None]) * similarity
+        p, q = np.nonzero(ok & (c[left][:, None] != c[right][None]))
+        a, b = np.minimum(d[left[p]], d[right[q]]), np.maximum(d[left[p]], d[right[q]])
+        if len(a) > most * len(d):
+            a, b = pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())
+        m = len(a)
+        return pa.table({"g": pa.array([table.column("g")[0].as_py()] * m, pa.int64()), "i": pa.array([i] * m, pa.int32()), "j": pa.array([j] * m, pa.int32()), "a": a, "b": b})
+
+    return _dealt(open_).groupBy("g", "i", "j").applyInArrow(met, "g bigint, i int, j int, a bigint, b bigint")
+
+
+def _dense_links(open_: DataFrame, dense: DataFrame, fragments: Fragments, similarity: int) -> DataFrame:
+    """Links across components of the blocks that have many feasible pairs, without rows for pairs.
+
+    A task adds up the overlaps of the documents of two blocks fragment by fragment and gives, for
+    each document, one link into each component that it is similar to.
     """
-    hubs = open_.groupBy("g").agg(F.min("d").alias("a"))
-    family = components(open_.join(hubs, "g").select("a", F.col("d").alias("b")).distinct())
-    members, _ = written(open_.select("d", "c").distinct().join(family.select("d", F.col("c").alias("f")), "d").join(sizes, "d"), "families")
-    cuts = members.groupBy("f").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("cuts"))
-    dealt = members.join(cuts, "f").withColumn("own", F.pmod(F.xxhash64("d"), F.col("cuts")).cast("int"))
-    dealt = dealt.select("f", "d", "c", "size", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
-    dealt = dealt.select("f", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "d", "c", "size", "own")
 
     def met(table):
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         d, c, size, own = (table.column(x).to_numpy() for x in ("d", "c", "size", "own"))
-        ids, first, at = np.unique(d, return_index=True, return_inverse=True)
-        c, size, own = c[first], size[first], own[first]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        place = np.zeros((2, len(ids)), np.int64)
+        place = np.zeros((2, len(d)), np.int64)
         place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
         both = np.zeros((len(left), len(right)), np.float32)
-        fragment = table.column("fragment").to_numpy()
         for f in range(FRAGMENTS):
-            rows = np.flatnonzero(fragment == f)
-            parts = [np.frombuffer(table.column("part")[int(r)].as_buffer(), np.uint64) for r in rows]
-            doc = np.repeat(at[rows], [len(x) for x in parts])
+            parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(f"p{f}")]
+            doc = np.repeat(np.arange(len(d)), [len(x) for x in parts])
             hashed, column = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_inverse=True)
             many = np.bincount(column, minlength=len(hashed)) > 1
             keep, rank = many[column], np.cumsum(many) - 1
@@ -372,41 +410,46 @@ def _block_links(open_: DataFrame, segments: DataFrame, sizes: DataFrame, simila
                     mine = own[doc[k]] == wanted
                     block[place[side, doc[k][mine]], column[k][mine] - low] = 1
                 both += x @ y.T
-        total = size[left][:, None] + size[right][None, :]
+        total = size[left][:, None].astype(np.int64) + size[right][None, :]
         p, q = np.nonzero((both.astype(np.int64) * (100 + similarity) >= total * similarity) & (c[left][:, None] != c[right][None, :]))
         _, one = np.unique(np.stack([left[p], np.unique(c, return_inverse=True)[1][right[q]]]), axis=1, return_index=True)
-        a, b = ids[left[p[one]]], ids[right[q[one]]]
+        a, b = d[left[p[one]]], d[right[q[one]]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    rows = dealt.join(segments.select("d", "fragment", "part"), "d")
-    return rows.groupBy("f", "i", "j").applyInArrow(met, "a bigint, b bigint").distinct()
+    rows = _dealt(open_).drop("size", "place").join(dense.hint("merge"), ["g", "i", "j"], "left_semi")
+    rows = rows.join(fragments.table("size", *(f"p{k}" for k in range(FRAGMENTS))).hint("merge"), "d")
+    return rows.groupBy("g", "i", "j").applyInArrow(met, "a bigint, b bigint").distinct()
 
 
 def linked(docs: DataFrame, similarity: int = SIMILARITY, n: int = WORDS) -> DataFrame:
-    """d, v, size, c per row of ``docs``: set size and component; v tells rows of one doc_id apart."""
+    """d, size, c per document of ``docs`` that has words: set size and component."""
     spark = docs.sparkSession
     rows = _keyed(docs)
     counted, counted_path = written(_sequences_and_counts(rows), "word-counts")
     weights = _weights(counted)
-    each = counted.where("slice is null and n_words > 0")
-    classes, _ = written(each.groupBy("s1", "s2").agg(F.min(F.struct("d", "v")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("s1", "s2", F.col("first.d").alias("rep"), F.col("first.v").alias("rep_v")), "classes")
-    copies, _ = written(each.join(classes, ["s1", "s2"]).where("d <> rep or v <> rep_v").select("d", "v", "rep", "rep_v").distinct(), "copies")
+    # rows of one doc_id are one document: the one of most words stands for them
+    each = counted.where("slice is null and n_words > 0").groupBy("d").agg(F.max(F.struct("n_words", "v", "s1", "s2")).alias("r")).select("d", "r.v", "r.s1", "r.s2")
+    classes = each.groupBy("s1", "s2").agg(F.min("d").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("s1", "s2", "rep")
+    nodes, nodes_path = written(each.join(classes, ["s1", "s2"], "left").select("d", "v", F.coalesce("rep", "d").alias("rep")), "nodes")
     dropped(spark, counted_path)
     # what these sides hold grows with the corpus: sort and merge at every size, never a broadcast
-    rest = rows.join(copies.select("d", "v").hint("merge"), ["d", "v"], "left_anti")
-    prefixes, prefix_path = written(_prefixes(rest, weights, similarity, n, partitions(spark)), "prefixes")
-    sizes, _ = written(prefixes.where("bucket is null").select("d", "v", "size").distinct(), "set-sizes")
-    groups, _ = written(_groups(prefixes.where("bucket is not null").select("bucket", "hashes", "docs", "sizes", "places"), similarity), "groups")
-    dropped(spark, prefix_path)
-    # rows of one doc_id are one document: its largest set stands for it
-    own, _ = written(sizes.join(groups.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.max(F.struct("size", "v")).alias("s")).select("d", "s.size", "s.v"), "members")
-    segments, segment_path = written(_segments(rows.join(own.select("d", "v").hint("merge"), ["d", "v"], "left_semi").dropDuplicates(["d"]), n), "segments", "fragment")
-    links = _links(groups, segments, own.select("d", "size"), similarity)
-    same = copies.select(F.col("rep").alias("a"), F.col("d").alias("b")).where("a <> b").distinct()
-    final = components(same if links is None else links.unionByName(same))
-    dropped(spark, segment_path)
-    all_ = copies.join(sizes.select(F.col("d").alias("rep"), F.col("v").alias("rep_v"), "size"), ["rep", "rep_v"]).select("d", "v", "size").unionByName(sizes).distinct()
-    return written(all_.join(final, "d", "left").select("d", "v", "size", F.coalesce("c", "d").alias("c")), "linked")[0]
+    own = nodes.where("d = rep").select("d", "v")
+    rest = rows.join(own.hint("merge"), ["d", "v"], "left_semi").dropDuplicates(["d"])
+    entries, entries_path = written(_prefixes(rest, weights, similarity, n), "prefixes")
+    dropped(spark)
+    sizes, sizes_path = written(entries.where("h is null").select("d", "size"), "set-sizes")
+    groups, groups_path = written(_groups(entries.where("h is not null")), "groups")
+    dropped(spark, entries_path)
+    members = groups.select("d").distinct()
+    fragments = Fragments(rows.join(own.join(members, "d", "left_semi").hint("merge"), ["d", "v"], "left_semi").dropDuplicates(["d"]), n)
+    dropped(spark)
+    links = _links(groups, fragments, similarity)
+    final = components(links)
+    fragments.drop()
+    out = nodes.join(sizes.withColumnRenamed("d", "rep"), "rep").join(final.withColumnRenamed("d", "rep"), "rep", "left").select("d", "size", F.coalesce("c", "rep").alias("c"))
+    out, _ = written(out, "linked")
+    dropped(spark, nodes_path, sizes_path, groups_path)
+    return out
 
 
 def similar_documents(docs: DataFrame, similarity: int = SIMILARITY, n: int = WORDS) -> DataFrame:
@@ -414,12 +457,14 @@ def similar_documents(docs: DataFrame, similarity: int = SIMILARITY, n: int = WO
 
     Documents link when 100 * intersection >= ``similarity`` * union of their sets of ``n``-word
     shingles; component_id is the smallest doc_id reachable by links. Texts of fewer words are one
-    shingle; null texts and texts without words have none and link with nothing. Repeated rows get
-    equal results. Null doc_ids are one document, after all others. Columns of docs of these names
-    are replaced. An empty table gives an empty one.
+    shingle; null texts and texts without words have none and link with nothing. Rows of one doc_id
+    are one document, for which the text of most words stands (of those the one of the largest
+    hash), and get equal results. Null doc_ids are one document, after all others; its component_id
+    is null where it links with no other. Columns of docs of these names are replaced. An empty table
+    gives an empty one.
     """
     out = linked(docs, similarity, n)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.drop("n_shingles", "component_id", "_d", "_v").withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_v": F.xxhash64(text)})
-    named = out.select(F.col("d").alias("_d"), F.col("v").alias("_v"), F.col("size").alias("n_shingles"), F.col("c").alias("component_id"))
-    return rows.join(named, ["_d", "_v"]).withColumn("component_id", F.when(F.col("component_id") < LAST_ID, F.col("component_id"))).drop("_d", "_v")
+    rows = docs.drop("n_shingles", "component_id", "_d").withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
+    named = out.select(F.col("d").alias("_d"), F.col("size").cast("long").alias("n_shingles"), F.col("c").alias("component_id"))
+    both = rows.join(named, "_d", "left").withColumns({"n_shingles": F.coalesce("n_shingles", F.lit(0)).cast("long"), "component_id": F.coalesce("component_id", "_d")})
+    return both.withColumn("component_id", F.when(F.col("component_id") < LAST_ID, F.col("component_id"))).drop("_d")

@@ -138,12 +138,14 @@ def test_tokens_equal_the_tokenizers():
     assert [ids[s - n : s].tolist() for s, n in zip(stops, counts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-@pytest.mark.parametrize("small", [32, 1])
-def test_jaccard(docs, empty, monkeypatch, small):
+@pytest.mark.parametrize(("few", "small", "dense"), [(4, 64, 4), (1, 1, 0), (1, 1, 99)])
+def test_jaccard(docs, empty, monkeypatch, few, small, dense):
     from quill.llm import jaccard
 
+    monkeypatch.setattr(jaccard, "FEW", few)
     monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "ROUNDS", 1 if small == 1 else 10)
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1 if small == 1 else 6)
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 8)
     got = {r[0]: (r[1], r[2]) for r in jaccard.similar_documents(docs, 30).select("doc_id", "n_shingles", "component_id").collect()}
     assert got == brute.components(ROWS, 30)
