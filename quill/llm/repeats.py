@@ -1,41 +1,50 @@
 """Removal of byte strings that earlier documents have, by prefix doubling over position ranks.
 
-Positions are ranked by the hash of their first bytes; those of unique rank drop out, for the
-others the pair with the rank at the next offset decides. Ranks of all positions are too many to
-sort, so the first round ranks anchors only: in every window of ``LENGTH`` bytes the position whose
-``START`` bytes have the smallest hash. Equal windows have equal anchors at equal places, so a
-window whose anchor is unique is unique. The second round ranks the windows of the anchors that are
-left, ``LENGTH`` bytes in one step, by 128-bit hashes of what surrounds each anchor.
-
-What a task can settle among the documents it holds it does not send: many copies of a passage
-meet as one entry from each batch, with the other places of that entry's document as numbers.
+Spark sorts (rank, document, position) rows at growing lengths, 20, 35 and ``LENGTH`` bytes; what has
+a rank of its own, or one that no other document has, drops out before the next. Ranks of all
+positions are too many to sort, so the first round ranks anchors only: in every window of ``LENGTH``
+bytes the position whose ``START`` bytes have the smallest hash. Equal windows have equal anchors at
+equal places, so a window whose anchor is unique is unique.
+
+1. Anchors by the rank of their 20 bytes. Those of one document alone drop out.
+2. The others by the rank of all their windows together. Later documents lose these windows at once;
+   the first document of each rank goes on.
+3. The pairs (rank of the anchor, rank of the 15 bytes before or after it). Every window of an anchor
+   has one or the other; windows whose pair is in one document alone drop out.
+4. What is left, window by window.
+
+Ranks are hashes, of 128 bits where they decide. What a task can settle among the documents it holds
+it does not send: of many copies of a string one from each step of text meets the others.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quill.llm.shared import Rolling, dropped, flat, lean, partitions, steps, stops, written
+from quill.llm.shared import STEP_BYTES, Rolling, dropped, flat, lean, mixed, partitions, steps, stops, table_path, written
 
 LENGTH, START = 50, 20
+#: Bytes beside an anchor that the third round adds: every window has them on one side.
+BESIDE = (LENGTH - START) // 2
 WINDOWS = LENGTH - START + 1
 CONTEXT = LENGTH + WINDOWS - 1
 LAST_ID = (1 << 63) - 1
-#: An anchor of a row: its place, how far before it its first window starts, and how many more windows it has.
-ANCHOR = np.dtype([("at", "<u4"), ("left", "u1"), ("more", "u1")])
-#: A further place of a context that a row sends: which of the bucket's contexts, the version, and the anchor.
-AGAIN = np.dtype([("head", "<u4"), ("v", "<i8"), ("at", "<u4"), ("left", "u1")])
+#: Anchors whose contexts are hashed at once.
+AT_ONCE = 1 << 15
 _rolling: list[Rolling] = []
 
 
 def _rollings() -> list[Rolling]:
     if not _rolling:
         _rolling.extend((Rolling(17), Rolling(19)))
+        for r in _rolling:
+            r.sums(np.zeros(CONTEXT, np.uint8))
     return _rolling
 
 
@@ -44,6 +53,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     none = (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
     if len(data) < LENGTH:
         return none
+    if len(offsets) == 2 and len(data) > 2 * STEP_BYTES:  # one long row: blocks that overlap by a window
+        cut = [(low, anchors(data[low : low + STEP_BYTES + LENGTH - 1], np.array([0, len(data[low : low + STEP_BYTES + LENGTH - 1])]))) for low in range(0, len(data), STEP_BYTES)]
+        return tuple(np.concatenate([x[k] + (low if k else 0) if k else x[k] for low, x in cut]) for k in range(4))
     rolling = _rollings()[0]
     hashed = rolling.windows(rolling.sums(data), START)
     key = hashed >> np.uint64(32) << np.uint64(32) | np.arange(len(hashed), dtype=np.uint64)
@@ -69,274 +81,193 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashed[at[first]], at[first], start[first], start[last]
 
 
-def _sorted_groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by the keys, the first one first, and where in it a new value of all keys begins."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    return order, new
+def _packed(at: np.ndarray, left: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """An anchor of a row as one number: its place, how far before it its first window starts, how many more windows it has."""
+    return at << 10 | left << 5 | more
+
 
+def _unpacked(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return p >> 10, p >> 5 & 31, p & 31
 
-def _shared(hashed: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Whether an entry's hash is found in more than one document."""
-    order, new = _sorted_groups(hashed)
-    group = np.cumsum(new) - 1
+
+def _earlier(keys: tuple[np.ndarray, ...], docs: np.ndarray) -> np.ndarray:
+    """Whether an entry's key is found in a document before its own."""
+    order = np.lexsort((docs, *keys[::-1]))
     if not len(order):
         return np.zeros(0, bool)
-    d, first = docs[order], np.flatnonzero(new)
-    many = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    first = docs[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     out = np.zeros(len(order), bool)
-    out[order] = many[group]
+    out[order] = docs[order] > first
     return out
 
 
-def _by_row(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Rows that have values, and the bytes of each row's values; ``row`` is sorted."""
-    own, first = np.unique(row, return_index=True)
-    return own, [values[i:j].tobytes() for i, j in zip(first, stops(first, len(row)), strict=True)]
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.xxhash64(text).alias("v"), F.xxhash64(F.lit(1), text).alias("u"), text.alias("text"))
-
+def _alone(docs: np.ndarray, places: np.ndarray, salt: int) -> np.ndarray:
+    """Keys of their own for entries that are settled."""
+    return mixed(mixed(docs.astype(np.uint64) + np.uint64(salt)) + places.astype(np.uint64))
 
-FIRST = "bucket int, hashes binary, many binary, d bigint, v bigint, ds binary, vs binary, counts binary, anchors binary"
 
+class Texts:
+    """Texts by (d, v) in a table bucketed by them, which later rounds join without moving a text.
 
-def _first_round(rows: DataFrame, buckets: int) -> DataFrame:
-    """By bucket the anchors of many rows (d null), and by row those that its batch already has twice (bucket null)."""
-    names = [f.split()[0] for f in FIRST.split(", ")]
-    types = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for b in steps(batch, "text"):
-                data, offsets = flat(b.column("text"))
-                hashed, at, first, last = anchors(data, offsets)
-                if not len(hashed):
-                    continue
-                ids, versions = (b.column(c).to_numpy(zero_copy_only=False) for c in ("d", "v"))
-                row = np.searchsorted(offsets, at, "right") - 1
-                own = np.zeros(len(at), ANCHOR)
-                own["at"], own["left"], own["more"] = at - offsets[row], at - first, last - first
-                many = _shared(hashed, ids[row])
-                r, blobs = _by_row(row[many], own[many])
-                n = len(r)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in types[:3]] + [pa.array(ids[r]), pa.array(versions[r])] + [pa.nulls(n, pa.binary())] * 3 + [pa.array(blobs, pa.binary())], names)
-                twice = np.unique(hashed[many])
-                bucket, twice_bucket = ((x >> np.uint64(20)) % np.uint64(buckets) for x in (hashed[~many], twice))
-                order = np.argsort(bucket.astype(np.uint32), kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-                torder = np.argsort(twice_bucket, kind="stable")
-                tcuts = np.searchsorted(twice_bucket[torder], np.arange(buckets + 1, dtype=np.uint64))
-                alone, alone_row, alone_own = hashed[~many][order], row[~many][order], own[~many][order]
-                out = []
-                for k in np.flatnonzero((cuts[1:] > cuts[:-1]) | (tcuts[1:] > tcuts[:-1])):
-                    part, t = slice(cuts[k], cuts[k + 1]), slice(tcuts[k], tcuts[k + 1])
-                    r, counts = np.unique(alone_row[part], return_counts=True)
-                    out.append((int(k), alone[part].tobytes(), twice[torder][t].tobytes(), None, None, ids[r].tobytes(), versions[r].tobytes(), counts.astype(np.uint32).tobytes(), alone_own[part].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-    return rows.mapInArrow(lean(batches), FIRST)
+    d: doc_id, null ids last; v: a hash of the text, which tells rows of one doc_id apart; n: how many
+    rows are equal; copied: whether a smaller doc_id has the same text.
+    """
 
+    def __init__(self, docs: DataFrame):
+        self.spark = docs.sparkSession
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.xxhash64(text).alias("v"), F.xxhash64(F.lit(1), text).alias("u"), text.alias("text"))
+        ids, ids_path = written(rows.where(F.octet_length("text") >= LENGTH).groupBy("d", "v", "u").agg(F.count(F.lit(1)).alias("n")), "ids")
+        classes, classes_path = written(ids.groupBy("v", "u").agg(F.min("d").alias("rep"), F.max("d").alias("latest")).where("rep < latest").select("v", "u", "rep"), "classes")
+        marks = ids.join(classes, ["v", "u"], "left").select("d", "v", "n", F.coalesce(F.col("d") > F.col("rep"), F.lit(False)).alias("copied")).where("copied or n > 1")
+        marked = rows.drop("u").join(marks.hint("merge"), ["d", "v"], "left")
+        once = marked.where("n is null or n = 1").withColumn("n", F.lit(1).cast("long"))
+        twice = marked.where("n > 1").dropDuplicates(["d", "v"])
+        both = once.unionByName(twice).select("d", "v", "n", F.coalesce("copied", F.lit(False)).alias("copied"), "text")
+        self.name, self.path, count = f"quill_texts_{uuid.uuid4().hex}", table_path(self.spark, "texts"), partitions(self.spark)
+        both.repartition(count, "d", "v").write.bucketBy(count, "d", "v").option("compression", "zstd").option("path", self.path).saveAsTable(self.name)
+        dropped(self.spark, ids_path, classes_path)
 
-def _unpacked(table: pa.Table, column: str, kind) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in table.column(column))])
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
 
+    def with_lists(self, rows: DataFrame, column: str) -> DataFrame:
+        """The texts that have rows, with the values of all these in one list."""
+        lists = rows.repartition(partitions(self.spark), "d", "v").groupBy("d", "v").agg(F.collect_set(column).alias("list"))
+        return self.table().select("d", "v", "text").join(lists.hint("merge"), ["d", "v"])
 
-def _surviving(entries: DataFrame) -> DataFrame:
-    """d, v, anchors: those whose hash another document has."""
 
-    def found(table):
-        hashed, many, own = _unpacked(table, "hashes", np.uint64), _unpacked(table, "many", np.uint64), _unpacked(table, "anchors", ANCHOR)
-        counts = _unpacked(table, "counts", np.uint32)
-        ids, versions = (np.repeat(_unpacked(table, c, np.int64), counts) for c in ("ds", "vs"))
-        keep = _shared(hashed, ids) | np.isin(hashed, many)
-        ids, versions, own = ids[keep], versions[keep], own[keep]
-        order, new = _sorted_groups(ids, versions)
-        first = np.flatnonzero(new)
-        own = own[order]
-        blobs = [own[i:j].tobytes() for i, j in zip(first, stops(first, len(order)), strict=True)]
-        return pa.table({"d": ids[order][first], "v": versions[order][first], "anchors": pa.array(blobs, pa.binary())})
+def _listed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and offsets of a step's texts, and the row, the document and the value of every entry of their lists."""
+    data, offsets = flat(b.column("text"))
+    lists = b.column("list")
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return data, offsets, row, b.column("d").to_numpy(zero_copy_only=False)[row], values
 
-    return entries.groupBy("bucket").applyInArrow(found, "d bigint, v bigint, anchors binary")
 
+def _ranks(data: np.ndarray, begin: np.ndarray):
+    """Hashes of any parts of the contexts that begin at the places: a function of a seed, starts and stops."""
+    context = data[np.minimum(begin[:, None] + np.arange(CONTEXT), len(data) - 1)]
+    rows, rollings = np.arange(len(begin)), _rollings()
+    sums = [np.concatenate([np.zeros((len(begin), 1), np.uint64), np.cumsum(r.value[context] * r.up[:CONTEXT], axis=1)], axis=1) for r in rollings]
 
-SECOND = "bucket int, hashes binary, contexts binary, d bigint, v bigint, ds binary, vs binary, counts binary, anchors binary, again binary, cuts binary"
+    def rank(seed: int, start, stop, of=rows) -> np.ndarray:
+        r, s = rollings[seed], sums[seed]
+        return mixed((s[of, stop] - s[of, start]) * r.down[start] + np.asarray(stop - start).astype(np.uint64))
 
+    return rank
 
-def _settled(hashed: np.ndarray, docs: np.ndarray, more: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows of which anchors an earlier document has (entries, WINDOWS), and by entry the one that stands for it.
 
-    Of entries with equal hash and context one of the first document stands for all of that
-    document, itself too; entries of later documents have -1.
-    """
-    n = len(hashed)
-    gone, head = np.zeros((n, WINDOWS), bool), np.full(n, -1)
-    if not n:
-        return gone, head
-    place = np.arange(CONTEXT)
-    context = np.where(place < (more[:, None].astype(np.int64) + LENGTH), context, 0)
-    flat_ = np.ascontiguousarray(context).ravel()
-    sums = [r.sums(flat_) for r in _rollings()]
-    start = np.arange(n) * CONTEXT
-    whole = [r.ranges(s, start, start + CONTEXT) for r, s in zip(_rollings(), sums, strict=True)]
-    order, new = _sorted_groups(hashed, *whole, more, docs)
-    d = docs[order]
-    same = np.ones(n, bool)  # a new (hash, context) begins
-    same[1:] = np.any([k[order][1:] != k[order][:-1] for k in (hashed, *whole, more)], axis=0)
-    first = np.flatnonzero(same)
-    group = np.cumsum(same) - 1
-    later = d > d[first][group]
-    valid = np.arange(WINDOWS) <= more[:, None]
-    gone[order[later]] = True
-    head[order[~later]] = order[first][group][~later]
-    # anchors of one hash and several contexts are compared window by window, one entry for each context
-    heads = order[first]
-    anchor_new = np.ones(len(heads), bool)
-    anchor_new[1:] = hashed[heads][1:] != hashed[heads][:-1]
-    several = np.bincount(np.cumsum(anchor_new) - 1)[np.cumsum(anchor_new) - 1] > 1
-    heads = heads[several]
-    e, w = np.nonzero(valid[heads])
-    if len(e):
-        begin = heads[e] * CONTEXT + w
-        keys = [r.ranges(s, begin, begin + LENGTH) for r, s in zip(_rollings(), sums, strict=True)]
-        own = docs[heads[e]]
-        worder, wnew = _sorted_groups(*keys)
-        at = np.flatnonzero(wnew)
-        least = np.minimum.reduceat(own[worder], at)[np.cumsum(wnew) - 1]
-        lost = own[worder] > least
-        gone[heads[e[worder[lost]]], w[worder[lost]]] = True
-        # the same holds for all entries of that context and document
-        gone[order] |= gone[order[first]][group]
-    return gone & valid, head
-
-
-def _runs(gone: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entry and (start, stop) of each run of windows that are gone; ``begin``: where the first window starts."""
-    edge = np.diff(np.pad(gone.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    entry, start = np.nonzero(edge == 1)
-    _, stop = np.nonzero(edge == -1)
-    return entry, np.stack([begin[entry] + start, begin[entry] + stop - 1 + LENGTH], axis=1).astype(np.uint32)
-
-
-def _second_round(found: DataFrame, buckets: int) -> DataFrame:
-    """``found``: d, v, text, anchors (list of blobs). By bucket the contexts of many rows, and by row the cuts that its batch shows."""
-    names = [f.split()[0] for f in SECOND.split(", ")]
-    types = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
+def _first_round(texts: DataFrame) -> DataFrame:
+    """d, v, p: the anchors whose ``START`` bytes another document has too."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for b in steps(batch, "text"):
                 data, offsets = flat(b.column("text"))
-                blobs = [b"".join(x) for x in b.column("anchors").to_pylist()]
-                row = np.repeat(np.arange(len(blobs)), [len(x) // ANCHOR.itemsize for x in blobs])
-                own = np.frombuffer(b"".join(blobs), ANCHOR)
+                h, at, first, last = anchors(data, offsets)
+                row = np.searchsorted(offsets, at, "right") - 1
                 ids, versions = (b.column(c).to_numpy(zero_copy_only=False) for c in ("d", "v"))
-                rolling = _rollings()[0]
-                sums = rolling.sums(data)
-                for low in range(0, len(own), 1 << 17):
-                    r, o = row[low : low + (1 << 17)], own[low : low + (1 << 17)]
-                    at = o["at"].astype(np.int64) + offsets[r]
-                    hashed = rolling.ranges(sums, at, at + START)
-                    begin = at - o["left"]
-                    context = data[np.minimum(begin[:, None] + np.arange(CONTEXT), len(data) - 1)]
-                    gone, head = _settled(hashed, ids[r], o["more"], context)
-                    entry, cut = _runs(gone, begin - offsets[r])
-                    rr, cuts = _by_row(r[entry], cut)
-                    n = len(rr)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in types[:3]] + [pa.array(ids[rr]), pa.array(versions[rr])] + [pa.nulls(n, pa.binary())] * 5 + [pa.array(cuts, pa.binary())], names)
-                    left = (head >= 0) & ~(gone.sum(axis=1) > o["more"])
-                    keep = np.flatnonzero(left & (head == np.arange(len(head))))
-                    bucket = ((hashed[keep] >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint32)
-                    keep = keep[np.argsort(bucket, kind="stable")]
-                    bucket = np.sort(bucket)
-                    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                    sent = np.zeros(len(head), np.int64)
-                    sent[keep] = np.arange(len(keep))
-                    further = np.flatnonzero(left & (head != np.arange(len(head))))
-                    further = further[np.argsort(sent[head[further]], kind="stable")]
-                    again = np.zeros(len(further), AGAIN)
-                    again["head"], again["v"] = sent[head[further]], versions[r[further]]
-                    again["at"], again["left"] = o["at"][further], o["left"][further]
-                    aedges = np.searchsorted(again["head"], edges)
-                    again["head"] -= edges[bucket[again["head"]]].astype(np.uint32)
-                    out = []
-                    for k in np.flatnonzero(edges[1:] > edges[:-1]):
-                        part = keep[edges[k] : edges[k + 1]]
-                        rr, counts = np.unique(r[part], return_counts=True)
-                        out.append((int(k), hashed[part].tobytes(), context[part].tobytes(), None, None, ids[rr].tobytes(), versions[rr].tobytes(), counts.astype(np.uint32).tobytes(), o[part].tobytes(), again[aedges[k] : aedges[k + 1]].tobytes(), None))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-    return found.mapInArrow(lean(batches), SECOND)
-
-
-def _cuts(entries: DataFrame) -> DataFrame:
-    """d, v, cuts: of the contexts of a bucket, what an earlier document has."""
-
-    def found(table):
-        hashed, own = _unpacked(table, "hashes", np.uint64), _unpacked(table, "anchors", ANCHOR)
-        context = _unpacked(table, "contexts", np.uint8).reshape(-1, CONTEXT)
-        counts = _unpacked(table, "counts", np.uint32)
-        ids, versions = (np.repeat(_unpacked(table, c, np.int64), counts) for c in ("ds", "vs"))
-        again = _unpacked(table, "again", AGAIN)
-        heads, places = (np.array([len(x.as_buffer()) // size for x in table.column(c)], np.int64) for c, size in (("hashes", 8), ("again", AGAIN.itemsize)))
-        of = again["head"] + np.repeat(np.cumsum(heads) - heads, places)
-        again, of = again[np.argsort(of, kind="stable")], np.sort(of)
-        begins = np.searchsorted(of, np.arange(len(hashed) + 1))
-        d_, v_, cuts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint32)]
-        order = np.argsort(hashed, kind="stable")
-        low = 0
-        while low < len(order):  # some at a time, but all of one hash together
-            high = min(len(order), low + (1 << 17))
-            high = int(np.searchsorted(hashed[order], hashed[order[high - 1]], "right"))
-            part = order[low:high]
-            gone, _ = _settled(hashed[part], ids[part], own["more"][part], context[part])
-            entry, cut = _runs(gone, own["at"][part].astype(np.int64) - own["left"][part])
-            d_.append(ids[part[entry]])
-            v_.append(versions[part[entry]])
-            cuts.append(cut)
-            cutting = np.flatnonzero(gone.any(axis=1))
-            n = begins[part[cutting] + 1] - begins[part[cutting]]
-            which = np.repeat(np.arange(len(cutting)), n)
-            place = np.repeat(begins[part[cutting]] - (np.cumsum(n) - n), n) + np.arange(len(which))
-            for some in range(0, len(which), 1 << 17):
-                w, a = cutting[which[some : some + (1 << 17)]], again[place[some : some + (1 << 17)]]
-                entry, cut = _runs(gone[w], a["at"].astype(np.int64) - a["left"])
-                d_.append(ids[part[w[entry]]])
-                v_.append(a["v"][entry])
-                cuts.append(cut)
-            low = high
-        d, v, cut = np.concatenate(d_), np.concatenate(v_), np.concatenate(cuts)
-        order, new = _sorted_groups(d, v)
-        first = np.flatnonzero(new)
-        cut = cut[order]
-        blobs = [cut[i:j].tobytes() for i, j in zip(first, stops(first, len(order)), strict=True)]
-        return pa.table({"d": d[order][first], "v": v[order][first], "cuts": pa.array(blobs, pa.binary())})
-
-    return entries.groupBy("bucket").applyInArrow(found, "d bigint, v bigint, cuts binary")
-
-
-def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(d, v, cuts: list of blobs of (start, stop)) and copies (d, v, earliest) of whole texts."""
-    spark, buckets = docs.sparkSession, partitions(docs.sparkSession)
-    rows = _rows(docs)
-    classes, _ = written(rows.where(F.octet_length("text") >= LENGTH).groupBy("v", "u").agg(F.min("d").alias("rep"), F.max("d").alias("latest")).where("rep < latest").select("v", "u", "rep"), "texts")
-    copies, _ = written(rows.where(F.octet_length("text") >= LENGTH).select("d", "v", "u").join(classes, ["v", "u"]).where("d > rep").select("d", "v").distinct(), "copies")
-    rest = rows.join(copies, ["d", "v"], "left_anti").select("d", "v", "text")
-    first, first_path = written(_first_round(rest, buckets), "first-round")
-    direct = first.where("bucket is null").select("d", "v", "anchors")
-    survivors, _ = written(_surviving(first.where("bucket is not null").drop("d", "v")).unionByName(direct), "survivors")
-    dropped(spark, first_path)
-    gathered = survivors.groupBy("d", "v").agg(F.collect_list("anchors").alias("anchors"))
-    second, second_path = written(_second_round(rest.dropDuplicates(["d", "v"]).join(gathered, ["d", "v"]).select("d", "v", "text", "anchors"), buckets), "second-round")
-    own = second.where("bucket is null").select("d", "v", "cuts")
-    cuts, _ = written(_cuts(second.where("bucket is not null").drop("d", "v", "cuts")).unionByName(own), "cuts")
-    dropped(spark, second_path)
-    return cuts.groupBy("d", "v").agg(F.collect_list("cuts").alias("cuts")), copies
+                d, v, p = ids[row], versions[row], _packed(at - offsets[row], at - first, last - first)
+                order = np.lexsort((d, h))
+                new = np.ones(len(h), bool)
+                new[1:] = h[order][1:] != h[order][:-1]
+                start = np.flatnonzero(new)
+                many = d[order][start] != d[order][stops(start, len(h)) - 1] if len(h) else np.zeros(0, bool)
+                known = np.zeros(len(h), bool)
+                known[order] = many[np.cumsum(new) - 1]
+                mark = order[start[many]]  # stands for all of its hash: others have to know that they are not alone
+                kind = np.concatenate([known.astype(np.int8), np.full(len(mark), 2, np.int8)])
+                key = np.concatenate([np.where(known, _alone(d, p, 3), h), h[mark]]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), *(pa.array(np.concatenate([x, x[mark]])) for x in (d, v, p))], ["h", "kind", "d", "v", "p"])
+
+    same = Window.partitionBy("h")
+    ranked = texts.select("d", "v", "text").mapInArrow(lean(batches), "h bigint, kind tinyint, d bigint, v bigint, p bigint")
+    ranked = ranked.withColumns({"low": F.min("d").over(same), "high": F.max("d").over(same), "most": F.max("kind").over(same)})
+    return ranked.where("kind = 1 or kind = 0 and (low < high or most = 2)").select("d", "v", "p")
+
+
+def _second_round(found: DataFrame) -> DataFrame:
+    """d, v, p, gone, before, after: anchors whose windows an earlier document has all, and the first ones of each rank with the ranks of their sides."""
+    names = ["c1", "c2", "gone", "d", "v", "p", "before", "after"]
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for b in steps(batch, "text"):
+                data, offsets, row, docs, packed = _listed(b)
+                versions = b.column("v").to_numpy(zero_copy_only=False)[row]
+                for k in range(0, len(row), AT_ONCE):
+                    some = slice(k, k + AT_ONCE)
+                    d, v, p = docs[some], versions[some], packed[some]
+                    at, left, more = _unpacked(p)
+                    rank = _ranks(data, offsets[row[some]] + at - left)
+                    zero = np.zeros(len(p), np.int64)
+                    c1, c2 = (rank(seed, zero, more + LENGTH) for seed in (0, 1))
+                    gone = _earlier((c1, c2), d)
+                    c1[gone], c2[gone] = _alone(d[gone], p[gone], 5), _alone(d[gone], p[gone], 7)
+                    sides = []
+                    for there, start, size in ((left >= BESIDE, left - BESIDE, START + BESIDE), (left - more < BESIDE, left, START + BESIDE)):
+                        start = np.where(there, start, 0)
+                        sides.append(pa.array(rank(0, start, start + size).view(np.int64), mask=~there | gone))
+                    yield pa.RecordBatch.from_arrays([pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(gone), pa.array(d), pa.array(v), pa.array(p), *sides], names)
+
+    same = Window.partitionBy("c1", "c2")
+    ranked = found.mapInArrow(lean(batches), "c1 bigint, c2 bigint, gone boolean, d bigint, v bigint, p bigint, before bigint, after bigint")
+    return ranked.withColumn("gone", F.col("gone") | (F.col("d") > F.min("d").over(same))).select("d", "v", "p", "gone", "before", "after")
+
+
+def _third_round(firsts: DataFrame) -> DataFrame:
+    """d, v, q: the anchor p and the side (q = 2 p + side) where other documents have the same bytes beside it."""
+    sides = firsts.select("d", "v", "p", F.posexplode(F.array("before", "after")).alias("side", "rank")).where("rank is not null")
+    same = Window.partitionBy("side", "rank")
+    shared = sides.withColumns({"low": F.min("d").over(same), "high": F.max("d").over(same)}).where("low < high")
+    return shared.select("d", "v", (F.col("p") * 2 + F.col("side")).alias("q"))
+
+
+def _fourth_round(found: DataFrame) -> DataFrame:
+    """d, v, start: the windows that an earlier document has."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for b in steps(batch, "text"):
+                data, offsets, row, docs, packed = _listed(b)
+                versions = b.column("v").to_numpy(zero_copy_only=False)[row]
+                for k in range(0, len(row), AT_ONCE):
+                    some = slice(k, k + AT_ONCE)
+                    side, (at, left, more) = packed[some] & 1, _unpacked(packed[some] >> 1)
+                    rank = _ranks(data, offsets[row[some]] + at - left)
+                    window = np.arange(WINDOWS)
+                    before = left[:, None] - window
+                    entry, w = np.nonzero((window <= more[:, None]) & np.where(side[:, None] == 0, before >= BESIDE, before < BESIDE))
+                    keys = [rank(seed, w, w + LENGTH, entry) for seed in (0, 1)]
+                    d, v, start = docs[some][entry], versions[some][entry], (at - left)[entry] + w
+                    gone = _earlier(tuple(keys), d)
+                    for key, salt in zip(keys, (5, 7), strict=True):
+                        key[gone] = _alone(d[gone], start[gone], salt)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in keys), pa.array(gone), pa.array(d), pa.array(v), pa.array(start)], ["w1", "w2", "gone", "d", "v", "start"])
+
+    same = Window.partitionBy("w1", "w2")
+    ranked = found.mapInArrow(lean(batches), "w1 bigint, w2 bigint, gone boolean, d bigint, v bigint, start bigint")
+    return ranked.withColumn("gone", F.col("gone") | (F.col("d") > F.min("d").over(same))).where("gone").select("d", "v", "start")
+
+
+def repeated_windows(texts: Texts) -> DataFrame:
+    """d, v, cut (start << 7 | bytes): what earlier documents have, of the texts that are no copies."""
+    spark = texts.spark
+    found, found_path = written(_first_round(texts.table().where("not copied")), "anchors")
+    dropped(spark)
+    second, second_path = written(_second_round(texts.with_lists(found, "p")), "contexts")
+    dropped(spark, found_path)
+    third, third_path = written(_third_round(second.where("not gone")), "sides")
+    place, left, more = F.shiftright("p", 10), F.shiftright("p", 5).bitwiseAND(31), F.col("p").bitwiseAND(31)
+    whole = second.where("gone").select("d", "v", ((place - left) * 128 + more + LENGTH).alias("cut"))
+    single = _fourth_round(texts.with_lists(third, "q")).select("d", "v", (F.col("start") * 128 + LENGTH).alias("cut"))
+    cuts, _ = written(whole.unionByName(single), "cuts")
+    dropped(spark, second_path, third_path)
+    return cuts
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -344,36 +275,40 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A byte goes if a ``LENGTH``-byte string over it also starts in a document of smaller doc_id.
     Strings lie in one text and are judged on the input. Null texts are empty, and null doc_ids
-    one document after all others; rows of one doc_id do not judge each other. Removal may split a
-    character, so what is kept is bytes. An empty table gives an empty one.
+    one document after all others; rows of one doc_id do not judge each other, and equal rows have
+    equal results. Removal may split a character, so what is kept is bytes. Other columns are not
+    read. An empty table gives an empty one.
     """
-    ranges, copies = repeated_ranges(docs)
-    kinds = "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<array<bigint>>"
+    texts = Texts(docs)
+    cuts = repeated_windows(texts)
+    kinds = "d bigint, n bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<array<bigint>>"
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in ("doc_id", "kept", "n_bytes", "n_removed", "n_spans", "spans")]
+        names = [f.split()[0] for f in ("d", "n", "kept", "n_bytes", "n_removed", "n_spans", "spans")]
         for batch in it:
             for b in steps(batch, "text"):
                 out = []
-                for text, cuts, copied in zip(b.column("text").cast(pa.binary()), b.column("cuts").to_pylist(), b.column("copied").to_pylist(), strict=True):
-                    raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
+                for text, cut, copied in zip(b.column("text").cast(pa.large_binary()), b.column("list"), b.column("copied").to_pylist(), strict=True):
+                    raw = np.frombuffer(text.as_buffer(), np.uint8)
                     if copied:
                         out.append((b"", len(raw), len(raw), 1, [[0, len(raw)]]))
                         continue
-                    if not cuts:
+                    if not cut.is_valid:
                         out.append((raw.tobytes(), len(raw), 0, 0, []))
                         continue
-                    pairs = np.frombuffer(b"".join(cuts), np.uint32).reshape(-1, 2).astype(np.int64)
-                    depth = np.bincount(pairs[:, 0], minlength=len(raw) + 1) - np.bincount(pairs[:, 1], minlength=len(raw) + 1)
+                    packed = cut.values.to_numpy(zero_copy_only=False)
+                    start = packed >> 7
+                    depth = np.zeros(len(raw) + 1, np.int32)
+                    np.add.at(depth, start, 1)
+                    np.add.at(depth, start + (packed & 127), -1)
                     lost = np.cumsum(depth)[:-1] > 0
                     edge = np.diff(np.concatenate([[0], lost.view(np.int8), [0]]))
                     spans = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1)
                     out.append((raw[~lost].tobytes(), len(raw), int(lost.sum()), len(spans), spans.tolist()))
                 columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:4]), pa.array(columns[4], pa.list_(pa.list_(pa.int64())))], names)
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.xxhash64(text).alias("v"), text.alias("text"))
-    marked = ranges.withColumn("copied", F.lit(False)).unionByName(copies.select("d", "v", F.expr("cast(null as array<binary>)").alias("cuts"), F.lit(True).alias("copied")))
-    return rows.join(marked, ["d", "v"], "left").select("doc_id", "text", "cuts", "copied").mapInArrow(lean(batches), kinds)
+                yield pa.RecordBatch.from_arrays([b.column("d"), b.column("n"), pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:4]), pa.array(columns[4], pa.list_(pa.list_(pa.int64())))], names)
 
+    lists = cuts.repartition(partitions(texts.spark), "d", "v").groupBy("d", "v").agg(F.collect_set("cut").alias("list"))
+    out = texts.table().join(lists.hint("merge"), ["d", "v"], "left").select("d", "n", "text", "list", "copied").mapInArrow(lean(batches), kinds)
+    out = out.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).withColumn("doc_id", F.when(F.col("d") < LAST_ID, F.col("d")))
+    return out.select("doc_id", "kept", "n_bytes", "n_removed", "n_spans", "spans")
