@@ -186,14 +186,6 @@ def test_html():
         extract(model, odd)
 
 
-def test_html_table(spark):
-    from quill.llm.htmltext import main_text
-
-    pages = spark.createDataFrame([(1, "u", "<article><p>A b</p></article>"), (2, None, None), (3, "u", "")], "page_id long, url string, html string")
-    assert {r["page_id"]: (r["text"], r["n_chars"]) for r in main_text(pages).collect()} == {1: ("A b", 3), 2: ("", 0), 3: ("", 0)}
-    assert main_text(pages.limit(0)).count() == 0
-
-
 def test_transport(docs, empty):
     from quill.llm.transport import demux, media_columns, mux, padded
 
