@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType
+from pyspark.sql.types import IntegerType, StringType
 
 #: What separates search tokens, beside white space.
 TOKEN_BREAKS = r"""\s,;!?()\[\]{}"'<>"""
@@ -51,12 +50,6 @@ def unaccented(text: pd.Series) -> pd.Series:
     return text.map(plain)
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two texts; 0 where one is missing."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b, strict=True)])
-
-
 @F.pandas_udf(IntegerType())
 def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Levenshtein distance over words."""

@@ -1,8 +1,7 @@
-"""Risk and trust of accounts, rate limits, and ordered replays of keyed state."""
+"""Risk and trust of accounts, rate limits, and changes of keyed state."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +17,14 @@ def rolling_risk(events: DataFrame, user: str, ts: str, delta: Column, days: int
 
 def trust(verified: Column, good: Column, sessions: Column, age: Column, risk: Column) -> Column:
     """20 to start with, capped points for what speaks for an account, less 60 times its risk; in [0, 100]."""
-    points = F.lit(20) + F.when(verified, 20).otherwise(0) + F.least(F.lit(25), good * 2) + F.least(F.lit(15), sessions) + age - F.round(60 * risk).cast("int")
+    points = F.lit(20) + F.when(verified, 15).otherwise(0) + F.least(F.lit(30), good * 3) + F.least(F.lit(15), sessions) + age - F.floor(60 * risk + 0.5).cast("int")
     return clamp(points, 0, 100).cast("int")
 
 
-def level(score: Column, risk: Column) -> Column:
-    return F.when((risk >= 0.7) | (score < 20), "RESTRICTED").when(score < 50, "CAUTION").when(score < 75, "NORMAL").otherwise("TRUSTED")
+def level(score: Column, risk: Column, verified: Column, good: Column) -> Column:
+    """By risk first; trust counts only for a verified account with enough activity."""
+    by_risk = F.when(risk >= 0.9, "BLOCKED").when(risk >= 0.6, "RESTRICTED").when(risk >= 0.3, "CAUTION")
+    return by_risk.when(verified & (good >= 10) & (score >= 75), "TRUSTED").when(verified & (good >= 2), "NORMAL").otherwise("CAUTION")
 
 
 def over_limit(events: DataFrame, key: str, ts: str, order: str, seconds: int, limit: int) -> DataFrame:
@@ -33,31 +34,6 @@ def over_limit(events: DataFrame, key: str, ts: str, order: str, seconds: int, l
     return events.withColumn("window", window).withColumn("place", place.cast("long")).withColumn("refused", F.col("place") > limit)
 
 
-def replay(events: DataFrame, key: str, rate: int, seconds: float, budget: float) -> DataFrame:
-    """Admission in order of time per key (key, event_id, ts, cost): a window that starts with its first event, and a daily budget.
-
-    Gives event_id and the first limit that refuses it, or ADMITTED. A refused event costs nothing.
-    State runs over a key's events in order, so each key is one group; its size is one key's history.
-    """
-    schema = events.select(key, "event_id").schema.add("decision", "string")
-
-    def folded(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["ts", "event_id"])
-        start, used, day, spent, out = None, 0, None, 0.0, []
-        for ts, cost in zip(own["ts"], own["cost"], strict=True):
-            if start is None or (ts - start).total_seconds() >= seconds:
-                start, used = ts, 0
-            if ts.date() != day:
-                day, spent = ts.date(), 0.0
-            used += 1
-            said = "RATE" if used > rate else "BUDGET" if spent + cost > budget else "ADMITTED"
-            spent += cost if said == "ADMITTED" else 0.0
-            out.append(said)
-        return own[[key, "event_id"]].assign(decision=out)
-
-    return events.groupBy(key).applyInPandas(folded, schema)
-
-
 def transitions(events: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
     """Events with their key's state before; the same state twice in a row counts once."""
     before = F.lag(state).over(Window.partitionBy(key).orderBy(*order))

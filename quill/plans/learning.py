@@ -34,10 +34,11 @@ def agg_learner_average(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left").fillna(0.0, "average")
 
 
-@PLANS.add("SELECT o_custkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS assignment, coalesce(max(n), 0) + 1 AS next_number FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END ORDER BY o_orderdate, o_orderkey) AS n FROM orders) GROUP BY 1, 2")
+@PLANS.add("SELECT l_orderkey, l_returnflag AS assignment, coalesce(max(CASE WHEN l_linenumber <> 2 THEN l_linenumber END), 0) + 1 AS next_number FROM lineitem GROUP BY 1, 2")
 def agg_next_attempt_number(spark, d):
-    o = table(spark, d, "orders").withColumn("assignment", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
-    return o.groupBy("o_custkey", "assignment").agg((F.count(F.lit(1)) + 1).alias("next_number"))
+    """The largest number so far and one; numbers of deleted attempts (the second ones here) leave gaps."""
+    kept = F.max(F.when(F.col("l_linenumber") != 2, F.col("l_linenumber")))
+    return table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("assignment")).agg((F.coalesce(kept, F.lit(0)) + 1).cast("long").alias("next_number"))
 
 
 @PLANS.add("""SELECT l_orderkey, sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity::BIGINT ELSE 0 END)::BIGINT AS score, sum(l_quantity::BIGINT)::BIGINT AS max_score,

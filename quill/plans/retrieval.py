@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quill.functions.text import words
+from quill.functions.text import tokens
 from quill.operators import retrieval as R
 from quill.plans.base import Plans, table
 
 PLANS = Plans()
 _VEC = """v AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, q.label AS ql, c.label AS cl,
  round(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * c.embedding[i]::DOUBLE)), 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0)"""
-_TERMS = "regexp_extract_all(lower(text), '([a-z]+)', 1)"
+_TERMS = """regexp_extract_all(lower(text), '([^\\s\\x0b,;!?()\\[\\]{}"''<>]+)', 1)"""
 _BM = f"""d AS (SELECT doc_id AS chunk_id, {_TERMS} AS terms FROM documents), q AS (SELECT item_id AS query_id, {_TERMS} AS terms FROM benchmark WHERE item_id % 20 = 0),
 s AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM d), tf AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(terms) AS dl, unnest(terms) AS term FROM d) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), r AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw, avgdl FROM df, s), m AS (SELECT avg(raw) AS mean FROM r),
@@ -26,8 +26,8 @@ def _vectors(spark, d):
 
 
 def _bm25(spark, d, k):
-    q = table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), words(F.col("text")).alias("terms"))
-    return R.bm25_top(q, table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), words(F.col("text")).alias("terms")), k)
+    q = table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("terms"))
+    return R.bm25_top(q, table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), tokens(F.col("text")).alias("terms")), k)
 
 
 @PLANS.add(f"WITH {_VEC}, r AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM v WHERE score >= 0.25) SELECT * FROM r WHERE rank <= 30")
@@ -72,8 +72,9 @@ def ret_metrics(spark, d):
     q, c = _vectors(spark, d)
     e = table(spark, d, "embeddings")
     mine = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = mine.join(e.select(F.col("vec_id").alias("chunk_id"), "label"), "label").select("query_id", "chunk_id")
-    return R.evaluated(R.vector_top(q, c, 10), relevant, mine, 10)
+    totals = mine.join(e.groupBy("label").agg(F.count(F.lit(1)).alias("n_relevant")), "label").select("query_id", "n_relevant")
+    hits = R.vector_top(q, c, 10).join(e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("found")), "chunk_id").join(mine, "query_id").where("found = label").select("query_id", "rank")
+    return R.evaluated(hits, totals, mine)
 
 
 @PLANS.add()
@@ -83,7 +84,7 @@ def ret_chunk_documents(spark, d):
 
 @PLANS.add()
 def ret_citation_windows(spark, d):
-    return R.citation_windows(table(spark, d, "documents"), "doc_id", "text")
+    return R.citation_windows(R.chunks(table(spark, d, "documents"), "doc_id", "text"), ["doc_id", "chunk_index"], "chunk")
 
 
 @PLANS.add("""WITH s AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations)

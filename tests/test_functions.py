@@ -61,7 +61,8 @@ def test_shingles(spark):
 
 
 def test_leaves():
-    assert leaves({"a.b": 1, "a": {"b": 2}, "o": [{"t": "x"}], "s": [1, 2]}) == [('["a.b"]', "1"), ("a.b", "2"), ("o[0].t", "x"), ("s", "[1, 2]")]
+    assert leaves('{"a.b": 1, "a": {"b": 2.50}, "o": [{"t": "x", "c": true}], "s": [1, 2], "đ": {"é_1": null}, "e": {}}') == [('["a.b"]', "1"), ("a.b", "2.50"), ("o[0].t", "x"), ("o[0].c", "true"), ("s", "[1, 2]"), ("đ.é_1", None), ("e", "{}")]
+    assert leaves("7") == [("value", "7")] and leaves('[{"a": [1.10]}]') == [("value[0].a", "[1.10]")]
 
 
 def test_chunks_cover_text():
@@ -78,3 +79,42 @@ def test_canonical_span(spark):
 def test_components(spark):
     nodes, edges = spark.range(1, 9).withColumnRenamed("id", "k"), spark.createDataFrame([(1, 2), (3, 2), (5, 6), (6, 7), (7, 8)], "a long, b long")
     assert {r[0]: r[1] for r in C.smallest_reachable(nodes, edges, "k").collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 5, 8: 5}
+
+
+def test_span_of_whole_words():
+    from quill.operators.retrieval import span_of
+
+    source = "Embedding là “vector số” biểu diễn ý nghĩa.\nHai văn bản gần nhau."
+    a, b = span_of(source, 'embedding là "vector số"  biểu diễn ý nghĩa')
+    assert source[a:b] == "Embedding là “vector số” biểu diễn ý nghĩa"
+    assert span_of("bathe quick foxes", "the quick fox") is None and span_of("a b", "a b") is None
+    assert span_of("An inter­esting ﬁnd indeed", "interesting find") == (3, 21) or span_of("An interesting ﬁnd", "inter-\n esting find") == (3, 18)
+
+
+def test_windows_are_slices_of_the_source():
+    from quill.operators.retrieval import sentence_windows
+
+    text = "The first sentence is here. And a second…  Short. The fourth one is long enough\nThe fifth follows on a line"
+    found = sentence_windows(text)
+    assert all(text[a:b].strip() == w and 20 <= len(w) <= 600 for a, b, w in found)
+    assert "The first sentence is here. And a second…" in [w for *_, w in found] and len(found) == len(set(found))
+
+
+def test_vector_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from quill.operators import retrieval
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(60)]
+    q = spark.createDataFrame(rows[::3], "query_id int, vector array<double>")
+    c = spark.createDataFrame(rows, "chunk_id int, vector array<double>")
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    for first in (True, False):
+        got = sorted(tuple(r) for r in retrieval.vector_top(q, c, 5, 1.0, first).select("query_id", "rank", "chunk_id", "score").collect())
+        want = []
+        for i, v in rows[::3]:
+            every = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in rows)
+            every = [x for x in every if -x[0] >= 1.0] if first else every
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(every[:5]) if -s >= 1.0]
+        assert got == sorted(want)
