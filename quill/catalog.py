@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quill.plans import analytics, corpus, learning, retrieval, risk
+from quill.plans import analytics, corpus, learning, retrieval, risk, service
 
-QUERIES: dict = {**analytics.PLANS, **learning.PLANS, **risk.PLANS, **retrieval.PLANS, **corpus.PLANS}
+QUERIES: dict = {**analytics.PLANS, **learning.PLANS, **risk.PLANS, **retrieval.PLANS, **corpus.PLANS, **service.PLANS}
