@@ -29,7 +29,7 @@ SLICES = 64
 #: Ranges of hashes that a set is cut into; most pairs that are not similar stop after the first.
 FRAGMENTS = 4
 #: Rounds of comparisons with one member of each group, at most, before what is open is compared.
-ROUNDS = 6
+ROUNDS = 4
 #: Groups of at most FEW are compared at once; open ones of more than SMALL in blocks of so many documents.
 FEW, SMALL, BLOCK_ROWS = 4, 64, 1024
 #: A block that has more feasible pairs than this for each member counts them by fragment, all together.
@@ -189,12 +189,15 @@ def _prefixes(rows: DataFrame, weights: np.ndarray, similarity: int, n: int) ->
     return rows.mapInArrow(lean(batches), "d bigint, size int, h bigint, place int")
 
 
-def _groups(entries: DataFrame) -> DataFrame:
+def _groups(entries: DataFrame, similarity: int) -> DataFrame:
     """g, k, d, size, place: the k documents that share a prefix shingle; equal groups once, with the least places."""
     same = Window.partitionBy("h")
     k, one, two = F.count(F.lit(1)).over(same), F.expr("bit_xor(xxhash64(d))").over(same), F.expr("bit_xor(xxhash64(1, d))").over(same)
     shared = entries.select("h", "d", "size", "place").withColumns({"k": k, "one": one, "two": two}).where("k > 1")
-    return shared.select(F.xxhash64("one", "two", "k").alias("g"), "k", "d", "size", "place").groupBy("g", "d").agg(F.max("k").alias("k"), F.max("size").alias("size"), F.min("place").alias("place"))
+    groups = shared.select(F.xxhash64("one", "two", "k").alias("g"), "k", "d", "size", "place").groupBy("g", "d").agg(F.max("k").alias("k"), F.max("size").alias("size"), F.min("place").alias("place"))
+    # a document stays if the smallest set of its group that is near enough in size could make up the overlap
+    least = F.greatest(F.ceil(F.col("size") * similarity / 100).cast("long"), F.min("size").over(Window.partitionBy("g")).cast("long"))
+    return groups.withColumn("least", least).where((F.col("size") - F.col("place")).cast("long") * (100 + similarity) >= (F.col("size") + F.col("least")) * similarity).drop("least")
 
 
 def _feasible(similarity: int, x: str = "x.", y: str = "y.") -> Column:
@@ -310,8 +313,8 @@ def _placed(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
     return placed.join(split, "g")
 
 
-def _links(groups: DataFrame, fragments: Fragments, similarity: int) -> DataFrame:
-    """Links (a, b) that connect all documents of the groups that similar pairs connect.
+def _links(few: DataFrame, groups: DataFrame, fragments: Fragments, similarity: int) -> DataFrame:
+    """Links (a, b) that connect all documents of the groups that similar pairs connect: those of the pairs ``few``, and in ``groups``.
 
     Each round compares one member of the largest component of each large group with the group's
     other components, another member each time. When rounds find little, all feasible pairs across
@@ -320,13 +323,13 @@ def _links(groups: DataFrame, fragments: Fragments, similarity: int) -> DataFram
     tested = links = None
     labels: DataFrame | None = None
     for turn in range(ROUNDS):
-        placed, placed_path = written(_placed(groups.where(F.col("k") > FEW), labels), "open-groups")
+        placed, placed_path = written(_placed(groups, labels), "open-groups")
         by_part = placed.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("d", "size"), F.xxhash64("d", F.lit(turn))).alias("hub"))
         by_group = by_part.groupBy("g").agg(F.max_by(F.struct("c", "hub"), F.struct("n", -F.col("c"))).alias("top")).select("g", F.col("top.c").alias("top"), F.col("top.hub.d").alias("hub"), F.col("top.hub.size").alias("hub_size"))
         near = F.least("size", "hub_size") * 100 >= F.greatest("size", "hub_size") * similarity
         stars = placed.join(by_group, "g").where((F.col("c") != F.col("top")) & near).select(F.least("hub", "d").alias("a"), F.greatest("hub", "d").alias("b")).distinct()
         if turn == 0:
-            stars = stars.unionByName(_pairs(groups.where(F.col("k") <= FEW), similarity, False)).distinct()
+            stars = stars.unionByName(few).distinct()
         fresh, _ = written(stars if tested is None else stars.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         n = fresh.count()
         dropped(groups.sparkSession, placed_path)
@@ -340,15 +343,18 @@ def _links(groups: DataFrame, fragments: Fragments, similarity: int) -> DataFram
             labels = components(links)
         if turn and found * 50 < n:
             break
-    open_, path = written(_placed(groups.where(F.col("k") > FEW), labels), "open-groups")
+    open_, path = written(_placed(groups, labels), "open-groups")
+    if open_.isEmpty():
+        return links if links is not None else few.limit(0)
     last = _pairs(open_.where(F.col("k") <= SMALL), similarity, True)
     blocks, blocks_path = written(_blocks(open_.where(F.col("k") > SMALL), similarity), "blocks")
     last = last.unionByName(blocks.where("a is not null").select("a", "b")).distinct()
     last, _ = written(last if tested is None else last.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     found = fragments.verified(last, similarity)
-    dense, _ = written(_dense_links(open_, blocks.where("a is null").select("g", "i", "j"), fragments, similarity), "links")
+    many = blocks.where("a is null").select("g", "i", "j")
+    if not many.isEmpty():
+        found = found.unionByName(written(_dense_links(open_, many, fragments, similarity), "links")[0])
     dropped(groups.sparkSession, path, blocks_path)
-    found = found.unionByName(dense)
     return found if links is None else links.unionByName(found)
 
 
@@ -421,6 +427,14 @@ def _dense_links(open_: DataFrame, dense: DataFrame, fragments: Fragments, simil
     return rows.groupBy("g", "i", "j").applyInArrow(met, "a bigint, b bigint").distinct()
 
 
+def _texts_of(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """One row (d, text) for each of ``own`` (d, w): of the rows of d one whose text has the hash w.
+
+    The hashes are compared after the join, so that texts are dealt by d alone, and once.
+    """
+    return rows.join(own.hint("merge"), "d").where(F.col("v").bitwiseXOR(F.col("w")) == 0).select("d", "text").dropDuplicates(["d"])
+
+
 def linked(docs: DataFrame, similarity: int = SIMILARITY, n: int = WORDS) -> DataFrame:
     """d, size, c per document of ``docs`` that has words: set size and component."""
     spark = docs.sparkSession
@@ -433,22 +447,24 @@ def linked(docs: DataFrame, similarity: int = SIMILARITY, n: int = WORDS) -> Dat
     nodes, nodes_path = written(each.join(classes, ["s1", "s2"], "left").select("d", "v", F.coalesce("rep", "d").alias("rep")), "nodes")
     dropped(spark, counted_path)
     # what these sides hold grows with the corpus: sort and merge at every size, never a broadcast
-    own = nodes.where("d = rep").select("d", "v")
-    rest = rows.join(own.hint("merge"), ["d", "v"], "left_semi").dropDuplicates(["d"])
+    own = nodes.where("d = rep").select("d", F.col("v").alias("w"))
+    rest = _texts_of(rows, own)
     entries, entries_path = written(_prefixes(rest, weights, similarity, n), "prefixes")
     dropped(spark)
     sizes, sizes_path = written(entries.where("h is null").select("d", "size"), "set-sizes")
-    groups, groups_path = written(_groups(entries.where("h is not null")), "groups")
+    groups, groups_path = written(_groups(entries.where("h is not null"), similarity), "groups")
     dropped(spark, entries_path)
-    members = groups.select("d").distinct()
-    fragments = Fragments(rows.join(own.join(members, "d", "left_semi").hint("merge"), ["d", "v"], "left_semi").dropDuplicates(["d"]), n)
+    few, few_path = written(_pairs(groups.where(F.col("k") <= FEW), similarity, False), "pairs")
+    large = groups.where(F.col("k") > FEW)
+    members = large.select("d").union(few.select("a")).union(few.select("b")).distinct()
+    fragments = Fragments(_texts_of(rows, own.join(members, "d", "left_semi")), n)
     dropped(spark)
-    links = _links(groups, fragments, similarity)
+    links = _links(few, large, fragments, similarity)
     final = components(links)
     fragments.drop()
     out = nodes.join(sizes.withColumnRenamed("d", "rep"), "rep").join(final.withColumnRenamed("d", "rep"), "rep", "left").select("d", "size", F.coalesce("c", "rep").alias("c"))
     out, _ = written(out, "linked")
-    dropped(spark, nodes_path, sizes_path, groups_path)
+    dropped(spark, nodes_path, sizes_path, groups_path, few_path)
     return out
 
 
