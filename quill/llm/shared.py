@@ -7,6 +7,7 @@ import functools
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,8 +54,10 @@ def dropped(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2):  # what the first round finds unused may hold a shuffle that only the second one does
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.2)
 
 
 def partitions(spark: SparkSession) -> int:
