@@ -1,8 +1,9 @@
 """Line dedup with levelled sorted runs of line hashes. DataFrame functions only.
 
-Documents are taken in batches by growing doc_id. A batch's line keys are merge-anti-joined with
-the runs, the sorted tables of the keys of earlier batches; its new keys become a run of level 0.
-When a level has ``FANOUT`` runs they are merged into one of the next level.
+Documents are taken in batches by growing doc_id. A batch's line keys are merge-anti-joined with the
+runs, tables of the keys of earlier batches that are bucketed and sorted by key, so that a join moves
+the batch alone; its new keys become a run of level 0. When a level has ``FANOUT`` runs they are
+merged into one of the next level.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quill.llm.shared import dropped, written
+from quill.llm.shared import Bucketed, dropped, partitions, written
 
 MIN_CHARS = 10
-BATCHES, FANOUT = 4, 2
+#: There are so many batches at least, and more if one would hold more lines than this.
+BATCHES, BATCH_LINES = 4, 1 << 30
+FANOUT = 2
 #: What a key is stripped of: [\x20\x09-\x0D].
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,42 +41,52 @@ def _keys(rows: DataFrame, min_chars: int) -> DataFrame:
     return keyed.select("d", "v", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
+def _batched(keys: DataFrame, batches: int, most: int) -> tuple[DataFrame, list[int], str]:
+    """The keys in a table of the shared folder, with the batch of each by growing d, the batches' numbers, and the table's path."""
+    held, path = written(keys, "keys")
+    n = max(batches, -(-held.count() // most))
+    cuts = sorted(set(held.select(F.percentile_approx("d", [k / n for k in range(1, n)], 100 * n)).first()[0] or [])) if n > 1 else []
+    batch = reduce(lambda a, b: a + b, (F.when(F.col("d") > x, 1).otherwise(0) for x in cuts), F.lit(0))
+    return held.withColumn("batch", batch), list(range(len(cuts) + 1)), path
+
+
+def anti_joined(first: DataFrame, runs: list[DataFrame]) -> DataFrame:
+    """The keys h1, h2 of a batch with ``new``: whether no run has them. Runs are merged in one after another, where they lie."""
+    for k, run in enumerate(runs):
+        first = first.join(run.select("h1", "h2", F.lit(True).alias(f"in{k}")).hint("merge"), ["h1", "h2"], "left")
+    seen = reduce(lambda a, b: a | b, (F.col(f"in{k}").isNotNull() for k in range(len(runs))), F.lit(False))
+    return first.withColumn("new", ~seen).drop(*(f"in{k}" for k in range(len(runs))))
+
+
 def losing_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, min_chars: int = MIN_CHARS) -> DataFrame:
     """d, v, pos of the lines whose key an earlier document has."""
+    keys, numbers, keys_path = _batched(_keys(_identified(docs), min_chars), batches, BATCH_LINES)
     spark = docs.sparkSession
-    rows = _identified(docs)
-    cuts = rows.select(F.percentile_approx("d", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
-    bounds = [None, *sorted(set(cuts)), None]
-    levels: dict[int, list[tuple[DataFrame, str]]] = {}
+    levels: dict[int, list[Bucketed]] = {}
     losers: list[DataFrame] = []
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        inside = F.lit(True)
-        if low is not None:
-            inside &= F.col("d") > low
-        if high is not None:
-            inside &= F.col("d") <= high
-        keys = _keys(rows.where(inside), min_chars)
-        first = keys.groupBy("h1", "h2").agg(F.min("d").alias("owner"), F.max("d").alias("latest"))
-        runs = [run for level in levels.values() for run, _ in level]
-        seen = reduce(DataFrame.unionAll, [run.where("new").select("h1", "h2") for run in runs]) if runs else None
-        if seen is None:
-            first = first.withColumn("new", F.lit(True))
-        else:
-            first = first.join(seen.withColumn("old", F.lit(True)), ["h1", "h2"], "left").withColumn("new", F.col("old").isNull()).drop("old")
-        run, path = written(first.sortWithinPartitions("h1", "h2"), "run")
+    for b in numbers:
+        own = keys.where(F.col("batch") == b)
+        first = own.groupBy("h1", "h2").agg(F.min("d").alias("owner"), F.max("d").alias("latest"))
+        runs = [run.table() for level in levels.values() for run in level]
+        told, told_path = written(anti_joined(first, runs), "batch-keys")
         # the keys that anything is to be dropped for, in a table of their own: its size decides how Spark joins
-        shared, _ = written(run.where("not new or owner < latest").select("h1", "h2", F.when(F.col("new"), F.col("owner")).alias("owner")), "shared-keys")
-        lost = keys.join(shared, ["h1", "h2"]).where("owner is null or d > owner").select("d", "v", "pos")
-        losers.append(written(lost, "losing-lines")[0])
-        levels.setdefault(0, []).append((run, path))
+        shared, shared_path = written(told.where("not new or owner < latest").select("h1", "h2", F.when(F.col("new"), F.col("owner")).alias("owner")), "shared-keys")
+        losers.append(written(own.join(shared, ["h1", "h2"]).where("owner is null or d > owner").select("d", "v", "pos"), "losing-lines")[0])
+        if b != numbers[-1]:
+            fresh = told.where("new").select("h1", "h2").repartition(partitions(spark), "h1", "h2")
+            levels.setdefault(0, []).append(Bucketed.of(fresh, "run", "h1", "h2"))
         level = 0
-        while high is not None and len(levels.get(level, [])) >= fanout:
+        while len(levels.get(level, [])) >= fanout:
             old = levels.pop(level)
-            merged = reduce(DataFrame.unionAll, [r.where("new") for r, _ in old]).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
-            levels.setdefault(level + 1, []).append(written(merged, "run"))
-            dropped(spark, *(p for _, p in old))
+            merged = reduce(DataFrame.unionAll, [r.table() for r in old]).repartition(partitions(spark), "h1", "h2")
+            levels.setdefault(level + 1, []).append(Bucketed.of(merged, "run", "h1", "h2"))
+            for r in old:
+                r.drop()
             level += 1
-    dropped(spark, *(p for level in levels.values() for _, p in level))
+        dropped(spark, told_path, shared_path)
+    for run in (r for level in levels.values() for r in level):
+        run.drop()
+    dropped(spark, keys_path)
     return reduce(DataFrame.unionAll, losers)
 
 
@@ -82,8 +95,9 @@ def line_dedup(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, mi
 
     Lines are what lies between line feeds. Lines whose key (stripped, A-Z in lower case) has at
     least ``min_chars`` code points stay only in the smallest doc_id that has the key, all of them
-    there. Null text is an empty one, of one empty line. Rows of one doc_id are one document. A
-    null doc_id comes after all others. Columns of docs named n_lines or n_dropped are replaced.
+    there. Null text is an empty one, of one empty line. Rows of one doc_id are one document, equal
+    rows have equal results. A null doc_id comes after all others. Columns of docs named n_lines or
+    n_dropped are replaced. An empty table gives an empty one.
     """
     lost = losing_lines(docs, batches, fanout, min_chars).groupBy("d", "v").agg(F.sort_array(F.collect_set("pos")).alias("lost")).withColumnsRenamed({"d": "_d", "v": "_v", "lost": "_lost"})
     text = F.coalesce(F.col("text"), F.lit(""))

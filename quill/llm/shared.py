@@ -10,6 +10,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,30 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         time.sleep(0.2)
 
 
+@dataclass
+class Bucketed:
+    """A table bucketed and sorted by keys: joins on them move the other side only."""
+
+    spark: SparkSession
+    name: str
+    path: str
+
+    @classmethod
+    def of(cls, df: DataFrame, what: str, *keys: str) -> Bucketed:
+        """``df`` should be dealt by the keys already, into as many partitions as Spark shuffles into."""
+        spark = df.sparkSession
+        made = cls(spark, f"quill_{what}_{uuid.uuid4().hex}", table_path(spark, what))
+        df.write.bucketBy(partitions(spark), *keys).sortBy(*keys).option("compression", "zstd").option("path", made.path).saveAsTable(made.name)
+        return made
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        dropped(self.spark, self.path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

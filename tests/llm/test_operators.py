@@ -237,3 +237,22 @@ def test_flat_handles_slices():
     a = pa.array(["ab", None, "", "é"]).slice(1)
     data, offsets = flat(a)
     assert data.tobytes() == "é".encode() and offsets.tolist() == [0, 0, 0, 2]
+
+
+def test_runs_are_joined_where_they_lie(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    from quill.llm.lines import anti_joined
+    from quill.llm.shared import Bucketed, partitions
+
+    keys = spark.range(1000).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"), F.col("id").alias("owner"))
+    runs = [Bucketed.of(keys.where(F.col("owner") % 3 == k).select("h1", "h2").repartition(partitions(spark), "h1", "h2"), "run", "h1", "h2") for k in (0, 1)]
+    out = anti_joined(keys.groupBy("h1", "h2").agg(F.min("owner").alias("owner")), [r.table() for r in runs])
+    told = io.StringIO()
+    with redirect_stdout(told):
+        out.explain()
+    assert told.getvalue().count("Exchange hashpartitioning") == 1 and told.getvalue().count("SortMergeJoin") == 2
+    assert sorted(r["owner"] for r in out.where("new").collect()) == [k for k in range(1000) if k % 3 == 2]
+    for r in runs:
+        r.drop()
