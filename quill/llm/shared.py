@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import re
-import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,27 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quill.session import shared_dir
+
 #: Bytes of text that one vectorised step works on; temporaries take some 60 times as much.
 STEP_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, or the context's checkpoint folder.
-
-    A temporary one is set only on a local master, as in tests; on a cluster no other machine sees it.
-    """
-    context = spark.sparkContext
-    set_dir = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir and context._jsc.sc().getCheckpointDir().isDefined():
-        set_dir = context._jsc.sc().getCheckpointDir().get()
-    if not set_dir:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that all executors see")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quill-"))
-        set_dir = context._jsc.sc().getCheckpointDir().get()
-    return set_dir.rstrip("/")
-
-
 def table_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/quill-{what}-{uuid.uuid4().hex}"
 
