@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quill.functions.values import guarded_decimal, json_or, ratio
+from quill.operators.ordered import running
 
 #: Event kinds as the rollups know them.
 REGISTERED, COMPLETED, FAILED = "USER_REGISTERED", "AI_REQUEST_COMPLETED", "LOGIN_FAILED"
@@ -89,9 +90,7 @@ def top_share(costs: DataFrame, key: str = "user_id", cost: str = "cost", share:
     paid = costs.where(F.col(cost) > 0)
     totals = paid.agg(F.count(F.lit(1)).alias("n"), F.sum(cost).alias("all"))
     by_cost = paid.groupBy(cost).agg(F.count(F.lit(1)).alias("same"))
-    from pyspark.sql import Window
-
-    ranked = by_cost.withColumn("before", F.coalesce(F.sum("same").over(Window.orderBy(F.desc(cost)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).crossJoin(F.broadcast(totals))
+    ranked = running(by_cost.withColumn("_down", -F.col(cost)), ["_down"], F.col("same"), "before").crossJoin(F.broadcast(totals))
     taken = F.greatest(F.lit(0), F.least(F.col("same"), F.greatest(F.lit(1), F.ceil(F.col("n") * share)) - F.col("before")))
     top = ranked.agg(F.sum(taken * F.col(cost)).alias("top"), F.max("all").alias("all"))
     return top.select(F.round(F.coalesce(F.col("top").cast("double") / F.col("all").cast("double"), F.lit(0.0)), 9).alias("top_share"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quill.functions.text import nfc, word_distance
+from quill.operators.ordered import numbered, running
+from quill.session import checkpointed
 
 
 def first_per_key(df: DataFrame, key: Column, *order: Column | str) -> DataFrame:
@@ -38,17 +40,15 @@ def sample_per_stratum(df: DataFrame, stratum: str, key: Column, quota: int) ->
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(digest, key))).where(F.col("_r") <= quota).drop("_r")
 
 
-def balanced(df: DataFrame, group: str, order: Column, limit: int) -> DataFrame:
+def balanced(df: DataFrame, group: str, order: str, limit: int) -> DataFrame:
     """Round robin over groups: every group's k-th row before any k+1-th, ``limit`` rows in all."""
-    turn = df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(order)))
-    return turn.orderBy("turn", group).limit(limit)
+    return numbered(df, [order], "turn", [group]).orderBy("turn", group).limit(limit)
 
 
 def running_units(df: DataFrame, order: list[str], size: Column, unit: int, by: list[str] | None = None) -> DataFrame:
     """Rows cut into units of a running total: first and last unit that each row lies in."""
-    w = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    stop = F.sum(size).over(w)
-    return df.withColumn("start", stop - size).withColumn("stop", stop).withColumns({"first_unit": F.floor(F.col("start") / unit), "last_unit": F.floor(F.greatest(F.col("start"), F.col("stop") - 1) / unit)})
+    placed = running(df.withColumn("_n", size), order, F.col("_n"), "start", by).withColumn("stop", F.col("start") + F.col("_n")).drop("_n")
+    return placed.withColumns({"first_unit": F.floor(F.col("start") / unit), "last_unit": F.floor(F.greatest(F.col("start"), F.col("stop") - 1) / unit)})
 
 
 def token_spans(df: DataFrame, key: str, order: list[str], size: Column, window: int, by: list[str]) -> DataFrame:
@@ -80,17 +80,13 @@ def smallest_reachable(nodes: DataFrame, edges: DataFrame, key: str) -> DataFram
 
     Each round is checkpointed, so that the plan stays short and a lost executor costs one round.
     """
-    spark = nodes.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quill-"))
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct().checkpoint()
-    labels = nodes.select(F.col(key).alias("x"), F.col(key).alias("c")).distinct().checkpoint()
+    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct()
+    both = checkpointed(both)
+    labels = checkpointed(nodes.select(F.col(key).alias("x"), F.col(key).alias("c")).distinct())
     while True:
         near = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("c").alias("n"))
         lower = labels.join(near, "x", "left").select("x", "c", F.least("c", F.coalesce("n", "c")).alias("n"))
-        jumped = lower.join(labels.select(F.col("x").alias("n"), F.col("c").alias("j")), "n").select("x", F.least("n", "j").alias("c"), (F.least("n", "j") < F.col("c")).alias("moved")).checkpoint()
+        jumped = checkpointed(lower.join(labels.select(F.col("x").alias("n"), F.col("c").alias("j")), "n").select("x", F.least("n", "j").alias("c"), (F.least("n", "j") < F.col("c")).alias("moved")))
         labels = jumped.select("x", "c")
         if not jumped.where("moved").limit(1).count():
             return labels.select(F.col("x").alias(key), F.col("c").alias("component"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quill.operators.ordered import numbered
+
 
 def summary(attempts: DataFrame, user: str, percentage: str, start: str, stop: str) -> DataFrame:
     """Participants, attempts, average, best and worst percentage (nulls ignored), mean duration in seconds."""
@@ -34,6 +36,5 @@ def shares(weights: DataFrame, by: str, weight: str, total: Column) -> DataFrame
 
 def interleaved(items: DataFrame, kind: str, order: str, size: int) -> DataFrame:
     """Items of alternating kinds in batches of ``size``: the k-th of each kind before any k+1-th."""
-    ranked = items.withColumn("_k", F.row_number().over(Window.partitionBy(kind).orderBy(order)))
-    placed = ranked.withColumn("place", F.row_number().over(Window.orderBy("_k", kind)))
+    placed = numbered(numbered(items, [order], "_k", [kind]), ["_k", kind], "place")
     return placed.withColumn("batch", F.floor((F.col("place") - 1) / size).cast("long")).drop("_k")

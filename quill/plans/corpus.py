@@ -76,7 +76,7 @@ def win_stratified_sample(spark, d):
 
 @PLANS.add("SELECT source, doc_id, turn FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id::VARCHAR)) AS turn FROM documents) ORDER BY turn, source LIMIT 123")
 def win_balanced_round_robin(spark, d):
-    return C.balanced(docs(spark, d), "source", F.sha2(F.col("doc_id").cast("string"), 256), 123).select("source", "doc_id", F.col("turn").cast("long").alias("turn"))
+    return C.balanced(docs(spark, d).select("source", "doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("digest")), "source", "digest", 123).select("source", "doc_id", F.col("turn").cast("long").alias("turn"))
 
 
 @PLANS.add(f"SELECT sha256(trim(text)) AS key, count(DISTINCT {_BUCKET.format('doc_id::VARCHAR')} < 50) AS splits, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT {_BUCKET.format('doc_id::VARCHAR')} < 50) > 1")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -17,6 +19,31 @@ def workers_find(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, seen) if x)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    A temporary one is set only on a local master, as in tests; on a cluster no other machine sees it.
+    """
+    context = spark.sparkContext
+    set_dir = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not set_dir and context._jsc.sc().getCheckpointDir().isDefined():
+        set_dir = context._jsc.sc().getCheckpointDir().get()
+    if not set_dir:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that all executors see")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quill-"))
+        set_dir = context._jsc.sc().getCheckpointDir().get()
+    return set_dir.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` in the checkpoint folder: a lost executor loses nothing, and the plan ends here."""
+    context, folder = df.sparkSession.sparkContext, shared_dir(df.sparkSession)
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def local(cores: str = "4", partitions: int = 8, memory: str = "6g") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
