@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quill.plans import analytics, corpus, evaluation, learning, retrieval, risk, service
+from quill.plans import analytics, corpus, evaluation, learning, retrieval, risk, service, strings
 
-QUERIES: dict = {**analytics.PLANS, **learning.PLANS, **risk.PLANS, **retrieval.PLANS, **corpus.PLANS, **service.PLANS, **evaluation.PLANS}
+QUERIES: dict = {**analytics.PLANS, **learning.PLANS, **risk.PLANS, **retrieval.PLANS, **corpus.PLANS, **service.PLANS, **evaluation.PLANS, **strings.PLANS}
