@@ -15,6 +15,15 @@ def first_per_key(df: DataFrame, key: Column, *order: Column | str) -> DataFrame
     return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
+def first_of(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Each row with the least ``order`` of its key, first_id, and how many rows the key has, n.
+
+    Keys are counted before they are shuffled, and the join may split a common one.
+    """
+    firsts = df.groupBy(key).agg(F.min(order).alias("first_id"), F.count(F.lit(1)).alias("n"))
+    return df.join(firsts, key)
+
+
 def merged(df: DataFrame, key: Column, keep: str, best: Column, origin: str) -> DataFrame:
     """One row per canonical content: the best row's ``keep``, how many there are and all origins."""
     return df.groupBy(key.alias("content")).agg(F.max_by(keep, best).alias(keep), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(origin)).alias("origins"))

@@ -95,23 +95,24 @@ def agg_top1pct_cost_share(spark, d):
     return A.top_share(A.daily_user_metrics(pe(spark, d)).groupBy("user_id").agg(F.sum("ai_cost").alias("cost")))
 
 
-def _retention_sql(n: int) -> str:
+def _retention_sql(n: int, to: dt.date) -> str:
     return f"""WITH {_PE}, seen AS (SELECT DISTINCT user_id, day FROM pe)
 SELECT c.day AS cohort_day, count(*) AS registered, count(s.user_id) AS retained, round(count(s.user_id) / count(*), 4) AS rate
 FROM pe c LEFT JOIN seen s ON s.user_id = c.user_id AND s.day = c.day + {n}
-WHERE c.kind = 'USER_REGISTERED' AND c.day <= DATE '2024-01-30' - {n} GROUP BY c.day"""
+WHERE c.kind = 'USER_REGISTERED' AND c.day <= DATE '{to}' - {n} GROUP BY c.day"""
 
 
-def _retention(n: int):
+def _retention(n: int, to: dt.date):
     def run(spark, d):
-        return A.cohort_retention(pe(spark, d), n, TO)
+        return A.cohort_retention(pe(spark, d), n, to)
 
     run.__name__ = f"join_cohort_retention_d{n}"
     return run
 
 
-for _n in (1, 7, 30):
-    PLANS.add(_retention_sql(_n))(_retention(_n))
+#: The tables hold thirty days, so cohorts of thirty days later are asked for after their end.
+for _n, _to in ((1, TO), (7, TO), (30, TO + dt.timedelta(15))):
+    PLANS.add(_retention_sql(_n, _to))(_retention(_n, _to))
 
 
 @PLANS.add(f"""WITH {_PE} SELECT CASE WHEN value / 100 >= 0.9 THEN 'CRITICAL' WHEN value / 100 >= 0.6 THEN 'HIGH' WHEN value / 100 >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS band,

@@ -18,10 +18,11 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
-@PLANS.add("""SELECT doc_id, place, first_id, place = 1 AS kept FROM (SELECT doc_id, row_number() OVER (PARTITION BY trim(text) ORDER BY doc_id) AS place, min(doc_id) OVER (PARTITION BY trim(text)) AS first_id FROM documents)""")
+@PLANS.add("""SELECT doc_id, first_id, n, doc_id = first_id AS kept FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY trim(text)) AS first_id, count(*) OVER (PARTITION BY trim(text)) AS n FROM documents)""")
 def cor_exact_dedup(spark, d):
-    key = F.sha2(F.trim("text"), 256)
-    return C.first_per_key(docs(spark, d), key, "doc_id").select("doc_id", F.col("place").cast("long").alias("place"), F.min("doc_id").over(Window.partitionBy(key)).alias("first_id"), (F.col("place") == 1).alias("kept"))
+    """Of each content the first document stays; only ids and digests are shuffled, counts are added up before."""
+    rows = docs(spark, d).select("doc_id", F.sha2(F.trim("text"), 256).alias("key"))
+    return C.first_of(rows, "key", "doc_id").select("doc_id", "first_id", "n", (F.col("doc_id") == F.col("first_id")).alias("kept"))
 
 
 @PLANS.add("""SELECT sha256(lower(trim(text))) AS content, arg_max(doc_id, (n_chars, -doc_id)) AS doc_id, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS origins FROM documents GROUP BY 1""")
@@ -30,16 +31,18 @@ def set_distinct_content(spark, d):
     return m.withColumn("origins", F.array_join("origins", ","))
 
 
-@PLANS.add("SELECT sha256(trim(text)) AS content, count(DISTINCT quality) AS answers, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT quality) > 1")
+@PLANS.add("SELECT sha256(lower(substr(trim(text), 1, 2))) AS content, count(DISTINCT quality) AS answers, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT quality) > 1")
 def set_conflict_groups(spark, d):
-    return C.conflicts(docs(spark, d).join(table(spark, d, "labels"), "doc_id"), F.sha2(F.trim("text"), 256), "quality")
+    """Contents (here what texts begin with) that have more than one answer."""
+    key = F.sha2(F.lower(F.substring(F.trim("text"), 1, 2)), 256)
+    return C.conflicts(docs(spark, d).join(table(spark, d, "labels"), "doc_id").select(key.alias("key"), "quality"), F.col("key"), "quality")
 
 
 @PLANS.add("""SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low_quality' WHEN n_chars < 200 THEN 'short' WHEN rn > 1 THEN 'duplicate' ELSE 'kept' END AS reason
 FROM (SELECT d.*, quality, toxic, row_number() OVER (PARTITION BY trim(text) ORDER BY doc_id) AS rn FROM documents d LEFT JOIN labels USING (doc_id))""")
 def cor_dedup_reasons(spark, d):
-    rows = C.first_per_key(docs(spark, d).join(table(spark, d, "labels"), "doc_id", "left"), F.sha2(F.trim("text"), 256), "doc_id")
-    return rows.select("doc_id", C.first_reason(toxic=F.col("toxic") == 1, low_quality=F.col("quality") == 0, short=F.col("n_chars") < 200, duplicate=F.col("place") > 1).alias("reason"))
+    rows = C.first_of(docs(spark, d).select("doc_id", "n_chars", F.sha2(F.trim("text"), 256).alias("key")), "key", "doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    return rows.select("doc_id", C.first_reason(toxic=F.col("toxic") == 1, low_quality=F.col("quality") == 0, short=F.col("n_chars") < 200, duplicate=F.col("doc_id") > F.col("first_id")).alias("reason"))
 
 
 @PLANS.add(r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN length(text) < 100 THEN 'short' END, CASE WHEN regexp_matches(text, '[#$%&*]{3}') THEN 'symbols' END,
@@ -134,11 +137,12 @@ def agg_wilson_by_group(spark, d):
     return m.select("source", "wins", "n", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
-@PLANS.add("""WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND NOT long_) AS b, count(*) FILTER (WHERE quality = 0 AND long_) AS c FROM (SELECT quality, n_chars > 2000 AS long_ FROM documents JOIN labels USING (doc_id) WHERE doc_id % 9 = 0)),
-t AS (SELECT b, c, unnest(range(0, least(b, c) + 1)) AS k FROM c), f AS (SELECT b, c, k, exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2)) AS p FROM t)
-SELECT any_value(b) AS b, any_value(c) AS c, round(least(1, 2 * sum(p)), 9) AS p FROM f""")
+@PLANS.add("""WITH c AS (SELECT lang, count(*) FILTER (WHERE quality = 1 AND NOT long_) AS b, count(*) FILTER (WHERE quality = 0 AND long_) AS c FROM (SELECT lang, quality, n_chars > 2000 AS long_ FROM documents JOIN labels USING (doc_id)) GROUP BY lang),
+t AS (SELECT *, unnest(range(0, least(b, c) + 1)) AS k FROM c), f AS (SELECT lang, b, c, k, exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2)) AS p FROM t)
+SELECT lang, any_value(b) AS b, any_value(c) AS c, CASE WHEN any_value(b + c) = 0 THEN 1 ELSE round(least(1, 2 * sum(p)), 9) END AS p FROM f GROUP BY lang""")
 def agg_mcnemar(spark, d):
-    return _mcnemar(docs(spark, d).where("doc_id % 9 = 0"), table(spark, d, "labels"))
+    """By language, over all labelled documents."""
+    return _mcnemar(docs(spark, d), table(spark, d, "labels"), "lang")
 
 
 @PLANS.add("""WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND NOT long_) AS b, count(*) FILTER (WHERE quality = 0 AND long_) AS c FROM (SELECT quality, n_chars > 2000 AS long_ FROM documents JOIN labels USING (doc_id))),
@@ -148,11 +152,11 @@ def agg_mcnemar_all(spark, d):
     return _mcnemar(docs(spark, d), table(spark, d, "labels"))
 
 
-def _mcnemar(documents, labels):
+def _mcnemar(documents, labels, *by):
     rows = documents.join(labels, "doc_id")
     long_ = F.col("n_chars") > 2000
-    c = rows.agg(F.count_if((F.col("quality") == 1) & ~long_).alias("b"), F.count_if((F.col("quality") == 0) & long_).alias("c"))
-    return c.select("b", "c", F.round(mcnemar(F.col("b"), F.col("c")), 9).alias("p"))
+    c = rows.groupBy(*by).agg(F.count_if((F.col("quality") == 1) & ~long_).alias("b"), F.count_if((F.col("quality") == 0) & long_).alias("c"))
+    return c.select(*by, "b", "c", F.round(mcnemar(F.col("b"), F.col("c")), 9).alias("p"))
 
 
 @PLANS.add("SELECT quality, toxic, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM labels GROUP BY quality, toxic")
@@ -169,19 +173,18 @@ def arr_chat_schema_check(spark, d):
     return c.select("conv_id", roles.alias("roles"), "turns", "supervised", roles.rlike("^(system,)?user,assistant(,user,assistant)*$").alias("valid"))
 
 
-@PLANS.add("""SELECT a.item_id, b.doc_id, round(levenshtein(a.text, b.text) / length(a.text), 6) AS cer FROM (SELECT item_id, regexp_replace(substr(text, 1, 80), '[^ -~]', '?', 'g') AS text FROM benchmark) a JOIN (SELECT doc_id, regexp_replace(substr(text, 1, 80), '[^ -~]', '?', 'g') AS text FROM documents) b ON b.doc_id = a.item_id""")
-def agg_cer_by_pair(spark, d):
-    ascii_ = lambda c: F.regexp_replace(F.substring(c, 1, 80), "[^ -~]", "?")
-    pairs = table(spark, d, "benchmark").select("item_id", ascii_("text").alias("r")).join(docs(spark, d).select(F.col("doc_id").alias("item_id"), ascii_("text").alias("p")), "item_id")
-    return pairs.select("item_id", F.col("item_id").alias("doc_id"), F.round(T.cer(F.col("r"), F.col("p")), 6).alias("cer"))
-
-
 def _error_rates(spark, d):
     predictions = docs(spark, d).select("doc_id", F.col("text").alias("prediction"))
     pairs = table(spark, d, "benchmark").select("item_id", F.col("text").alias("reference")).join(predictions, F.col("doc_id") == F.col("item_id"), "left")
     return C.error_rates(pairs, "reference", "prediction").drop("reference", "prediction")
 
 
+@PLANS.add()
+def agg_cer_by_pair(spark, d):
+    """Character error rates of whole texts; no SQL, since DuckDB's distance is one of bytes."""
+    return _error_rates(spark, d).where("doc_id is not null").select("item_id", "doc_id", F.round("cer", 6).alias("cer"))
+
+
 @PLANS.add()
 def agg_error_rates_by_pair(spark, d):
     return _error_rates(spark, d)

@@ -94,9 +94,9 @@ def join_semi_active_members(spark, d):
     return table(spark, d, "customer").join(o, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@PLANS.add("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@PLANS.add("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)")
 def join_anti_unreferenced(spark, d):
-    used = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    used = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, d, "part").join(used, "p_partkey", "left_anti").select("p_partkey")
 
 
