@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quill.functions.text import tokens
+from quill.operators import context as X
 from quill.operators import retrieval as R
 from quill.plans.base import Plans, table
 
@@ -95,3 +96,58 @@ def join_neighbours(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
     return c.withColumns({"n_prev": F.lag("n").over(w), "n_next": F.lead("n").over(w)})
+
+
+def _chunked(spark, d):
+    c = R.chunks(table(spark, d, "documents"), "doc_id", "text")
+    return c.select(F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"), F.col("doc_id").alias("document"), F.floor(F.col("chunk_index") / 4).alias("location"), F.col("chunk_index").alias("index"), F.col("chunk").alias("text"))
+
+
+def _hybrid(spark, d, k=12):
+    """Lists by words and by vectors, fused, the first ones in the order of another score."""
+    chunks = _chunked(spark, d)
+    q = table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("terms"))
+    by_words = R.bm25_top(q, chunks.select("chunk_id", tokens(F.col("text")).alias("terms")), 30)
+    vectors, corpus = _vectors(spark, d)
+    corpus = corpus.select(F.concat(F.col("chunk_id").cast("string"), F.lit("-0")).alias("chunk_id"), "vector")
+    by_vectors = R.vector_top(vectors, corpus, 30, 0.25)
+    ranked = R.reranked(R.fused(by_words, by_vectors), F.pmod(F.xxhash64("chunk_id"), F.lit(97)))
+    return ranked.select("query_id", "chunk_id", F.col("new_rank").alias("rank")).where(F.col("rank") <= k), chunks
+
+
+@PLANS.add()
+def ret_hybrid_search(spark, d):
+    return _hybrid(spark, d)[0]
+
+
+@PLANS.add()
+def ret_contexts(spark, d):
+    ranked, chunks = _hybrid(spark, d)
+    return X.contexts(ranked, chunks, 6, 12_000).select("query_id", "source", "chunk_id", F.sha2("body", 256).alias("body_sha256"))
+
+
+@PLANS.add()
+def ret_context_selection(spark, d):
+    asked = table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("request_id"), tokens(F.col("text")).alias("terms"), F.explode(F.sequence(F.col("item_id"), F.col("item_id") + 4)).alias("document"))
+    chunks = _chunked(spark, d).withColumn("terms", tokens(F.col("text")))
+    return X.selected(asked, chunks, 8, 16_000).select("request_id", "place", "chunk_id", F.round("score", 9).alias("score"))
+
+
+def _quoted(spark, d):
+    docs = table(spark, d, "documents")
+    said = F.substring("text", 40, 160)
+    quotes = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("key"), F.col("doc_id").alias("source_id"), F.when(F.col("doc_id") % 40 == 0, F.upper(said)).otherwise(F.regexp_replace(said, r" (\w+) (\w+) ", " $2 ")).alias("quote"))
+    asked = docs.join(quotes.select("source_id").distinct(), F.col("doc_id") == F.col("source_id"), "left_semi")
+    windows = R.citation_windows(asked, ["doc_id"], "text", most=1 << 30).select(F.col("doc_id").alias("source_id"), "start", "stop", "window")
+    return X.resolved(quotes, asked.select(F.col("doc_id").alias("source_id"), "text"), windows)
+
+
+@PLANS.add()
+def ret_citation_cascade(spark, d):
+    return _quoted(spark, d).select("key", "method", "score", F.sha2("canonical", 256).alias("canonical_sha256"))
+
+
+@PLANS.add()
+def ret_citation_summary(spark, d):
+    n = F.count(F.lit(1))
+    return _quoted(spark, d).groupBy("method").agg(n.alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
