@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quill.plans import analytics, corpus, evaluation, learning, release, retrieval, risk, service, strings
+from quill.plans import analytics, corpus, evaluation, files, learning, release, retrieval, risk, service, strings
 
-QUERIES: dict = {**analytics.PLANS, **learning.PLANS, **risk.PLANS, **retrieval.PLANS, **corpus.PLANS, **service.PLANS, **evaluation.PLANS, **strings.PLANS, **release.PLANS}
+QUERIES: dict = {**analytics.PLANS, **learning.PLANS, **risk.PLANS, **retrieval.PLANS, **corpus.PLANS, **service.PLANS, **evaluation.PLANS, **strings.PLANS, **release.PLANS, **files.PLANS}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,13 +32,16 @@ def scanned(spark: SparkSession, path: str) -> DataFrame:
     """file, line, value, error: one row per line that is not blank.
 
     Only line feeds end a line, so other separators inside strings are content; a carriage return
-    before one and a byte order mark are dropped. Numbers keep their digits as text in ``value``.
-    Line numbers count within a file, which is read whole.
+    before one and a byte order mark at the start of a file are dropped. Numbers keep their digits as
+    text in ``value``. Files are read in blocks; the lines of each block are counted, so that a line
+    has its number in its file wherever it is read.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"))
-    lines = whole.select("file", F.posexplode(F.split("value", "\n", -1)).alias("at", "value"))
-    kept = lines.select("file", (F.col("at") + 1).alias("line"), F.regexp_replace("value", "\r$", "").alias("value")).where(F.trim("value") != "")
-    return kept.withColumn("error", F.udf(checked, "string", useArrow=True)("value"))
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = read.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = read.join(blocks.withColumn("before", before), ["file", "block"]).withColumn("line", F.col("before") + F.col("at") - F.col("first") + 1)
+    plain = F.regexp_replace(F.when(F.col("line") == 1, F.regexp_replace("value", "^\\x{FEFF}", "")).otherwise(F.col("value")), "\r$", "")
+    return lines.select("file", "line", plain.alias("value")).where(F.trim("value") != "").withColumn("error", F.udf(checked, "string", useArrow=True)("value"))
 
 
 def records(spark: SparkSession, path: str, schema: str) -> DataFrame:

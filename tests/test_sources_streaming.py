@@ -23,3 +23,30 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r["day"], r["event_type"], r["n"], r["value"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == want and len(got) == 2
     assert {(r["user_id"], r["n"], r["refused"]) for r in rollup.tumbling(rows, "user_id", 3600, 0).collect()} == {(1, 1, 1), (2, 1, 1), (3, 1, 1)}
+
+
+def test_lines_have_their_numbers_in_any_block(spark, tmp_path):
+    p = tmp_path / "big.jsonl"
+    p.write_text("".join('{"a": %d}\n' % i + ("\n" if i % 7 == 0 else "") for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        got = {r["line"]: r["value"] for r in jsonl.scanned(spark, str(p)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    lines = p.read_text().split("\n")
+    assert got == {i + 1: x for i, x in enumerate(lines) if x}
+
+
+def test_delimited_files(spark, tmp_path):
+    import pytest
+
+    from quill.sources.files import delimited, named, separator
+
+    assert named(["a", "", "a", "a", "column_2"]) == ["a", "column_2", "a (2)", "a (3)", "column_2 (2)"]
+    assert [separator(x) for x in (["a;b", "1;2"], ["a|b|c", "1|2|3"], ["one", "two"], ["a,b;c", "1,2;3,4"])] == [";", "|", ",", ";"]
+    p = tmp_path / "x.csv"
+    p.write_text("a;;a\n1;2;3\n4;5;6\n")
+    assert [tuple(r) for r in delimited(spark, str(p)).collect()] == [("1", "2", "3"), ("4", "5", "6")] and delimited(spark, str(p)).columns == ["a", "column_2", "a (2)"]
+    p.write_text("a;b\n1;2\n3;4;5\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        delimited(spark, str(p), ";").collect()
