@@ -27,6 +27,8 @@ from quill.llm.shared import lean, steps, written
 SEQUENCE, END_ID = 4096, 2
 #: With more sources the smallest without a weight share queues, so that a slot's grants stay this few.
 QUEUES = 256
+#: Slots times queues that are looked at together.
+AT_ONCE = 1 << 20
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, source string, sequence_id bigint, offset bigint, ids binary"
 _encoders: dict = {}
 
@@ -95,14 +97,15 @@ class Schedule:
                 continue
             n, w, base = int(self.served[p, queue]), int(self.slots[p]), int(self.before[p, queue])
             a, b = (((r + 1) * w - 1) // n for r in (low - base, high - 1 - base))
-            x = np.arange(a, b + 2)
-            own = np.full(len(x), p)
-            ids = self.upto(own, x)
-            cut = np.clip(ids[:, queue], low, high)
-            grants = ids[1:, :queue] - ids[:-1, :queue]
-            place = ids[:-1].sum(axis=1) + grants.sum(axis=1) + cut[:-1] - ids[:-1, queue]
-            keep = cut[1:] > cut[:-1]
-            found.append((cut[:-1][keep], (cut[1:] - cut[:-1])[keep], place[keep]))
+            step = max(1, AT_ONCE // self.served.shape[1])
+            for k in range(a, b + 1, step):  # some slots at a time, so that long documents take no more memory
+                x = np.arange(k, min(k + step, b + 1) + 1)
+                ids = self.upto(np.full(len(x), p), x)
+                cut = np.clip(ids[:, queue], low, high)
+                grants = ids[1:, :queue] - ids[:-1, :queue]
+                place = ids[:-1].sum(axis=1) + grants.sum(axis=1) + cut[:-1] - ids[:-1, queue]
+                keep = cut[1:] > cut[:-1]
+                found.append((cut[:-1][keep], (cut[1:] - cut[:-1])[keep], place[keep]))
         if not found:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
@@ -205,9 +208,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str, float
     ``ids`` are little-endian unsigned 32-bit. Sequences are ``sequence`` ids without gaps; only
     the last one may be shorter. ``weights`` are target proportions by source; sources without one
     are served when those with one have ended. With more than ``queues`` sources those with a weight
-    and the largest others have queues of their own and the rest share some. Null text: the end id alone. A null source is a
-    queue of its own, as is a missing column. Null or repeated doc_ids stay rows of their own.
-    Other columns are not read. An empty table gives no pieces.
+    and the largest others have queues of their own and the rest share some. Null text: the end id
+    alone. A null source counts as an empty one, as does a missing column. Null or repeated doc_ids
+    stay rows of their own. Other columns are not read. An empty table gives no pieces.
     """
     rows = tokenized(docs, tokenizer or default_tokenizer(), source)
     spark = rows.sparkSession

@@ -256,3 +256,25 @@ def test_runs_are_joined_where_they_lie(spark):
     assert sorted(r["owner"] for r in out.where("new").collect()) == [k for k in range(1000) if k % 3 == 2]
     for r in runs:
         r.drop()
+
+
+def test_windows_hold_the_targets(spark):
+    from quill.llm.packing import pack
+
+    rows = [(i, "word " * 40, "abc"[i % 3]) for i in range(120)] + [(None, None, None), (None, "x", "a"), (5, "word " * 40, "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = pack(docs, weights={"a": 0.5, "b": 0.3, "c": 0.2}, sequence=256).collect()
+    assert sum(r["length"] for r in got) == sum(len(t.split()) + 1 if t else 1 for _, t, _ in rows)
+    first = {s: sum(r["length"] for r in got if r["sequence_id"] < 8 and r["source"] == s) / (8 * 256) for s in "abc"}
+    assert all(abs(first[s] - w) < 0.01 for s, w in {"a": 0.5, "b": 0.3, "c": 0.2}.items())
+    for k in range(8):  # each of them, too
+        assert all(abs(sum(r["length"] for r in got if r["sequence_id"] == k and r["source"] == s) / 256 - w) < 0.03 for s, w in {"a": 0.5, "b": 0.3, "c": 0.2}.items())
+
+
+def test_schedule_in_parts(monkeypatch):
+    from quill.llm import packing
+
+    plan = packing.Schedule.of(np.array([50_000, 7_000, 43_000]), None, 128)
+    whole = plan.places(0, 1234, 40_000)
+    monkeypatch.setattr(packing, "AT_ONCE", 50)
+    assert all((a == b).all() for a, b in zip(whole, plan.places(0, 1234, 40_000), strict=True))
