@@ -45,8 +45,10 @@ def first_reason(**rules: Column) -> Column:
 
 def sample_per_stratum(df: DataFrame, stratum: str, key: Column, quota: int) -> DataFrame:
     """The ``quota`` smallest SHA-256 of each stratum; ties by the key itself."""
-    digest = F.sha2(key, 256)
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(digest, key))).where(F.col("_r") <= quota).drop("_r")
+    keyed = df.withColumns({"_d": F.sha2(key, 256), "_k": key}).withColumn("_part", F.pmod(F.xxhash64("_k"), F.lit(256)))
+    first = lambda rows, *by: rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_d", "_k"))).where(F.col("_r") <= quota)
+    # the smallest of each part, then the smallest of those: no task sees a whole stratum
+    return first(first(keyed, stratum, "_part"), stratum).drop("_r", "_d", "_k", "_part")
 
 
 def balanced(df: DataFrame, group: str, order: str, limit: int) -> DataFrame:
@@ -67,6 +69,15 @@ def token_spans(df: DataFrame, key: str, order: list[str], size: Column, window:
     return spans.select(*by, key, "window", F.greatest(F.col("start"), F.col("window") * window).alias("start"), F.least(F.col("stop"), (F.col("window") + 1) * window).alias("stop"))
 
 
+def representatives(sets: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Of equal sets the one of the least key (key, items), and which one stands for each (key, rep); sets without items stand for themselves."""
+    keyed = sets.withColumn("_h", F.sha2(F.array_join(F.array_sort("items"), "\x01"), 256))
+    firsts = keyed.where(F.size("items") > 0).groupBy("_h").agg(F.min(key).alias("rep"))
+    members = keyed.select(key, "_h").join(firsts, "_h", "left").select(key, F.coalesce("rep", key).alias("rep"))
+    alone = members.where(F.col(key) == F.col("rep")).select(key)
+    return sets.join(alone, key, "left_semi"), members
+
+
 def similar_sets(sets: DataFrame, key: str, threshold: float) -> DataFrame:
     """Pairs a < b of (key, items: distinct strings) with Jaccard similarity of the threshold or more.
 
@@ -74,8 +85,9 @@ def similar_sets(sets: DataFrame, key: str, threshold: float) -> DataFrame:
     must be near enough, and candidates are verified exactly.
     """
     items = sets.where(F.size("items") > 0).select(F.col(key).alias("k"), "items", F.size("items").alias("n"))
-    counts = items.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    placed = items.select("k", "n", F.explode("items").alias("item")).join(counts, "item").withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("df", "item")))
+    hashed = items.select("k", "n", F.explode(F.transform("items", lambda x: F.xxhash64(x))).alias("item"))
+    counts = hashed.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+    placed = hashed.join(counts, "item").withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("df", "item")))
     prefix = placed.where((F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1) & (F.col("df") > 1)).select("k", "n", "item")
     a, b = prefix.select(F.col("k").alias("a"), F.col("n").alias("na"), "item"), prefix.select(F.col("k").alias("b"), F.col("n").alias("nb"), "item")
     near = a.join(b, "item").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()

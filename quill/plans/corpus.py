@@ -112,20 +112,25 @@ def win_unit_partition(spark, d):
 
 
 @PLANS.add(r"""WITH t AS (SELECT doc_id, unnest(x) AS w, unnest(range(len(x))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS x FROM documents)),
-l AS (SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS x FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-e AS (SELECT doc_id, x, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT DISTINCT doc_id, x FROM l WHERE x IS NOT NULL)),
+l AS (SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS x FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)), u AS (SELECT DISTINCT doc_id, x FROM l WHERE x IS NOT NULL),
+g AS (SELECT doc_id, md5(string_agg(x, '|' ORDER BY x)) AS h FROM u GROUP BY doc_id), r AS (SELECT h, min(doc_id) AS doc_id FROM g GROUP BY h), e AS (SELECT doc_id, x, count(*) OVER (PARTITION BY doc_id) AS n FROM u WHERE doc_id IN (SELECT doc_id FROM r)),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) GROUP BY ALL)
 SELECT a, b, round(k / (na + nb - k), 6) AS similarity FROM p WHERE k / (na + nb - k) >= 0.85""")
 def join_near_dup_pairs(spark, d):
-    s = docs(spark, d).select("doc_id", T.word_shingles(T.words(F.col("text")), 3).alias("items"))
-    return C.similar_sets(s, "doc_id", 0.85).withColumn("similarity", F.round("similarity", 6))
+    """Pairs of texts that are nearly equal; of texts with equal shingles the first stands for all."""
+    sets, _ = C.representatives(_shingled(spark, d), "doc_id")
+    return C.similar_sets(sets, "doc_id", 0.85).withColumn("similarity", F.round("similarity", 6))
+
+
+def _shingled(spark, d):
+    return docs(spark, d).select("doc_id", T.word_shingles(T.words(F.col("text")), 3).alias("items"))
 
 
 @PLANS.add()
 def set_near_dup_components(spark, d):
-    rows = docs(spark, d)
-    s = rows.select("doc_id", T.word_shingles(T.words(F.col("text")), 3).alias("items"))
-    return C.smallest_reachable(rows.select("doc_id"), C.similar_sets(s, "doc_id", 0.85), "doc_id")
+    sets, members = C.representatives(_shingled(spark, d), "doc_id")
+    found = C.smallest_reachable(sets.select("doc_id"), C.similar_sets(sets, "doc_id", 0.85), "doc_id")
+    return members.join(found.withColumnRenamed("doc_id", "rep"), "rep").select("doc_id", "component")
 
 
 @PLANS.add("""WITH m AS (SELECT source, count(*) FILTER (WHERE quality = 1) AS wins, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source)

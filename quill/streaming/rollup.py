@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,18 @@ def replacing_days(path: str):
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
     """All that is there now, into a table of days."""
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(replacing_days(path)).start().awaitTermination()
+
+
+def recomputing_days(spark: SparkSession, source: str, path: str, days: int = 2):
+    """A foreachBatch sink: the last ``days`` days up to the latest event of a batch are computed again from all events.
+
+    Events that are late by less than that are counted wherever they come; older days need a run of their own.
+    """
+    sink = replacing_days(path)
+
+    def refresh(batch: DataFrame, n: int) -> None:
+        last = batch.agg(F.max(F.to_date("ts"))).first()[0]
+        if last is not None:
+            sink(daily(spark.read.parquet(source).where(F.to_date("ts") > F.date_sub(F.lit(last), days))), n)
+
+    return refresh

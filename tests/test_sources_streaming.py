@@ -50,3 +50,15 @@ def test_delimited_files(spark, tmp_path):
     p.write_text("a;b\n1;2\n3;4;5\n")
     with pytest.raises(Exception, match="(?i)malformed"):
         delimited(spark, str(p), ";").collect()
+
+
+def test_late_events_within_two_days_are_counted(spark, tmp_path):
+    kinds = "user_id long, ts timestamp, event_type string, value double"
+    row = lambda day, hour: (1, __import__("datetime").datetime(2024, 1, day, hour), "view", 1.0)
+    source, out = str(tmp_path / "events"), str(tmp_path / "days")
+    for rows in ([row(1, 1), row(2, 1), row(3, 1)], [row(4, 1), row(3, 5), row(1, 5)]):
+        spark.createDataFrame(rows, kinds).write.mode("append").parquet(source)
+        sink = rollup.recomputing_days(spark, source, out)
+        stream = spark.readStream.schema(kinds).parquet(source).writeStream.option("checkpointLocation", str(tmp_path / "mark"))
+        stream.trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    assert {(r["day"].day, r["n"]) for r in spark.read.parquet(out).collect()} == {(2, 1), (3, 2), (4, 1)}
