@@ -25,7 +25,7 @@ def src_jsonl_records(spark, d):
     return jsonl.records(spark, path, "o_orderkey bigint, o_orderstatus string, o_totalprice double")
 
 
-@PLANS.add("SELECT count(*) AS n, 0 AS bad, count(*) AS numbered FROM documents")
+@PLANS.add("SELECT count(*) AS n, 0::BIGINT AS bad, count(*) AS numbered FROM documents")
 def src_jsonl_lines(spark, d):
     """Texts with any character inside are one line each, none is broken, and lines have numbers of their own."""
     path = _folder(spark, "jsonl")

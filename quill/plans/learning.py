@@ -34,7 +34,7 @@ def agg_learner_average(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left").fillna(0.0, "average")
 
 
-@PLANS.add("SELECT l_orderkey, l_returnflag AS assignment, coalesce(max(CASE WHEN l_linenumber <> 2 THEN l_linenumber END), 0) + 1 AS next_number FROM lineitem GROUP BY 1, 2")
+@PLANS.add("SELECT l_orderkey, l_returnflag AS assignment, (coalesce(max(CASE WHEN l_linenumber <> 2 THEN l_linenumber END), 0) + 1)::BIGINT AS next_number FROM lineitem GROUP BY 1, 2")
 def agg_next_attempt_number(spark, d):
     """The largest number so far and one; numbers of deleted attempts (the second ones here) leave gaps."""
     kept = F.max(F.when(F.col("l_linenumber") != 2, F.col("l_linenumber")))

@@ -57,7 +57,7 @@ def flt_assignment_open(spark, d):
     return o.where((F.col("o_orderdate") <= now) & (now < F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS"))).join(used, "o_custkey").select("o_orderkey")
 
 
-@PLANS.add("""WITH r AS (SELECT unnest([3, 7, 7, 11, 100000007]) AS doc_id), own AS (SELECT doc_id FROM documents WHERE lang = 'en' OR lang = 'fr')
+@PLANS.add("""WITH r AS (SELECT unnest([3, 7, 7, 11, 100000007])::BIGINT AS doc_id), own AS (SELECT doc_id FROM documents WHERE lang = 'en' OR lang = 'fr')
 SELECT doc_id, CASE WHEN count(*) > 1 THEN 'REPEATED' WHEN min(o) IS NULL THEN 'MISSING' ELSE 'READY' END AS state FROM (SELECT r.doc_id, own.doc_id AS o FROM r LEFT JOIN own USING (doc_id)) GROUP BY doc_id""")
 def flt_requested_documents(spark, d):
     """Requested ids against an owner's ready documents: which are there, missing, or asked for twice."""
