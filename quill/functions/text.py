@@ -151,3 +151,14 @@ def templated_path(path: Column) -> Column:
 def listed(text: Column, mark: str) -> Column:
     """Parts between marks, trimmed, blanks dropped."""
     return F.filter(F.transform(F.split(text, mark), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def math_field(field: Column) -> Column:
+    """field, warning: a field with LaTeX in it that is one short formula is put between dollars; what is in doubt stays and is marked."""
+    bare = F.trim(field)
+    some = F.coalesce(bare.rlike(r"\\[A-Za-z]+|[_^]\{"), F.lit(False))
+    sound = (brace_balance(bare) == 0) & (F.size(F.regexp_extract_all(bare, F.lit(r"((?<!\\)\$)"), 1)) % 2 == 0)
+    marked = bare.contains("$") | bare.contains("\\(") | bare.contains("\\[")
+    formula = bare.rlike("[=<>±×÷]") & (F.size(F.split(bare, r"\s+")) <= 12)
+    shown = F.when(some & sound & ~marked & formula, F.concat(F.lit("$"), bare, F.lit("$"))).otherwise(field)
+    return F.struct(shown.alias("field"), F.when(some & (~sound | ~marked & ~formula), "MATH_FORMAT_UNVERIFIED").alias("warning"))

@@ -114,3 +114,27 @@ def mcnemar(b: Column, c: Column) -> Column:
     ks = F.when(low > 0, F.sequence(F.lit(1).cast("long"), F.greatest(low, F.lit(1)).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     tail = F.aggregate(ks, F.struct(start.alias("log"), F.exp(start).alias("sum")), step, lambda acc: acc["sum"])
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+
+
+#: By level the bounds of concepts, steps and score, whether the scenario is new, the answer stands in the text, and things are compared.
+LEVELS = (
+    ("L1", 1, 1, 0, 0, 1, 2, False, True, False),
+    ("L2", 1, 2, 1, 1, 3, 4, False, False, False),
+    ("L3", 1, 2, 1, 2, 5, 7, True, False, False),
+    ("L4", 2, 4, 2, 3, 8, 10, True, False, True),
+    ("L5", 3, 6, 3, 5, 11, 99, True, False, True),
+)
+
+
+def demand(concepts: Column, steps: Column, scenario: Column, comparison: Column) -> Column:
+    """How much a question asks for: concepts, twice the steps, and one each for a new scenario and a comparison."""
+    return concepts + 2 * steps + scenario.cast("int") + comparison.cast("int")
+
+
+def level_faults(level: Column, concepts: Column, steps: Column, score: Column, scenario: Column, direct: Column, comparison: Column) -> Column:
+    """Names of what a question's profile breaks of its level."""
+    out = F.array().cast("array<string>")
+    for name, k0, k1, r0, r1, s0, s1, new, there, compared in LEVELS:
+        checks = {"concepts": concepts.between(k0, k1), "steps": steps.between(r0, r1), "score": score.between(s0, s1), "scenario": scenario == F.lit(new), "direct": direct == F.lit(there), "comparison": comparison == F.lit(compared)}
+        out = F.when(level == name, F.array_compact(F.array(*(F.when(~ok, F.lit(n)) for n, ok in checks.items())))).otherwise(out)
+    return out

@@ -284,3 +284,53 @@ def win_page_routing(spark, d):
     ranked = p.withColumn("rn", F.row_number().over(Window.partitionBy("document").orderBy(F.desc("score"), "page")).cast("long")).join(n, "document")
     most = F.least(F.greatest(F.lit(1), F.ceil(0.05 * F.col("n"))), F.greatest(F.lit(1), F.ceil(0.08 * F.col("n"))))
     return ranked.where(F.col("rn") <= most).select("document", "page", "score", "rn")
+
+
+@PLANS.add("""WITH p AS (SELECT p_partkey, 'L' || (p_size % 5 + 1) AS level, p_size % 6 + 1 AS k, p_partkey % 5 AS r, p_partkey % 2 = 0 AS scenario, p_size % 7 = 0 AS direct, p_partkey % 3 = 0 AS comparison FROM part),
+s AS (SELECT *, k + 2 * r + scenario::INT + comparison::INT AS score FROM p), v(level, k0, k1, r0, r1, s0, s1, n, t, c) AS (VALUES ('L1', 1, 1, 0, 0, 1, 2, FALSE, TRUE, FALSE), ('L2', 1, 2, 1, 1, 3, 4, FALSE, FALSE, FALSE), ('L3', 1, 2, 1, 2, 5, 7, TRUE, FALSE, FALSE), ('L4', 2, 4, 2, 3, 8, 10, TRUE, FALSE, TRUE), ('L5', 3, 6, 3, 5, 11, 99, TRUE, FALSE, TRUE))
+SELECT p_partkey, score::INT AS score, array_to_string(list_filter([CASE WHEN k NOT BETWEEN k0 AND k1 THEN 'concepts' END, CASE WHEN r NOT BETWEEN r0 AND r1 THEN 'steps' END, CASE WHEN score NOT BETWEEN s0 AND s1 THEN 'score' END,
+ CASE WHEN scenario <> n THEN 'scenario' END, CASE WHEN direct <> t THEN 'direct' END, CASE WHEN comparison <> c THEN 'comparison' END], lambda x: x IS NOT NULL), ',') AS faults FROM s JOIN v USING (level)""")
+def arr_level_faults(spark, d):
+    """What a question's profile breaks of its level."""
+    from quill.functions.values import demand, level_faults
+
+    level = F.concat(F.lit("L"), (F.col("p_size") % 5 + 1).cast("string"))
+    p = table(spark, d, "part").select("p_partkey", level.alias("level"), (F.col("p_size") % 6 + 1).alias("k"), (F.col("p_partkey") % 5).cast("int").alias("r"), (F.col("p_partkey") % 2 == 0).alias("new"), (F.col("p_size") % 7 == 0).alias("direct"), (F.col("p_partkey") % 3 == 0).alias("compared"))
+    p = p.withColumn("score", demand(F.col("k"), F.col("r"), F.col("new"), F.col("compared")))
+    faults = level_faults(F.col("level"), F.col("k"), F.col("r"), F.col("score"), F.col("new"), F.col("direct"), F.col("compared"))
+    return p.select("p_partkey", F.col("score").cast("int").alias("score"), F.array_join(faults, ",").alias("faults"))
+
+
+@PLANS.add("""WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate::DATE END AS first, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderdate::DATE + (o_custkey % 200)::INT) END AS last FROM orders),
+b AS (SELECT o_orderkey, coalesce(first, coalesce(last, DATE '2001-08-02') - 29) AS start, coalesce(last, DATE '2001-08-02') AS stop FROM a)
+SELECT o_orderkey, start, stop, (stop - start + 1) BETWEEN 1 AND 90 AS valid FROM b""")
+def dt_default_range(spark, d):
+    """A range of days: up to today and thirty days long where nothing else is said, ninety at most."""
+    day = F.to_date("o_orderdate")
+    last = F.when(F.col("o_orderkey") % 5 != 0, F.date_add(day, (F.col("o_custkey") % 200).cast("int")))
+    stop = F.coalesce(last, F.lit("2001-08-02").cast("date"))
+    start = F.coalesce(F.when(F.col("o_orderkey") % 3 != 0, day), F.date_sub(stop, 29))
+    return table(spark, d, "orders").select("o_orderkey", start.alias("start"), stop.alias("stop"), (F.datediff(stop, start) + 1).between(1, 90).alias("valid"))
+
+
+@PLANS.add("""WITH c AS (SELECT l_orderkey, l_linenumber AS r, l_partkey AS c, l_suppkey, l_extendedprice, CASE WHEN l_linenumber = 1 THEN 'th' ELSE 'td' END AS tag, CASE WHEN l_quantity > 40 THEN ' colspan="2"' ELSE '' END AS span, replace(replace(l_returnflag || '<' || l_linestatus || '&', '&', '&amp;'), '<', '&lt;') AS t FROM lineitem),
+w AS (SELECT l_orderkey, r, '<tr>' || string_agg('<' || tag || span || '>' || t || '</' || tag || '>', '' ORDER BY c, l_suppkey, l_extendedprice) || '</tr>' AS row_ FROM c GROUP BY ALL)
+SELECT l_orderkey, '<table>' || string_agg(row_, '' ORDER BY r) || '</table>' AS html FROM w GROUP BY 1""")
+def src_table_html(spark, d):
+    """Cells with their row, column and span as an HTML table, text escaped, head cells marked."""
+    li = table(spark, d, "lineitem")
+    tag = F.when(F.col("l_linenumber") == 1, "th").otherwise("td")
+    text = F.replace(F.replace(F.concat("l_returnflag", F.lit("<"), "l_linestatus", F.lit("&")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    cell = F.concat(F.lit("<"), tag, F.when(F.col("l_quantity") > 40, ' colspan="2"').otherwise(""), F.lit(">"), text, F.lit("</"), tag, F.lit(">"))
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["t"]), "")
+    rows = li.groupBy("l_orderkey", "l_linenumber").agg(joined(F.struct("l_partkey", "l_suppkey", "l_extendedprice", cell.alias("t"))).alias("cells"))
+    row = F.struct("l_linenumber", F.concat(F.lit("<tr>"), "cells", F.lit("</tr>")).alias("t"))
+    return rows.groupBy("l_orderkey").agg(F.concat(F.lit("<table>"), joined(row), F.lit("</table>")).alias("html"))
+
+
+@PLANS.add("""WITH t AS (SELECT l_suppkey AS page, l_partkey % 50 AS tile, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l.l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem l JOIN t ON t.page = l_suppkey AND t.tile = l_partkey % 50 WHERE n < 4""")
+def cor_without_tiles(spark, d):
+    """Regions but for those of an image that a page repeats four times or more, which is a background."""
+    li = table(spark, d, "lineitem").withColumn("tile", F.col("l_partkey") % 50)
+    tiles = li.groupBy("l_suppkey", "tile").agg(F.count(F.lit(1)).alias("n")).where("n < 4").select("l_suppkey", "tile")
+    return li.join(tiles, ["l_suppkey", "tile"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")

@@ -127,3 +127,34 @@ def src_recognised_words(spark, d):
     text = F.when((F.col("l_returnflag") == "R") & (F.col("l_tax") == 0), " ").otherwise(F.concat("l_returnflag", F.col("l_partkey").cast("string")))
     rows = li.select("l_orderkey", F.when(F.col("l_linenumber") == 7, 4).otherwise(5).alias("level"), (F.col("l_linenumber") % 2).alias("block"), F.lit(1).alias("par"), F.lit(1).alias("line"), F.struct("l_partkey", "l_suppkey", "l_extendedprice").alias("word"), (F.col("l_discount") * 1000 - 5).alias("conf"), text.alias("text"))
     return recognised_words(rows, "l_orderkey")
+
+
+@PLANS.add(r"""WITH x AS (SELECT p_partkey, '\frac{' || p_size || '}{' || p_partkey || CASE WHEN p_size % 4 = 0 THEN '' ELSE '}' END AS latex, p_size || ' over ' || (p_partkey + CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END) AS raw FROM part)
+SELECT p_partkey, p_partkey IN (SELECT p_partkey FROM part WHERE p_size % 4 <> 0) AND list_has_all(regexp_extract_all(latex, '\d+(?:[.,]\d+)?'), regexp_extract_all(raw, '\d+(?:[.,]\d+)?')) AS valid FROM x""")
+def str_latex_valid(spark, d):
+    """A formula is taken if its braces close and it has all numbers of the raw text."""
+    latex = F.concat(F.lit(r"\frac{"), F.col("p_size").cast("string"), F.lit("}{"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 4 == 0, "").otherwise("}"))
+    raw = F.concat(F.col("p_size").cast("string"), F.lit(" over "), (F.col("p_partkey") + F.when(F.col("p_size") % 3 == 0, 1).otherwise(0)).cast("string"))
+    numbers = lambda c: F.regexp_extract_all(c, F.lit(r"(\d+(?:[.,]\d+)?)"), 1)
+    valid = (T.brace_balance(latex) == 0) & (F.length(F.trim(latex)).between(1, 2000)) & (F.size(F.array_except(numbers(raw), numbers(latex))) == 0)
+    return table(spark, d, "part").select("p_partkey", valid.alias("valid"))
+
+
+@PLANS.add(r"""WITH x AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'plain words' WHEN p_size % 5 = 1 THEN '\alpha = ' || p_size WHEN p_size % 5 = 2 THEN '$\beta$ ' || p_size WHEN p_size % 5 = 3 THEN '\frac{1}{' ELSE '\gamma as said' END AS field FROM part)
+SELECT p_partkey, CASE WHEN p % 5 = 1 THEN '$' || field || '$' ELSE field END AS field, CASE WHEN p % 5 IN (3, 4) THEN 'MATH_FORMAT_UNVERIFIED' END AS warning FROM (SELECT x.*, p_size AS p FROM x JOIN part USING (p_partkey))""")
+def str_math_fields(spark, d):
+    """A whole field that is surely a formula goes between dollars; what may be one is marked."""
+    n = F.col("p_size").cast("string")
+    kind = F.col("p_size") % 5
+    field = F.when(kind == 0, "plain words").when(kind == 1, F.concat(F.lit(r"\alpha = "), n)).when(kind == 2, F.concat(F.lit(r"$\beta$ "), n)).when(kind == 3, r"\frac{1}{").otherwise(r"\gamma as said")
+    return table(spark, d, "part").select("p_partkey", T.math_field(field).alias("m")).select("p_partkey", "m.field", "m.warning")
+
+
+@PLANS.add("""WITH c AS (SELECT doc_id, text, length(text) AS n, length(text) // 3 AS a, length(text) // 2 AS b, n_chars % 7 + 1 AS k FROM documents WHERE n_chars > 100)
+SELECT doc_id, sha256(trim(substr(text, round(a * (n - k) / n)::BIGINT + 1, round(b * (n - k) / n)::BIGINT - round(a * (n - k) / n)::BIGINT))) AS slice FROM c""")
+def ret_raw_slices(spark, d):
+    """The part of a raw text that lies where a part of its longer, enhanced form does."""
+    c = table(spark, d, "documents").where("n_chars > 100").select("doc_id", "text", F.length("text").alias("n"), (F.col("n_chars") % 7 + 1).alias("k"))
+    place = lambda part: F.round(F.floor(F.col("n") / part) * (F.col("n") - F.col("k")) / F.col("n")).cast("int")
+    start, stop = place(3), place(2)
+    return c.select("doc_id", _sha(F.trim(F.substring("text", start + 1, stop - start))).alias("slice"))
