@@ -138,7 +138,7 @@ def test_tokens_equal_the_tokenizers():
     assert [ids[s - n : s].tolist() for s, n in zip(stops, counts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-@pytest.mark.parametrize(("few", "small", "dense"), [(4, 64, 4), (1, 1, 0), (1, 1, 99)])
+@pytest.mark.parametrize(("few", "small", "dense"), [(1, 1, 0), (2, 1, 99)])
 def test_jaccard(docs, empty, monkeypatch, few, small, dense):
     from quill.llm import jaccard
 
