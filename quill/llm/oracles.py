@@ -47,4 +47,21 @@ SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN ni USING (doc_id)
 """
 
-ORACLES = {"op2_line_dedup": OP2, "op8_warc": OP8, "op10_decontamination": OP10}
+OP11 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents
+), u AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+         ('0x' || substr(h, 17, 8))::BIGINT % 100 AS r3, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS r4 FROM t
+), f AS (
+  SELECT *, least(c1, c2) AS p, greatest(c1, c2) AS q,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r3 >= 90 THEN 'plain'
+              WHEN r4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u
+), parts AS (SELECT *, substr(text, 1, p) AS a, substr(text, p + 1, q - p) AS m, substr(text, q + 1) AS z FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN p END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m WHEN 'spm' THEN '<S>' || z || '<P>' || a || '<M>' || m ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+ORACLES = {"op2_line_dedup": OP2, "op8_warc": OP8, "op10_decontamination": OP10, "op11_fim": OP11}

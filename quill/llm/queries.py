@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quill.llm.fim import fill_in_middle
 from quill.llm.htmltext import main_text
 from quill.llm.jaccard import similar_documents
 from quill.llm.language import language_id
@@ -13,6 +14,8 @@ from quill.llm.lines import line_dedup
 from quill.llm.packing import pack
 from quill.llm.quality import quality
 from quill.llm.repeats import without_repeats
+from quill.llm.runs import periodic_runs
+from quill.llm.simhash import near_duplicates
 from quill.llm.transport import media_columns
 from quill.llm.warc import warc_round_trip
 
@@ -68,6 +71,38 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """The documents, those whose crc32 ends in 0 with the words from one place on in a cycle, as the contract has it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.withColumn("_g", F.floor(h / 10)).withColumn("_w", F.when(h % 10 == 0, words)).withColumn("_n", F.size("_w"))
+    rows = rows.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")).cast("int")).withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int"))
+    rest = F.col("_n") - F.col("_a")
+    cycle = F.flatten(F.array_repeat(F.slice("_w", F.col("_a") + 1, F.col("_p")), F.ceil(rest / F.col("_p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a")), F.slice(cycle, F.lit(1), rest)), " ")
+    return rows.withColumn("text", F.coalesce(text, "text")).drop("_g", "_w", "_n", "_a", "_p")
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_periods(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # runs come by start, then period: the first of the highest exponent stays
+    better = lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b)
+    found = found.withColumn("best", F.aggregate("runs", F.get("runs", F.lit(0)), better))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -79,6 +114,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
+    "op11_fim": op11_fim,
+    "op12_simhash": op12_simhash,
+    "op13_runs": op13_runs,
 }
 
 from quill.llm.oracles import ORACLES  # noqa: E402
