@@ -64,7 +64,8 @@ def running_units(df: DataFrame, order: list[str], size: Column, unit: int, by:
 
 def token_spans(df: DataFrame, key: str, order: list[str], size: Column, window: int, by: list[str]) -> DataFrame:
     """Spans of fixed windows over each group's running tokens, one row for each window that a document touches."""
-    placed = running_units(df.withColumn("n", size).where("n > 0"), order, F.col("n"), window, by)
+    narrow = df.select(*dict.fromkeys([*by, key, *order]), size.alias("n")).where("n > 0")
+    placed = running_units(narrow, order, F.col("n"), window, by)
     spans = placed.select(*by, key, "start", "stop", F.explode(F.sequence("first_unit", "last_unit")).alias("window"))
     return spans.select(*by, key, "window", F.greatest(F.col("start"), F.col("window") * window).alias("start"), F.least(F.col("stop"), (F.col("window") + 1) * window).alias("stop"))
 

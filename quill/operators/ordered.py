@@ -9,24 +9,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quill.session import checkpointed
+from quill.session import stored
 
 
-def running(df: DataFrame, order: list[str], size: Column, name: str, by: list[str] | None = None) -> DataFrame:
-    """``df`` with the sum of ``size`` over the rows before each, in ``order``, within the groups ``by``.
+def totals_before(df: DataFrame, order: list[str], sizes: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """``df`` with the sums of ``sizes`` (name -> size) over the rows before each, in ``order``, within the groups ``by``.
 
     A group is cut into ranges like everything else, so one group may hold all rows. The dealt rows
-    are checkpointed, since totals and rows have to see the same ranges.
+    are stored once, with all columns of ``df``, since totals and rows have to see the same ranges:
+    leave out what is not needed. Equal places in the order come in any order, the same in all sums.
     """
     by = by or []
-    dealt = checkpointed(df.withColumn("_size", size).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    held = {f"_size_{name}": size for name, size in sizes.items()}
+    dealt = stored(df.withColumns(held).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     own = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ranges = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("_part", *by).agg(F.sum("_size").alias("_n"))
-    base = totals.withColumn("_base", F.coalesce(F.sum("_n").over(ranges), F.lit(0))).drop("_n")
-    keys = ["_part", *by]
-    met = dealt.alias("l").join(base.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]).select("l.*", "_base")
-    return met.withColumn(name, F.col("_base") + F.coalesce(F.sum("_size").over(own), F.lit(0))).drop("_size", "_part", "_base")
+    sums = dealt.groupBy("_part", *by).agg(*(F.sum(f"_size_{name}").alias(f"_n_{name}") for name in sizes))
+    base = sums.withColumns({f"_base_{name}": F.coalesce(F.sum(f"_n_{name}").over(ranges), F.lit(0)) for name in sizes}).drop(*(f"_n_{name}" for name in sizes))
+    met = dealt.alias("l").join(base.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in ["_part", *by]]).select("l.*", *(f"_base_{name}" for name in sizes))
+    out = met.withColumns({name: F.col(f"_base_{name}") + F.coalesce(F.sum(f"_size_{name}").over(own), F.lit(0)) for name in sizes})
+    return out.drop("_part", *(f"_size_{name}" for name in sizes), *(f"_base_{name}" for name in sizes))
+
+
+def running(df: DataFrame, order: list[str], size: Column, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` with one sum over the rows before each."""
+    return totals_before(df, order, {name: size}, by)
 
 
 def numbered(df: DataFrame, order: list[str], name: str, by: list[str] | None = None) -> DataFrame:

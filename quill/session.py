@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a Parquet table of the shared folder: cuts the plan, and a lost executor loses nothing."""
+    path = f"{shared_dir(df.sparkSession)}/quill-{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local(cores: str = "4", partitions: int = 8, memory: str = "6g") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
