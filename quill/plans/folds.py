@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quill.operators import budgets as B
+from quill.operators import loss as L
 from quill.operators import resample as R
 from quill.operators import states as S
 from quill.operators import trees as X
@@ -150,3 +151,36 @@ def src_document_tree(spark, d):
     nodes = X.elements(table(spark, d, "pages"), "page_id", "html")
     placed = X.tree_order(nodes, "node", "parent", "name", ["page_id"]).drop("name")
     return placed.join(nodes.select("page_id", "node", "name"), ["page_id", "node"]).select("page_id", "node", "parent", "name", "depth", "place")
+
+
+def _tokens_file():
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _listed(column):
+    return F.sha2(F.array_join(F.transform(column, lambda x: x.cast("string")), ","), 256)
+
+
+@PLANS.add()
+def cor_loss_encoding(spark, d):
+    """Ids and labels of every turn, the loss on the last turn of its conversation."""
+    turns = L.encoded_turns(table(spark, d, "conversations"), _tokens_file())
+    return turns.select("conv_id", "turn", "start", F.size("ids").cast("long").alias("n_ids"), _listed("ids").alias("ids_sha256"), _listed("labels").alias("labels_sha256"), "reason")
+
+
+@PLANS.add()
+def arr_loss_mask_tokens(spark, d):
+    """What the loss masks of whole conversations hold, with a loss on every turn of the assistant."""
+    return L.mask_stats(L.encoded_turns(table(spark, d, "conversations"), _tokens_file(), every=True))
+
+
+@PLANS.add()
+def arr_pad_tokens(spark, d):
+    """Conversations without a fault in batches of eight, padded with the end token."""
+    turns = L.encoded_turns(table(spark, d, "conversations"), _tokens_file())
+    whole = turns.groupBy("conv_id").agg(F.bool_and(F.col("reason").isNull()).alias("ok")).where("ok")
+    batches = numbered(whole.select("conv_id"), ["conv_id"], "n").select("conv_id", F.floor((F.col("n") - 1) / 8).alias("batch"))
+    rows = L.padded(turns.join(batches, "conv_id"), "batch", 50256)
+    return rows.select("batch", "conv_id", "width", "tokens", _listed("ids").alias("ids_sha256"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("attended"), _listed("labels").alias("labels_sha256"))
