@@ -31,11 +31,11 @@ def set_distinct_content(spark, d):
     return m.withColumn("origins", F.array_join("origins", ","))
 
 
-@PLANS.add("SELECT sha256(lower(substr(trim(text), 1, 2))) AS content, count(DISTINCT quality) AS answers, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT quality) > 1")
+@PLANS.add("SELECT sha256(lower(trim(text))) AS content, count(DISTINCT source) AS answers, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1")
 def set_conflict_groups(spark, d):
-    """Contents (here what texts begin with) that have more than one answer."""
-    key = F.sha2(F.lower(F.substring(F.trim("text"), 1, 2)), 256)
-    return C.conflicts(docs(spark, d).join(table(spark, d, "labels"), "doc_id").select(key.alias("key"), "quality"), F.col("key"), "quality")
+    """Texts, case and outer blanks aside, that more than one source answers for."""
+    key = F.sha2(F.lower(F.trim("text")), 256)
+    return C.conflicts(docs(spark, d).select(key.alias("key"), "source"), F.col("key"), "source")
 
 
 @PLANS.add("""SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low_quality' WHEN n_chars < 200 THEN 'short' WHEN rn > 1 THEN 'duplicate' ELSE 'kept' END AS reason

@@ -12,6 +12,7 @@ from quill.functions import text as T
 from quill.functions.values import hamming, hash_bucket, ratio
 from quill.operators import corpus as C
 from quill.plans.base import Plans, table
+from quill.session import stored
 
 PLANS = Plans()
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -46,7 +47,7 @@ def flt_record_acceptance(spark, d):
 k AS (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY sha256('20261023|' || stratum || '|' || doc_id), doc_id) AS place FROM p WHERE stratum IS NOT NULL) SELECT * FROM k WHERE place <= 6""")
 def cor_release_sample(spark, d):
     """Six records of each stratum for an audit, by the smallest digests of seed, stratum and id."""
-    rows = accepted(records(spark, d).drop("text").withColumn("text", F.lit("x")))
+    rows = accepted(records(spark, d))
     stratum = F.when(F.col("excluded").isNull(), F.col("acceptance")).when(F.col("excluded") == "rejected", "rejected")
     pool = rows.select("doc_id", stratum.alias("stratum")).where("stratum is not null")
     key = F.sha2(F.concat_ws("|", F.lit("20261023"), "stratum", F.col("doc_id").cast("string")), 256)
@@ -75,33 +76,53 @@ def cor_final_release(spark, d):
     return out.select("doc_id", F.when(F.col("copy"), "exact_duplicate").otherwise(F.coalesce("reason", F.lit("kept"))).alias("reason"), F.when(F.col("copy"), F.col("first")).alias("canonical"))
 
 
-@PLANS.add(f"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS words, ('0x' || substr(sha256((item_id % 40)::VARCHAR), 1, 15))::BIGINT AS look FROM benchmark),
-p AS (SELECT item_id, look, {_SHINGLES.format('words')} AS s FROM w WHERE len(words) >= 20),
-x AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS words, xor(('0x' || substr(sha256((doc_id % 40)::VARCHAR), 1, 15))::BIGINT, doc_id % 8) AS look FROM (SELECT * FROM documents UNION ALL SELECT item_id + 1000000, text || ' more', 'en', 'copy', 0 FROM benchmark)),
-t AS (SELECT doc_id, look, {_SHINGLES.format('words')} AS s FROM x WHERE len(words) >= 20)
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+#: Which letters a picture of the text weighs against each other, a bit for each pair.
+_WEIGHED = [(k, (k + step) % 26) for step in (1, 5) for k in range(26)]
+_LOOK = " + ".join(f"CASE WHEN c[{a + 1}] > c[{b + 1}] THEN {1 << k}::BIGINT ELSE 0 END" for k, (a, b) in enumerate(_WEIGHED))
+_COUNTED = "[" + ", ".join(f"length(l) - length(replace(l, '{x}', ''))" for x in _ALPHABET) + "]"
+
+
+def _look(text):
+    """52 bits of a text's letters, much alike for texts that are: which of two letters there are more of."""
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in _ALPHABET]
+    held = F.array(*counts)
+    bits = [F.when(F.get("_c", F.lit(a)) > F.get("_c", F.lit(b)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (a, b) in enumerate(_WEIGHED)]
+    total = bits[0]
+    for b in bits[1:]:
+        total = total + b
+    return held, total
+
+
+@PLANS.add(f"""WITH x0 AS (SELECT doc_id, lower(text) AS l FROM documents UNION ALL SELECT item_id + 1000000, lower(text || ' more') FROM benchmark), p0 AS (SELECT item_id, lower(text) AS l FROM benchmark),
+x1 AS (SELECT doc_id, regexp_extract_all(l, '[a-z]+') AS words, {_COUNTED} AS c FROM x0), p1 AS (SELECT item_id, regexp_extract_all(l, '[a-z]+') AS words, {_COUNTED} AS c FROM p0),
+t AS (SELECT doc_id, {_LOOK} AS look, {_SHINGLES.format('words')} AS s FROM x1 WHERE len(words) >= 20), p AS (SELECT item_id, {_LOOK} AS look, {_SHINGLES.format('words')} AS s FROM p1 WHERE len(words) >= 20)
 SELECT DISTINCT doc_id FROM t JOIN p ON bit_count(xor(t.look, p.look)) <= 4 AND len(list_intersect(t.s, p.s)) >= 0.85 * len(list_distinct(list_concat(t.s, p.s)))""")
 def join_near_protected(spark, d):
     """Records that look like a protected page, in at most four bits, and share 85 % of its word trigrams.
 
-    Hashes within four bits agree in one of five pieces of twelve, so pieces are what is joined on.
+    Hashes within four bits agree in one of five pieces of eleven, so pieces are what is joined on, with
+    ids alone; shingles are made for the pairs that are left.
     """
-    look = lambda key: F.substring(F.sha2((key % 40).cast("string"), 256), 1, 15)
-    b = table(spark, d, "benchmark")
-    docs = table(spark, d, "documents").select("doc_id", "text").unionByName(b.select((F.col("item_id") + 1000000).alias("doc_id"), F.concat("text", F.lit(" more")).alias("text")))
-    number = lambda h: F.conv(h, 16, 10).cast("long")
-    pieces = lambda h: F.array(*(F.concat_ws(":", F.lit(k).cast("string"), F.shiftright(h, 12 * k).bitwiseAND(4095).cast("string")) for k in range(5)))
-    shape = lambda df, key, h, name: df.withColumns({"words": T.words(F.col("text")), "h": h}).where(F.size("words") >= 20).select(F.col(key), F.col("h").alias(f"h_{name}"), T.word_shingles(F.col("words"), 3).alias(f"s_{name}"), F.explode(pieces(F.col("h"))).alias("piece"))
-    x = shape(docs, "doc_id", number(look(F.col("doc_id"))).bitwiseXOR(F.col("doc_id") % 8), "x")
-    y = shape(b, "item_id", number(look(F.col("item_id"))), "y")
-    near = x.join(y, "piece").where(F.bit_count(F.col("h_x").bitwiseXOR(F.col("h_y"))) <= 4)
-    return near.where(T.jaccard(F.col("s_x"), F.col("s_y")) >= 0.85).select("doc_id").distinct()
-
-
-@PLANS.add(f"""WITH g AS (SELECT doc_id, lang, source, min(doc_id) OVER (PARTITION BY regexp_replace(lower(substr(trim(text), 1, 60)), '[0-9]+', '#', 'g')) AS family FROM documents), b AS (SELECT *, {_BUCKET.format("family::VARCHAR")} AS bucket FROM g)
+    b = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("l"))
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("l")).unionByName(b.select((F.col("item_id") + 1000000).alias("doc_id"), F.concat("l", F.lit(" more")).alias("l")))
+    held, look = _look(F.col("l"))
+    long = F.size(T.words(F.col("l"))) >= 20
+    # a short table of hashes: as expressions they would be worked out for each piece again
+    hashed = lambda df, key: stored(stored(df.where(long).select(key, held.alias("_c")), "letters").select(key, look.alias(f"h_{key}")), "hashes")
+    pieces = lambda key: F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.shiftright(f"h_{key}", 11 * k).bitwiseAND(2047).alias("bits")) for k in range(5)))).alias("piece")
+    x, y = hashed(docs, "doc_id").select("*", pieces("doc_id")), hashed(b, "item_id").select("*", pieces("item_id"))
+    near = x.join(y, "piece").where(F.bit_count(F.col("h_doc_id").bitwiseXOR(F.col("h_item_id"))) <= 4).select("doc_id", "item_id").distinct()
+    shape = lambda name: T.word_shingles(T.words(F.col("l")), 3).alias(name)
+    met = near.join(docs, "doc_id").select("doc_id", "item_id", shape("s_x")).join(b.select("item_id", shape("s_y")), "item_id")
+    return met.where(T.jaccard(F.col("s_x"), F.col("s_y")) >= 0.85).select("doc_id").distinct()
+
+
+@PLANS.add(f"""WITH g AS (SELECT doc_id, lang, source, min(doc_id) OVER (PARTITION BY regexp_replace(lower(trim(text)), '[0-9]+', '#', 'g')) AS family FROM documents), b AS (SELECT *, {_BUCKET.format("family::VARCHAR")} AS bucket FROM g)
 SELECT doc_id, family, CASE WHEN source IN ('src1', 'src2') THEN 'test' WHEN bucket < 65 THEN 'train' WHEN bucket < 92 THEN 'validation' ELSE 'test' END AS split FROM b""")
 def cor_family_split(spark, d):
     """Questions of one template are one family and go into one split; held-out courses are test as a whole."""
-    key = F.sha2(F.regexp_replace(F.lower(F.substring(F.trim("text"), 1, 60)), "[0-9]+", "#"), 256)
+    key = F.sha2(F.regexp_replace(F.lower(F.trim("text")), "[0-9]+", "#"), 256)
     rows = C.first_of(table(spark, d, "documents").select("doc_id", "source", key.alias("key")), "key", "doc_id")
     bucket = hash_bucket(F.col("first_id").cast("string"))
     split = F.when(F.col("source").isin("src1", "src2"), "test").when(bucket < 65, "train").when(bucket < 92, "validation").otherwise("test")

@@ -88,11 +88,12 @@ def jsn_allowed_fields(spark, d):
     return table(spark, d, "events").select("event_id", F.to_json(allowed).alias("kept"))
 
 
-@PLANS.add("SELECT user_id, 0 AS activities FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'view') UNION ALL SELECT user_id, n FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1) p WHERE FALSE")
+@PLANS.add("""WITH h AS (SELECT user_id, count(*) AS activities FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-03' GROUP BY 1)
+SELECT user_id, activities FROM h UNION ALL SELECT DISTINCT user_id, 0 FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM h)""")
 def dml_insert_if_absent(spark, d):
-    """New users get a row of their own; those that have one keep it (here: of none yet)."""
+    """Users who view get a row of their own; those who bought before have one and keep it."""
     e = table(spark, d, "events")
-    held = e.where("event_id < 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("activities"))
+    held = e.where("event_type = 'purchase' AND ts < TIMESTAMP_NTZ '2024-01-03'").groupBy("user_id").agg(F.count(F.lit(1)).alias("activities"))
     fresh = e.where("event_type = 'view'").select("user_id").distinct().join(held, "user_id", "left_anti").withColumn("activities", F.lit(0).cast("long"))
     return held.unionByName(fresh)
 
