@@ -12,7 +12,6 @@ from quill.functions import text as T
 from quill.functions.values import hamming, hash_bucket, ratio
 from quill.operators import corpus as C
 from quill.plans.base import Plans, table
-from quill.session import stored
 
 PLANS = Plans()
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -76,46 +75,42 @@ def cor_final_release(spark, d):
     return out.select("doc_id", F.when(F.col("copy"), "exact_duplicate").otherwise(F.coalesce("reason", F.lit("kept"))).alias("reason"), F.when(F.col("copy"), F.col("first")).alias("canonical"))
 
 
-_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
-#: Which letters a picture of the text weighs against each other, a bit for each pair.
-_WEIGHED = [(k, (k + step) % 26) for step in (1, 5) for k in range(26)]
-_LOOK = " + ".join(f"CASE WHEN c[{a + 1}] > c[{b + 1}] THEN {1 << k}::BIGINT ELSE 0 END" for k, (a, b) in enumerate(_WEIGHED))
-_COUNTED = "[" + ", ".join(f"length(l) - length(replace(l, '{x}', ''))" for x in _ALPHABET) + "]"
+#: A picture of a text has so many bits; pictures within four bits agree in one of five pieces of twelve.
+_BITS = 60
 
 
-def _look(text):
-    """52 bits of a text's letters, much alike for texts that are: which of two letters there are more of."""
-    counts = [F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in _ALPHABET]
-    held = F.array(*counts)
-    bits = [F.when(F.get("_c", F.lit(a)) > F.get("_c", F.lit(b)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (a, b) in enumerate(_WEIGHED)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total + b
-    return held, total
+def _look_sql(key, rows):
+    return f"""(SELECT {key}, sum(b << bin)::BIGINT AS look FROM (SELECT {key}, h % {_BITS} AS bin, min(h // {_BITS}) % 2 AS b
+ FROM (SELECT {key}, ('0x' || substr(md5(unnest(s)), 1, 8))::BIGINT AS h FROM {rows}) GROUP BY 1, 2) GROUP BY 1)"""
 
 
-@PLANS.add(f"""WITH x0 AS (SELECT doc_id, lower(text) AS l FROM documents UNION ALL SELECT item_id + 1000000, lower(text || ' more') FROM benchmark), p0 AS (SELECT item_id, lower(text) AS l FROM benchmark),
-x1 AS (SELECT doc_id, regexp_extract_all(l, '[a-z]+') AS words, {_COUNTED} AS c FROM x0), p1 AS (SELECT item_id, regexp_extract_all(l, '[a-z]+') AS words, {_COUNTED} AS c FROM p0),
-t AS (SELECT doc_id, {_LOOK} AS look, {_SHINGLES.format('words')} AS s FROM x1 WHERE len(words) >= 20), p AS (SELECT item_id, {_LOOK} AS look, {_SHINGLES.format('words')} AS s FROM p1 WHERE len(words) >= 20)
-SELECT DISTINCT doc_id FROM t JOIN p ON bit_count(xor(t.look, p.look)) <= 4 AND len(list_intersect(t.s, p.s)) >= 0.85 * len(list_distinct(list_concat(t.s, p.s)))""")
+def _looks(rows, key):
+    """A bit for each bin of shingle hashes: whether its least one is odd. Texts that share most shingles share most bits."""
+    h = F.conv(F.substring(F.md5("one"), 1, 8), 16, 10).cast("long")
+    hashed = rows.select(key, F.explode("s").alias("one")).select(key, h.alias("h")).select(key, (F.col("h") % _BITS).cast("int").alias("bin"), F.floor(F.col("h") / _BITS).alias("v"))
+    bits = hashed.groupBy(key, "bin").agg((F.min("v") % 2).cast("long").alias("b"))
+    return bits.groupBy(key).agg(F.sum(F.expr("shiftleft(b, bin)")).alias(f"h_{key}"))
+
+
+@PLANS.add(f"""WITH x1 AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS words FROM (SELECT doc_id, text FROM documents UNION ALL SELECT item_id + 1000000, text || ' more' FROM benchmark)), p1 AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS words FROM benchmark),
+x AS (SELECT doc_id, {_SHINGLES.format('words')} AS s FROM x1 WHERE len(words) >= 20), p0 AS (SELECT item_id, {_SHINGLES.format('words')} AS s FROM p1 WHERE len(words) >= 20),
+t AS (SELECT * FROM x JOIN {_look_sql("doc_id", "x")} USING (doc_id)), p AS (SELECT * FROM p0 JOIN {_look_sql("item_id", "p0")} USING (item_id))
+SELECT DISTINCT doc_id FROM t JOIN p ON bit_count(xor(t.look, p.look)) <= 4 WHERE len(list_intersect(t.s, p.s)) >= 0.85 * len(list_distinct(list_concat(t.s, p.s)))""")
 def join_near_protected(spark, d):
     """Records that look like a protected page, in at most four bits, and share 85 % of its word trigrams.
 
-    Hashes within four bits agree in one of five pieces of eleven, so pieces are what is joined on, with
-    ids alone; shingles are made for the pairs that are left.
+    Pieces are what is joined on, with ids alone; shingles are fetched for the pairs that are left.
     """
-    b = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("l"))
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("l")).unionByName(b.select((F.col("item_id") + 1000000).alias("doc_id"), F.concat("l", F.lit(" more")).alias("l")))
-    held, look = _look(F.col("l"))
-    long = F.size(T.words(F.col("l"))) >= 20
-    # a short table of hashes: as expressions they would be worked out for each piece again
-    hashed = lambda df, key: stored(stored(df.where(long).select(key, held.alias("_c")), "letters").select(key, look.alias(f"h_{key}")), "hashes")
-    pieces = lambda key: F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.shiftright(f"h_{key}", 11 * k).bitwiseAND(2047).alias("bits")) for k in range(5)))).alias("piece")
-    x, y = hashed(docs, "doc_id").select("*", pieces("doc_id")), hashed(b, "item_id").select("*", pieces("item_id"))
-    near = x.join(y, "piece").where(F.bit_count(F.col("h_doc_id").bitwiseXOR(F.col("h_item_id"))) <= 4).select("doc_id", "item_id").distinct()
-    shape = lambda name: T.word_shingles(T.words(F.col("l")), 3).alias(name)
-    met = near.join(docs, "doc_id").select("doc_id", "item_id", shape("s_x")).join(b.select("item_id", shape("s_y")), "item_id")
-    return met.where(T.jaccard(F.col("s_x"), F.col("s_y")) >= 0.85).select("doc_id").distinct()
+    b = table(spark, d, "benchmark").select("item_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text").unionByName(b.select((F.col("item_id") + 1000000).alias("doc_id"), F.concat("text", F.lit(" more")).alias("text")))
+    shaped = lambda df, key: df.withColumn("words", T.words(F.col("text"))).where(F.size("words") >= 20).select(key, T.word_shingles(F.col("words"), 3).alias("s"))
+    records, pages = shaped(docs, "doc_id"), shaped(b, "item_id")
+    pieces = lambda key: F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.shiftright(f"h_{key}", 12 * k).bitwiseAND(4095).alias("bits")) for k in range(5)))).alias("piece")
+    x, y = _looks(records, "doc_id"), _looks(pages, "item_id")
+    met = x.select("*", pieces("doc_id")).join(y.select("*", pieces("item_id")), "piece")
+    near = met.where(F.bit_count(F.col("h_doc_id").bitwiseXOR(F.col("h_item_id"))) <= 4).select("doc_id", "item_id").distinct()
+    told = near.join(records.withColumnRenamed("s", "s_x"), "doc_id").join(pages.withColumnRenamed("s", "s_y"), "item_id")
+    return told.where(T.jaccard(F.col("s_x"), F.col("s_y")) >= 0.85).select("doc_id").distinct()
 
 
 @PLANS.add(f"""WITH g AS (SELECT doc_id, lang, source, min(doc_id) OVER (PARTITION BY regexp_replace(lower(trim(text)), '[0-9]+', '#', 'g')) AS family FROM documents), b AS (SELECT *, {_BUCKET.format("family::VARCHAR")} AS bucket FROM g)
