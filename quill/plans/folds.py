@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quill.operators import agreement as A
 from quill.operators import budgets as B
 from quill.operators import loss as L
 from quill.operators import resample as R
@@ -184,3 +185,52 @@ def arr_pad_tokens(spark, d):
     batches = numbered(whole.select("conv_id"), ["conv_id"], "n").select("conv_id", F.floor((F.col("n") - 1) / 8).alias("batch"))
     rows = L.padded(turns.join(batches, "conv_id"), "batch", 50256)
     return rows.select("batch", "conv_id", "width", "tokens", _listed("ids").alias("ids_sha256"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("attended"), _listed("labels").alias("labels_sha256"))
+
+
+#: Readings of documents as regions: the text itself, an optical one with faults by its length, and for some a description.
+_READINGS = r"""b AS (SELECT doc_id AS record, CASE WHEN n_chars % 10 < 6 THEN 'text' WHEN n_chars % 10 = 6 THEN 'code' WHEN n_chars % 10 = 7 THEN 'table' WHEN n_chars % 10 = 8 THEN 'diagram' ELSE 'formula' END AS kind, n_chars AS n, text FROM documents),
+r AS (SELECT record, kind, 0 AS index, 'pymupdf_native' AS engine, NULL AS family, text, CASE WHEN n % 9 = 0 THEN 'failed' ELSE 'ok' END AS status, true AS same_source, n % 11 <> 0 AS bound, []::VARCHAR[] AS faults FROM b
+ UNION ALL SELECT record, kind, 1, 'paddleocr', 'paddle_v5', CASE WHEN n % 4 = 1 THEN replace(text, 'e', 'c') WHEN n % 4 = 2 THEN text || ' = 7' ELSE '  ' || replace(text, chr(10), '  ') END,
+  CASE WHEN n % 13 = 0 THEN 'pending' WHEN n % 8 = 0 THEN 'failed' ELSE 'ok' END, n % 19 <> 0, true, CASE WHEN n % 23 = 0 THEN ['mojibake'] ELSE [] END FROM b
+ UNION ALL SELECT record, kind, 2, 'qwen_vl', NULL, substr(text, 1, 40), 'ok', true, n % 2 = 0, [] FROM b WHERE kind = 'diagram' OR n % 5 = 0)"""
+
+
+def _readings(spark, d):
+    n = F.col("n_chars")
+    kind = F.when(n % 10 < 6, "text").when(n % 10 == 6, "code").when(n % 10 == 7, "table").when(n % 10 == 8, "diagram").otherwise("formula")
+    none = F.expr("cast(array() as array<string>)")
+    reading = lambda index, engine, family, text, status, same, bound, faults: F.struct(F.lit(index).alias("index"), F.lit(engine).alias("engine"), F.lit(family).cast("string").alias("family"), text.alias("text"), status.alias("status"), same.alias("same_source"), bound.alias("bound"), faults.alias("faults"))
+    optical = F.when(n % 4 == 1, F.replace(F.col("text"), F.lit("e"), F.lit("c"))).when(n % 4 == 2, F.concat("text", F.lit(" = 7"))).otherwise(F.concat(F.lit("  "), F.replace(F.col("text"), F.lit("\n"), F.lit("  "))))
+    yes = F.lit(True)
+    native = reading(0, "pymupdf_native", None, F.col("text"), F.when(n % 9 == 0, "failed").otherwise("ok"), yes, n % 11 != 0, none)
+    ocr = reading(1, "paddleocr", "paddle_v5", optical, F.when(n % 13 == 0, "pending").when(n % 8 == 0, "failed").otherwise("ok"), n % 19 != 0, yes, F.when(n % 23 == 0, F.array(F.lit("mojibake"))).otherwise(none))
+    seen = F.when((kind == "diagram") | (n % 5 == 0), reading(2, "qwen_vl", None, F.substring("text", 1, 40), F.lit("ok"), yes, n % 2 == 0, none))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("record"), kind.alias("kind"), F.explode(F.array(native, ocr, seen)).alias("r")).where("r is not null")
+    return rows.select("record", "kind", "r.*")
+
+
+def _place_sql(names):
+    return f"coalesce(nullif(list_position([{', '.join(repr(x) for x in names)}], role), 0), {len(names) + 1})"
+
+
+@PLANS.add(rf"""WITH {_READINGS}, o AS (SELECT *, CASE engine WHEN 'pymupdf_native' THEN 'native_pdf' WHEN 'paddleocr' THEN 'ocr' ELSE 'vlm' END AS role,
+ CASE engine WHEN 'pymupdf_native' THEN 'native_pdf' WHEN 'paddleocr' THEN 'paddle' ELSE 'vlm' END AS fam, trim(regexp_replace(text, '\s+', ' ', 'g')) AS plain FROM r),
+u AS (SELECT *, status = 'ok' AND plain <> '' AND len(faults) = 0 AND same_source AS ok, CASE WHEN kind = 'diagram' THEN {_place_sql(A.TRUST["picture"])} WHEN kind = 'formula' THEN {_place_sql(A.TRUST["formula"])}
+ WHEN kind = 'table' THEN {_place_sql(A.TRUST["table"])} ELSE {_place_sql(A.TRUST["text"])} END AS place FROM o),
+t AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY ok DESC, place, index) AS rn FROM u), s AS (SELECT record, ok AS tok, index AS tindex, engine AS tengine, fam AS tfam, role AS trole, plain AS tplain, trim(text) AS ttext, bound AS tbound FROM t WHERE rn = 1),
+c AS (SELECT *, ok AND tok AND index <> tindex AND role <> 'vlm' AND kind IN ('text', 'code') AS cmp, plain = tplain AS eq FROM t JOIN s USING (record)),
+g AS (SELECT record, any_value(kind) AS kind, any_value(tengine) AS tengine, any_value(tfam) AS tfam, any_value(trole) AS trole, any_value(ttext) AS ttext, any_value(tbound) AS tbound, count(*) FILTER (WHERE ok) AS usable, count(*) FILTER (WHERE NOT ok) AS rejected,
+ count(*) FILTER (WHERE cmp AND eq AND bound AND tbound AND fam <> tfam) AS agreeing, count(*) FILTER (WHERE cmp AND NOT eq) AS conflicts,
+ count(*) FILTER (WHERE cmp AND NOT eq AND (regexp_extract_all(plain, '\d+(?:[.,]\d+)*') <> regexp_extract_all(tplain, '\d+(?:[.,]\d+)*') OR regexp_extract_all(plain, '[-+=<>×÷±≤≥]') <> regexp_extract_all(tplain, '[-+=<>×÷±≤≥]'))) AS numeric_,
+ bool_or(NOT same_source) AS alien, bool_or(status = 'pending') AS pending, bool_or(len(faults) > 0) AS faulty FROM c GROUP BY record),
+h AS (SELECT *, usable > 0 AS usable_, kind IN ('formula', 'table', 'diagram', 'code') AS high FROM g)
+SELECT record, CASE WHEN usable_ THEN tengine END AS engine, CASE WHEN usable_ THEN tfam END AS family, CASE WHEN usable_ THEN sha256(ttext) END AS proposed,
+ CASE WHEN alien OR (NOT usable_ AND NOT pending) THEN 'critical' WHEN usable_ AND agreeing > 0 AND conflicts = 0 AND rejected = 0 AND NOT high THEN 'trusted' ELSE 'uncertain' END AS bucket, usable, rejected, agreeing, conflicts,
+ array_to_string(list_sort(list_filter([CASE WHEN alien THEN 'candidate_source_identity_mismatch' END, CASE WHEN conflicts > 0 THEN 'independent_extractors_disagree' END, CASE WHEN numeric_ > 0 THEN 'numeric_or_sign_disagreement' END,
+ CASE WHEN usable_ AND high THEN 'high_risk_requires_human_review' END, CASE WHEN usable_ AND trole = 'vlm' THEN 'vlm_description_requires_source_review' END, CASE WHEN usable_ AND agreeing = 0 AND kind IN ('text', 'code') THEN 'no_independent_exact_transcript_confirmation' END,
+ CASE WHEN usable_ AND NOT tbound THEN 'selected_candidate_region_evidence_unbound' END, CASE WHEN NOT usable_ AND pending THEN 'extraction_pending' END, CASE WHEN NOT usable_ AND NOT pending THEN 'no_usable_extraction' END,
+ CASE WHEN usable_ AND pending THEN 'extractors_pending' END, CASE WHEN faulty THEN 'candidate_mojibake' END], lambda x: x IS NOT NULL)), ',') AS reasons FROM h""")
+def cor_cross_validation(spark, d):
+    """Readings of regions against each other: what is proposed, how far it is trusted, and why."""
+    rows = A.cross_validated(_readings(spark, d))
+    return rows.withColumns({"proposed": F.sha2("proposed", 256), "reasons": F.array_join("reasons", ",")})
