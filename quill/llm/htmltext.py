@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 
 from quill.llm.shared import lean, written
 
+#: Features of an element that the training pages show less often tell nothing and are left out (moves between kinds always count).
+LEAST_COUNT = 3
 #: Labelled pages that the model is counted on, at most: those of the smallest hashes of page_id.
 TRAIN_PAGES = 2000
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -397,7 +399,7 @@ def train(pages: DataFrame, most: int = TRAIN_PAGES) -> Model:
         return Model.of({})
     sample = pages.where(F.col("html").isNotNull() & (order <= bound)).select("html")
     rows, _ = written(sample.mapInArrow(lean(batches), "feature string, label int, n bigint"), "html-counts")
-    return Model.of({(r["feature"], r["label"]): r["n"] for r in rows.groupBy("feature", "label").agg(F.sum("n").alias("n")).where("n >= 3 or feature like 'move %'").collect()})
+    return Model.of({(r["feature"], r["label"]): r["n"] for r in rows.groupBy("feature", "label").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_COUNT} or feature like 'move %'").collect()})
 
 
 def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:

@@ -142,8 +142,9 @@ def voted(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors by code, weights of the scorer with its bias last, labellers' accuracies.
 
-    The label model counts all documents. The scorer is trained on at most ``most`` of them, in
-    ``SHARDS`` parts whose weights are averaged.
+    The label model counts all documents. The scorer is trained on at most ``most`` of them, those of
+    the smallest hashes of id and text, whatever ids repeat or are null, in ``SHARDS`` parts whose
+    weights are averaged.
     """
     rows = voted(docs).collect()  # at most 3 ** labellers rows
     codes, counts = (np.array([r[c] for r in rows], np.int64) for c in ("code", "n"))
@@ -152,7 +153,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarr
         return posteriors, np.zeros((1 << BITS) + 1), np.full(len(LABELLERS), 0.5)
     posteriors[codes], right, _ = label_model(codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3, counts)
     spark = docs.sparkSession
-    shared, order = spark.sparkContext.broadcast(posteriors), F.xxhash64("doc_id")
+    shared, order = spark.sparkContext.broadcast(posteriors), F.xxhash64("doc_id", "text")
     bound = docs.select(order.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
 
     def fitted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +182,8 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarr
                     bias -= RATE * error.mean()
         yield pa.RecordBatch.from_arrays([pa.array([sum(len(p[3]) for p in parts)], pa.int64()), pa.array([np.append(w, bias).tobytes()], pa.binary())], ["n", "weights"])
 
-    sample = docs.where(order <= bound).select("text").repartition(SHARDS)
+    # rows of one hash are equal: any of them will do where the bound parts them
+    sample = docs.where(order <= bound).select("text").limit(most).repartition(SHARDS)
     shards = written(sample.mapInArrow(lean(fitted), "n bigint, weights binary"), "quality-weights")[0].collect()  # SHARDS rows of fixed size
     n = np.array([r["n"] for r in shards], float)
     return posteriors, np.average([np.frombuffer(r["weights"]) for r in shards], axis=0, weights=n), right
