@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quill.functions.values import band
@@ -77,10 +78,20 @@ def agg_platform_overview(spark, d):
     return A.overview(pe(spark, d), dt.date(2024, 1, 5), dt.date(2024, 1, 20))
 
 
-@PLANS.add(f"""WITH {_PE} SELECT provider, model, count(*) AS requests, sum(cost)::DOUBLE AS cost FROM pe WHERE kind = 'AI_REQUEST_COMPLETED'
-GROUP BY provider, model""")
+@PLANS.add(f"""WITH {_PE}, m AS (SELECT provider, model, count(*) AS requests, count(*) FILTER (WHERE value >= 10) AS successes, count(*) FILTER (WHERE value < 10) AS failures,
+ sum(floor(value * 10))::BIGINT AS input_tokens, sum(floor(value))::BIGINT AS output_tokens, sum((value / 100)::DECIMAL(16,6))::DOUBLE AS estimated_cost, sum(cost)::DOUBLE AS cost FROM pe WHERE kind = 'AI_REQUEST_COMPLETED' GROUP BY provider, model)
+SELECT *, row_number() OVER (ORDER BY cost DESC, provider, model) AS place FROM m""")
 def agg_ai_model_usage(spark, d):
-    return pe(spark, d).where(F.col("kind") == A.COMPLETED).groupBy("provider", "model").agg(F.count(F.lit(1)).alias("requests"), F.sum("cost").cast("double").alias("cost"))
+    """The seven sums of each model, and its place by actual cost."""
+    rows = pe(spark, d).where(F.col("kind") == A.COMPLETED)
+    total = lambda c: F.sum(c).cast("long")
+    m = rows.groupBy("provider", "model").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("value") >= 10).alias("successes"), F.count_if(F.col("value") < 10).alias("failures"),
+        total(F.floor(F.col("value") * 10)).alias("input_tokens"), total(F.floor("value")).alias("output_tokens"),
+        F.sum((F.col("value") / 100).cast("decimal(16,6)")).cast("double").alias("estimated_cost"), F.sum("cost").cast("double").alias("cost"),
+    )
+    order = Window.orderBy(F.desc("cost"), "provider", "model")  # a row per model
+    return m.withColumn("place", F.row_number().over(order).cast("long"))
 
 
 @PLANS.add(f"WITH {_PE}{_DAILY} SELECT user_id, sum(ai_cost)::DOUBLE AS cost FROM dum GROUP BY user_id HAVING sum(ai_cost) > 0 ORDER BY cost DESC, user_id LIMIT 20")
@@ -149,6 +160,20 @@ def map_json_counts(spark, d):
     return pe(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
 
 
+@PLANS.add("""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i FROM lineitem), o AS (SELECT * FROM orders WHERE o_orderkey IN (SELECT k FROM l))
+SELECT o_orderkey AS k, 'id' AS path, o_orderkey::VARCHAR AS value FROM o UNION ALL SELECT o_orderkey, 'who.customer', o_custkey::VARCHAR FROM o UNION ALL SELECT o_orderkey, 'who["order.state"]', o_orderstatus FROM o
+UNION ALL SELECT k, 'items[' || i || '].n', n::VARCHAR FROM l UNION ALL SELECT k, 'items[' || i || '].part', p::VARCHAR FROM l
+UNION ALL SELECT k, 'parts', '[' || string_agg(p::VARCHAR, ', ' ORDER BY i) || ']' FROM l GROUP BY k""")
+def src_json_flatten_nested(spark, d):
+    """Orders with their lines as nested JSON: objects, arrays of objects, an array of numbers, a key that is no identifier."""
+    from quill.sources.flatten import flattened
+
+    items = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part")))).alias("items"))
+    rows = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("k"))
+    who = F.struct(F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("order.state"))
+    return flattened(rows.select("k", F.to_json(F.struct(F.col("o_orderkey").alias("id"), who.alias("who"), "items", F.col("items.part").alias("parts"))).alias("json")), "k", "json")
+
+
 @PLANS.add("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events")
 def src_json_flatten(spark, d):
     from quill.sources.flatten import flattened

@@ -25,6 +25,22 @@ def src_jsonl_records(spark, d):
     return jsonl.records(spark, path, "o_orderkey bigint, o_orderstatus string, o_totalprice double")
 
 
+@PLANS.add("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN 'repeated' WHEN 2 THEN 'constant' WHEN 3 THEN 'malformed' ELSE 'none' END AS fault,
+ CASE WHEN o_orderkey % 6 NOT IN (1, 2, 3) THEN o_totalprice END AS price FROM orders WHERE o_orderkey % 6 <> 4""")
+def src_jsonl_faults(spark, d):
+    """What is wrong with each line of a file with repeated keys, NaN, cut lines and blank ones; the others are read."""
+    k, path = F.col("o_orderkey") % 6, _folder(spark, "jsonl")
+    whole = F.to_json(F.struct("o_orderkey", "o_totalprice"))
+    body = F.substring(whole, F.lit(2), F.length(whole) - 2)
+    line = F.when(k == 1, F.concat(F.lit('{"o_orderkey":0,'), body, F.lit("}"))).when(k == 2, F.concat(F.lit("{"), body, F.lit(',"x":NaN}'))).when(k == 3, F.substring(whole, F.lit(1), F.length(whole) - 1)).when(k == 4, F.lit("  ")).otherwise(whole)
+    table(spark, d, "orders").select(line.alias("value")).write.text(path)
+    rows = jsonl.scanned(spark, path)
+    fault = F.when(F.col("error").isNull(), "none").when(F.contains("error", F.lit("twice")), "repeated").when(F.contains("error", F.lit("NaN")), "constant").otherwise("malformed")
+    # the last key of a line is the order's own
+    key = F.element_at(F.regexp_extract_all("value", F.lit('"o_orderkey":(\\d+)'), F.lit(1)), -1).cast("long")
+    return rows.select(key.alias("o_orderkey"), fault.alias("fault"), F.when(F.col("error").isNull(), F.get_json_object("value", "$.o_totalprice").cast("double")).alias("price"))
+
+
 @PLANS.add("SELECT count(*) AS n, 0::BIGINT AS bad, count(*) AS numbered FROM documents")
 def src_jsonl_lines(spark, d):
     """Texts with any character inside are one line each, none is broken, and lines have numbers of their own."""
