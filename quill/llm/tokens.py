@@ -20,8 +20,8 @@ PLAIN = re.compile("[\t\n\x0b\x0c\r -~À-įı-ɏ]*")
 CHUNK = re.compile("[\t\n\x0b\x0c\r ]+")
 WORDS = re.compile(f"\n|'[sStTmMdD]|'[rR][eE]|'[vV][eE]|'[lL][lL]|[{LETTERS}]+|[0-9]|[^\t\n\x0b\x0c\r {LETTERS}0-9]+")
 LONGEST = 48
-#: Words that are kept with their ids before the cache starts anew: some 50 MB.
-CACHED = 120_000
+#: Words that are kept with their ids before the cache starts anew: some 170 MB.
+CACHED = 400_000
 FAST_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
