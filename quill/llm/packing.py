@@ -34,7 +34,7 @@ _encoders: dict = {}
 
 
 def encoder(path: str):
-    """The worker's encoder of a tokenizer file: its tables stay with the worker, the words it has kept go with the task."""
+    """The worker's encoder of a tokenizer file: its tables and a bounded number of words stay with the worker."""
     if path not in _encoders:
         from quill.llm.tokens import Encoder
 
@@ -196,7 +196,6 @@ def tokenized(docs: DataFrame, tokenizer: str, source: str = "source") -> DataFr
                 offsets = np.concatenate([[0], stops * kind.itemsize]).astype(np.int32)
                 data = pa.Array.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(offsets), pa.py_buffer(full.tobytes())])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array([part] * len(stops), pa.int32()), pa.array(before, pa.int64()), pa.array(counts + 1, pa.int64()), data], ["doc_id", "source", "part", "before", "n", "ids"])
-        enc.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), name.alias("source"))
     return written(rows.mapInArrow(lean(batches), "doc_id bigint, source string, part int, before bigint, n bigint, ids binary"), "tokens")[0]

@@ -94,11 +94,6 @@ class Encoder:
         self.words: dict[str, int] = {}
         self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def forget(self) -> None:
-        """Drop the words that were kept; the tables of the tokenizer stay."""
-        if self.ranks is not None:
-            self._clear()
-
     def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and counts of words of at most LONGEST bytes, all merged together."""
         lengths = np.array([len(w) for w in words])
