@@ -41,38 +41,57 @@ def _postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def _ranked(docs: DataFrame, windows: DataFrame, most: int) -> DataFrame:
-    """w, len, rarest: of each window the ``most`` terms (term, offset, n in the corpus) that the corpus has least often."""
+    """w, len, n_terms, rarest: of each window the ``most`` distinct terms (n in the corpus, term, first offset) that the corpus has least often."""
     placed = windows.select("w", "words").distinct().select("w", F.size("words").alias("len"), F.posexplode("words").alias("offset", "term"))
     vocabulary, _ = written(placed.select("term").distinct(), "vocabulary")
     counted = docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     counts, _ = written(counted, "term-counts")
-    first = placed.groupBy("w", "len", "term").agg(F.min("offset").alias("offset")) if most > 2 else placed
-    return first.join(counts, "term", "left").groupBy("w", "len").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))), 1, most).alias("rarest"))
-
-
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(d, start, w, len): every place of every window in ``docs`` (d, text), and windows (item_id, w, words)."""
-    windows, _ = written(windows_of(benchmark, window), "windows")
-    distinct = windows.select("w", "words").distinct()
-    ranked = _ranked(docs, windows, 2)
-    # a window with a term that the corpus lacks occurs nowhere
-    live = ranked.where(F.col("rarest")[0]["n"] > 0).select("w", "len", F.col("rarest")[0].alias("one"), F.when(F.size("rarest") > 1, F.col("rarest")[1]).alias("two"))
-    anchors, _ = written(live.select("w", "len", F.col("one.term").alias("term"), F.col("one.offset").alias("offset"), F.col("two.term").alias("other"), F.col("two.offset").alias("other_offset")), "anchors")
-    terms, _ = written(anchors.select("term").union(anchors.where("other is not null").select(F.col("other").alias("term"))).distinct(), "anchor-terms")
-    index, index_path = written(_postings(docs, terms), "postings")
-    first = index.join(anchors, "term").select("d", (F.col("pos") - F.col("offset")).alias("start"), "w", "len", "other", (F.col("pos") - F.col("offset") + F.col("other_offset")).alias("pos")).where("start >= 0")
-    second = index.select("d", "pos", F.col("term").alias("other"))
+    first = placed.groupBy("w", "len", "term").agg(F.min("offset").alias("offset"))
+    terms = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")))
+    return first.join(counts, "term", "left").groupBy("w", "len").agg(F.count(F.lit(1)).alias("n_terms"), F.slice(terms, 1, most).alias("rarest"))
+
+
+class Index:
+    """Windows of a benchmark, their rarest terms, and the postings of those terms in ``docs`` (d, text), written once.
+
+    Phrases need the two rarest terms of a window; with ``missing``, proximity needs ``missing + 2`` of
+    those windows that have more than ``missing + 1``.
+    """
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, missing: int | None = None) -> None:
+        self.docs, self.window, self.missing = docs, window, missing
+        self.windows, _ = written(windows_of(benchmark, window), "windows")
+        ranked, _ = written(_ranked(docs, self.windows, 2 if missing is None else max(2, missing + 2)), "ranked")
+        # a window with a term that the corpus lacks occurs nowhere
+        live = ranked.where(F.col("rarest")[0]["n"] > 0).select("w", "len", F.col("rarest")[0].alias("one"), F.when(F.size("rarest") > 1, F.col("rarest")[1]).alias("two"))
+        self.anchors, _ = written(live.select("w", "len", F.col("one.term").alias("term"), F.col("one.offset").alias("offset"), F.col("two.term").alias("other"), F.col("two.offset").alias("other_offset")), "anchors")
+        terms = self.anchors.select("term").union(self.anchors.where("other is not null").select(F.col("other").alias("term")))
+        if missing is not None:
+            near = ranked.where(F.col("n_terms") > missing + 1).select("w", F.explode(F.slice("rarest", 1, missing + 2)).alias("r"))
+            self.near, _ = written(near.select("w", "r.term"), "near-anchors")
+            terms = terms.union(self.near.select("term"))
+        wanted, _ = written(terms.distinct(), "anchor-terms")
+        self.postings, self.path = written(_postings(docs, wanted), "postings")
+
+    def drop(self) -> None:
+        dropped(self.docs.sparkSession, self.path)
+
+
+def phrase_matches(index: Index) -> DataFrame:
+    """d, start, w, len: every place of every window in the documents."""
+    distinct = index.windows.select("w", "words").distinct()
+    first = index.postings.join(index.anchors, "term").select("d", (F.col("pos") - F.col("offset")).alias("start"), "w", "len", "other", (F.col("pos") - F.col("offset") + F.col("other_offset")).alias("pos")).where("start >= 0")
+    second = index.postings.select("d", "pos", F.col("term").alias("other"))
     both = first.where("other is not null").join(second, ["d", "pos", "other"]).unionByName(first.where("other is null")).select("d", "start", "w", "len")
     starts, _ = written(both.distinct(), "window-starts")
-    dropped(docs.sparkSession, index_path)
     # the documents with starts grow with the corpus: sort and merge at every size, never a broadcast
-    texts = docs.join(starts.select("d").distinct().hint("merge"), "d", "left_semi").select("d", words_of(F.col("text")).alias("all"))
+    texts = index.docs.join(starts.select("d").distinct().hint("merge"), "d", "left_semi").select("d", words_of(F.col("text")).alias("all"))
     found = starts.join(distinct, "w").join(texts.hint("merge"), "d").where(F.slice("all", F.col("start") + 1, F.col("len")) == F.col("words")).select("d", "start", "w", "len")
-    return written(found.distinct(), "phrases")[0], windows
+    return written(found.distinct(), "phrases")[0]
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = SLACK, missing: int = MISSING) -> DataFrame:
-    """d, item_id, w, start, n_terms: where ``docs`` (d, text) have the terms of a window near each other, in any order.
+def proximity_matches(index: Index, slack: int = SLACK) -> DataFrame:
+    """d, item_id, w, start, n_terms: where documents have the terms of a window near each other, in any order.
 
     A match is a run of at most ``window + slack`` document words with all but ``missing`` of the
     distinct terms of a window; of each window and document the run of most terms is given, of those
@@ -80,23 +99,25 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     ``missing + 2`` rarest terms of a window every match has two: their postings are put in order by
     window and document, and where two of different terms are near enough the words are compared.
     """
-    windows, _ = written(windows_of(benchmark, window), "windows")
+    if index.missing is None:
+        raise ValueError("an index for proximity matches is made with `missing`")
+    missing, windows = index.missing, index.windows
     distinct = windows.select("w", F.array_distinct("words").alias("terms")).distinct().where(F.size("terms") > missing + 1)
-    rarest = _ranked(docs, windows.where(F.size(F.array_distinct("words")) > missing + 1), missing + 2)
-    anchors, _ = written(rarest.select("w", F.explode("rarest.term").alias("term")), "anchors")
-    index, index_path = written(_postings(docs, anchors.select("term").distinct()), "postings")
-    reach = window + slack
+    reach = index.window + slack
     own = Window.partitionBy("w", "d").orderBy("pos")
-    placed = index.join(anchors, "term").select("w", "d", "pos", "term").withColumns({"before": F.lag("pos").over(own), "other": F.lag("term").over(own)})
+    placed = index.postings.join(index.near, "term").select("w", "d", "pos", "term").withColumns({"before": F.lag("pos").over(own), "other": F.lag("term").over(own)})
     near, near_path = written(placed.where((F.col("term") != F.col("other")) & (F.col("pos") - F.col("before") < reach)).select("w", "d", "before", "pos"), "near")
-    texts = docs.join(near.select("d").distinct().hint("merge"), "d", "left_semi").select("d", words_of(F.col("text")).alias("all"))
-    told = near.join(distinct, "w").join(texts.hint("merge"), "d")
-    starts = F.sequence(F.greatest(F.lit(0), F.col("pos") - reach + 1), F.col("before"))
-    shared = lambda s: F.size(F.array_intersect(F.slice("all", s + 1, reach), F.col("terms")))
-    runs = told.select("d", "w", F.size("terms").alias("n"), F.explode(F.transform(starts, lambda s: F.struct(shared(s).alias("n_terms"), s.alias("start")))).alias("run"))
-    best = runs.where(F.col("run.n_terms") >= F.col("n") - missing).groupBy("d", "w").agg(F.max(F.struct("run.n_terms", (-F.col("run.start")).alias("back"))).alias("run"))
+    texts = index.docs.join(near.select("d").distinct().hint("merge"), "d", "left_semi").select("d", words_of(F.col("text")).alias("all"))
+    # words before or after every run of the pair are cut away, and runs tried only where the rest has enough terms
+    low = F.greatest(F.lit(0), F.col("pos") - reach + 1)
+    around = F.slice("all", low + 1, F.col("before") - low + reach)
+    told = near.join(distinct, "w").join(texts.hint("merge"), "d").select("d", "w", "terms", low.alias("low"), (F.col("before") - low).alias("last"), around.alias("around"))
+    told = told.where(F.size(F.array_intersect("around", "terms")) >= F.size("terms") - missing)
+    shared = lambda s: F.size(F.array_intersect(F.slice("around", s + 1, reach), F.col("terms")))
+    runs = told.select("d", "w", F.size("terms").alias("n"), F.array_max(F.transform(F.sequence(F.lit(0), F.col("last")), lambda s: F.struct(shared(s).alias("n_terms"), (-s - F.col("low")).alias("back")))).alias("run"))
+    best = runs.where(F.col("run.n_terms") >= F.col("n") - missing).groupBy("d", "w").agg(F.max("run").alias("run"))
     found, _ = written(best.join(windows.select("w", "item_id"), "w").select("d", "item_id", "w", (-F.col("run.back")).alias("start"), "run.n_terms"), "proximities")
-    dropped(docs.sparkSession, index_path, near_path)
+    dropped(index.docs.sparkSession, near_path)
     return found
 
 
@@ -107,18 +128,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     A word is hit if it lies inside any occurrence of a window; items of fewer words are one
     window, items without words none. Null text has no words. Rows of one doc_id with unequal
-    texts are documents of their own, equal rows one. Columns of docs of these names are replaced.
+    texts are documents of their own, equal rows one; a null doc_id is an id like any other. An empty table gives no rows, an empty
+    benchmark no hits. Very long texts are split into words by their own task, whole. Columns of docs of
+    these names are replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.drop("n_words", "n_hit", "items", "contaminated", "near_items").withColumn("_d", F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("v")))
     keyed = rows.select(F.col("_d").alias("d"), text.alias("text"))
-    found, windows = phrase_matches(keyed, benchmark, window)
+    index = Index(keyed, benchmark, window, None if slack is None else MISSING)
+    found, windows = phrase_matches(index), index.windows
     hit = found.select("d", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos")).distinct().groupBy("d").agg(F.count(F.lit(1)).alias("n_hit"))
     items = found.select("d", "w").distinct().join(windows.select("w", "item_id"), "w").groupBy("d").agg(F.collect_set("item_id").alias("items"))
     both = hit.join(items, "d", "left").withColumnRenamed("d", "_d")
     kind = benchmark.schema["item_id"].dataType.simpleString()
     if slack is not None:
-        near = proximity_matches(keyed, benchmark, window, slack).groupBy(F.col("d").alias("_d")).agg(F.collect_set("item_id").alias("near_items"))
+        near = proximity_matches(index, slack).groupBy(F.col("d").alias("_d")).agg(F.collect_set("item_id").alias("near_items"))
         rows = rows.join(near, "_d", "left").withColumn("near_items", F.coalesce("near_items", F.expr(f"cast(array() as array<{kind}>)")))
+    index.drop()
     out = rows.withColumn("n_words", F.size(words_of(F.col("text"))).cast("long")).join(both, "_d", "left").drop("_d")
     return out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.expr(f"cast(array() as array<{kind}>)")), "contaminated": F.coalesce("n_hit", F.lit(0)) > 0})

@@ -41,10 +41,20 @@ WITH d AS (
   JOIN w ON w.n = p.n AND w.win = list_slice(p.words, p.s, p.s + p.n - 1)
 ), places AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS pos FROM hits),
 nh AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
-ni AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+ni AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id),
+wins AS (SELECT row_number() OVER () AS k, win, len(list_distinct(win)) AS m FROM (SELECT DISTINCT win FROM w) WHERE len(list_distinct(win)) > 3),
+wterms AS (SELECT k, m, unnest(list_distinct(win)) AS term FROM wins),
+occ AS (SELECT doc_id, unnest(words) AS term, unnest(range(len(words))) AS pos FROM d),
+met AS (SELECT k, m, doc_id, pos, term FROM occ JOIN wterms USING (term)),
+blocks AS (SELECT k, doc_id, b, count(DISTINCT term) AS c, m FROM (SELECT k, m, doc_id, term, pos // 14 AS b FROM met) GROUP BY ALL),
+dense AS (SELECT DISTINCT x.k, x.doc_id FROM blocks x LEFT JOIN blocks y ON y.k = x.k AND y.doc_id = x.doc_id AND y.b = x.b + 1 WHERE x.c + coalesce(y.c, 0) >= x.m - 2),
+close AS (SELECT DISTINCT x.k, x.doc_id, x.pos, x.m, y.term FROM met x JOIN dense USING (k, doc_id) JOIN met y ON y.k = x.k AND y.doc_id = x.doc_id AND y.pos BETWEEN x.pos AND x.pos + 13),
+runs AS (SELECT DISTINCT k, doc_id FROM (SELECT k, doc_id, pos, m, count(*) AS c FROM close GROUP BY ALL) WHERE c >= m - 2),
+nn AS (SELECT doc_id, count(*) AS n_near, string_agg(i, ',' ORDER BY i) AS near_ids FROM (SELECT DISTINCT doc_id, w.item_id::VARCHAR AS i FROM runs JOIN wins USING (k) JOIN w USING (win)) GROUP BY doc_id)
 SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN ni USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near_items, sha256(coalesce(near_ids, '')) AS near_items_sha256
+FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN ni USING (doc_id) LEFT JOIN nn USING (doc_id)
 """
 
 OP11 = r"""

@@ -9,7 +9,7 @@ from quill.llm.fim import fill_in_middle
 from quill.llm.htmltext import main_text
 from quill.llm.jaccard import similar_documents
 from quill.llm.language import language_id
-from quill.llm.leaks import decontaminate
+from quill.llm.leaks import SLACK, decontaminate
 from quill.llm.lines import line_dedup
 from quill.llm.packing import pack
 from quill.llm.quality import quality
@@ -66,9 +66,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+    marked = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), slack=SLACK)
+    ids = lambda c: F.sha2(F.array_join(F.array_sort(F.transform(c, lambda x: x.cast("string"))), ","), 256)
+    count = lambda c: F.size(c).cast("long")
+    return marked.select("doc_id", "n_words", "n_hit", count("items").alias("n_items"), ids("items").alias("items_sha256"), "contaminated", count("near_items").alias("n_near_items"), ids("near_items").alias("near_items_sha256"))
 
 
 def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
