@@ -3,13 +3,13 @@
 A benchmark window is ``WINDOW`` consecutive words of an item. Of each window the two terms that
 are rarest in the corpus are looked up: the index has (term, document, position) postings of those
 terms. Positions less the term's offset in the window are where the window would start; the starts
-that both lists give are compared word by word. Proximity matches take more of the rarest terms, and
-their places near each other in any order.
+that both lists give are compared word by word. Proximity matches start from the three rarest terms;
+64 bits beside every posting tell which words may lie around it, so that few places are compared.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quill.llm.shared import dropped, written
@@ -34,44 +34,70 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.select("item_id", F.sha1(F.array_join("words", " ")).alias("w"), "words").distinct()
 
 
-def _postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, d, pos of every place of the terms."""
-    placed = docs.select("d", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+def _bit(term):
+    """One of 64 bits for a term."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(term), F.lit(64)).cast("int"))
+
+
+def _surroundings(docs: DataFrame, reach: int) -> DataFrame:
+    """d, all (the words), around: for every word the bits of the words less than ``reach`` places away.
+
+    The bits of 2, 4, 8 ... words from each place on are those of half as many from there and from
+    behind these; two such stretches that overlap make the width wanted.
+    """
+    zeros = F.array_repeat(F.lit(0).cast("long"), reach - 1)
+    own = docs.select("d", words_of(F.col("text")).alias("all")).select("d", "all", F.concat(zeros, F.transform("all", _bit)).alias("around"))
+    width, wanted = 1, 2 * reach - 1
+    while width < wanted:
+        step = min(width, wanted - width)
+        behind = F.slice("around", step + 1, F.greatest(F.lit(0), F.size("around") - step))
+        own = own.select("d", "all", F.zip_with("around", behind, lambda x, y: x.bitwiseOR(F.coalesce(y, F.lit(0).cast("long")))).alias("around"))
+        width += step
+    return own
+
+
+def _postings(docs: DataFrame, terms: DataFrame, reach: int | None = None) -> DataFrame:
+    """term, d, pos of every place of the terms; with ``reach`` also the bits of the words around."""
+    if reach is None:
+        placed = docs.select("d", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    else:
+        each = _surroundings(docs, reach).select("d", F.posexplode(F.arrays_zip("all", F.slice("around", 1, F.size("all")).alias("around"))).alias("pos", "x"))
+        placed = each.select("d", "pos", F.col("x.all").alias("term"), F.col("x.around").alias("around"))
     return placed.join(terms, "term")
 
 
 def _ranked(docs: DataFrame, windows: DataFrame, most: int) -> DataFrame:
-    """w, len, n_terms, rarest: of each window the ``most`` distinct terms (n in the corpus, term, first offset) that the corpus has least often."""
+    """w, len, n_terms, bits (of its terms), rarest: of each window the ``most`` distinct terms (n in the corpus, term, first offset) that the corpus has least often."""
     placed = windows.select("w", "words").distinct().select("w", F.size("words").alias("len"), F.posexplode("words").alias("offset", "term"))
     vocabulary, _ = written(placed.select("term").distinct(), "vocabulary")
     counted = docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     counts, _ = written(counted, "term-counts")
     first = placed.groupBy("w", "len", "term").agg(F.min("offset").alias("offset"))
     terms = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")))
-    return first.join(counts, "term", "left").groupBy("w", "len").agg(F.count(F.lit(1)).alias("n_terms"), F.slice(terms, 1, most).alias("rarest"))
+    return first.join(counts, "term", "left").groupBy("w", "len").agg(F.count(F.lit(1)).alias("n_terms"), F.bit_or(_bit(F.col("term"))).alias("bits"), F.slice(terms, 1, most).alias("rarest"))
 
 
 class Index:
     """Windows of a benchmark, their rarest terms, and the postings of those terms in ``docs`` (d, text), written once.
 
-    Phrases need the two rarest terms of a window; with ``missing``, proximity needs ``missing + 2`` of
-    those windows that have more than ``missing + 1``.
+    Phrases need the two rarest terms of a window. With ``slack``, proximity needs the ``missing + 1``
+    rarest of those windows that have more, and every posting the bits of the words around it.
     """
 
-    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, missing: int | None = None) -> None:
-        self.docs, self.window, self.missing = docs, window, missing
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int | None = None, missing: int = MISSING) -> None:
+        self.docs, self.missing, self.reach = docs, missing, None if slack is None else window + slack
         self.windows, _ = written(windows_of(benchmark, window), "windows")
-        ranked, _ = written(_ranked(docs, self.windows, 2 if missing is None else max(2, missing + 2)), "ranked")
+        ranked, _ = written(_ranked(docs, self.windows, 2 if slack is None else max(2, missing + 1)), "ranked")
         # a window with a term that the corpus lacks occurs nowhere
         live = ranked.where(F.col("rarest")[0]["n"] > 0).select("w", "len", F.col("rarest")[0].alias("one"), F.when(F.size("rarest") > 1, F.col("rarest")[1]).alias("two"))
         self.anchors, _ = written(live.select("w", "len", F.col("one.term").alias("term"), F.col("one.offset").alias("offset"), F.col("two.term").alias("other"), F.col("two.offset").alias("other_offset")), "anchors")
         terms = self.anchors.select("term").union(self.anchors.where("other is not null").select(F.col("other").alias("term")))
-        if missing is not None:
-            near = ranked.where(F.col("n_terms") > missing + 1).select("w", F.explode(F.slice("rarest", 1, missing + 2)).alias("r"))
-            self.near, _ = written(near.select("w", "r.term"), "near-anchors")
+        if slack is not None:
+            near = ranked.where(F.col("n_terms") > missing + 1).select("w", "bits", F.explode(F.slice("rarest", 1, missing + 1)).alias("r"))
+            self.near, _ = written(near.select("w", "bits", "r.term"), "near-anchors")
             terms = terms.union(self.near.select("term"))
         wanted, _ = written(terms.distinct(), "anchor-terms")
-        self.postings, self.path = written(_postings(docs, wanted), "postings")
+        self.postings, self.path = written(_postings(docs, wanted, self.reach), "postings")
 
     def drop(self) -> None:
         dropped(self.docs.sparkSession, self.path)
@@ -81,7 +107,7 @@ def phrase_matches(index: Index) -> DataFrame:
     """d, start, w, len: every place of every window in the documents."""
     distinct = index.windows.select("w", "words").distinct()
     first = index.postings.join(index.anchors, "term").select("d", (F.col("pos") - F.col("offset")).alias("start"), "w", "len", "other", (F.col("pos") - F.col("offset") + F.col("other_offset")).alias("pos")).where("start >= 0")
-    second = index.postings.select("d", "pos", F.col("term").alias("other"))
+    second = index.postings.select("d", "pos", F.col("term").alias("other")).join(index.anchors.select("other").distinct(), "other", "left_semi")
     both = first.where("other is not null").join(second, ["d", "pos", "other"]).unionByName(first.where("other is null")).select("d", "start", "w", "len")
     starts, _ = written(both.distinct(), "window-starts")
     # the documents with starts grow with the corpus: sort and merge at every size, never a broadcast
@@ -90,28 +116,25 @@ def phrase_matches(index: Index) -> DataFrame:
     return written(found.distinct(), "phrases")[0]
 
 
-def proximity_matches(index: Index, slack: int = SLACK) -> DataFrame:
+def proximity_matches(index: Index) -> DataFrame:
     """d, item_id, w, start, n_terms: where documents have the terms of a window near each other, in any order.
 
     A match is a run of at most ``window + slack`` document words with all but ``missing`` of the
     distinct terms of a window; of each window and document the run of most terms is given, of those
-    the first. Windows of no more than ``missing + 1`` distinct terms match as phrases only. Of the
-    ``missing + 2`` rarest terms of a window every match has two: their postings are put in order by
-    window and document, and where two of different terms are near enough the words are compared.
+    the first. Windows of no more than ``missing + 1`` distinct terms match as phrases only. Every match
+    has one of the ``missing + 1`` rarest terms of its window, so the postings of these are all its
+    candidates; those where the words around lack more than ``missing`` bits of the window's terms
+    are none, and for the others the words are compared.
     """
-    if index.missing is None:
-        raise ValueError("an index for proximity matches is made with `missing`")
-    missing, windows = index.missing, index.windows
+    if index.reach is None:
+        raise ValueError("an index for proximity matches is made with `slack`")
+    missing, windows, reach = index.missing, index.windows, index.reach
     distinct = windows.select("w", F.array_distinct("words").alias("terms")).distinct().where(F.size("terms") > missing + 1)
-    reach = index.window + slack
-    own = Window.partitionBy("w", "d").orderBy("pos")
-    placed = index.postings.join(index.near, "term").select("w", "d", "pos", "term").withColumns({"before": F.lag("pos").over(own), "other": F.lag("term").over(own)})
-    near, near_path = written(placed.where((F.col("term") != F.col("other")) & (F.col("pos") - F.col("before") < reach)).select("w", "d", "before", "pos"), "near")
+    lacking = F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not("around")))
+    near, near_path = written(index.postings.join(index.near, "term").where(lacking <= missing).select("w", "d", "pos"), "near")
     texts = index.docs.join(near.select("d").distinct().hint("merge"), "d", "left_semi").select("d", words_of(F.col("text")).alias("all"))
-    # words before or after every run of the pair are cut away, and runs tried only where the rest has enough terms
     low = F.greatest(F.lit(0), F.col("pos") - reach + 1)
-    around = F.slice("all", low + 1, F.col("before") - low + reach)
-    told = near.join(distinct, "w").join(texts.hint("merge"), "d").select("d", "w", "terms", low.alias("low"), (F.col("before") - low).alias("last"), around.alias("around"))
+    told = near.join(distinct, "w").join(texts.hint("merge"), "d").select("d", "w", "terms", low.alias("low"), (F.col("pos") - low).alias("last"), F.slice("all", low + 1, F.col("pos") - low + reach).alias("around"))
     told = told.where(F.size(F.array_intersect("around", "terms")) >= F.size("terms") - missing)
     shared = lambda s: F.size(F.array_intersect(F.slice("around", s + 1, reach), F.col("terms")))
     runs = told.select("d", "w", F.size("terms").alias("n"), F.array_max(F.transform(F.sequence(F.lit(0), F.col("last")), lambda s: F.struct(shared(s).alias("n_terms"), (-s - F.col("low")).alias("back")))).alias("run"))
@@ -135,14 +158,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.drop("n_words", "n_hit", "items", "contaminated", "near_items").withColumn("_d", F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("v")))
     keyed = rows.select(F.col("_d").alias("d"), text.alias("text"))
-    index = Index(keyed, benchmark, window, None if slack is None else MISSING)
+    index = Index(keyed, benchmark, window, slack)
     found, windows = phrase_matches(index), index.windows
     hit = found.select("d", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos")).distinct().groupBy("d").agg(F.count(F.lit(1)).alias("n_hit"))
     items = found.select("d", "w").distinct().join(windows.select("w", "item_id"), "w").groupBy("d").agg(F.collect_set("item_id").alias("items"))
     both = hit.join(items, "d", "left").withColumnRenamed("d", "_d")
     kind = benchmark.schema["item_id"].dataType.simpleString()
     if slack is not None:
-        near = proximity_matches(index, slack).groupBy(F.col("d").alias("_d")).agg(F.collect_set("item_id").alias("near_items"))
+        near = proximity_matches(index).groupBy(F.col("d").alias("_d")).agg(F.collect_set("item_id").alias("near_items"))
         rows = rows.join(near, "_d", "left").withColumn("near_items", F.coalesce("near_items", F.expr(f"cast(array() as array<{kind}>)")))
     index.drop()
     out = rows.withColumn("n_words", F.size(words_of(F.col("text"))).cast("long")).join(both, "_d", "left").drop("_d")

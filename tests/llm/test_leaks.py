@@ -28,7 +28,7 @@ def matches(docs, items, window, slack, missing):
 
 
 def test_proximity(spark):
-    from quill.llm.leaks import MISSING, Index, proximity_matches, windows_of
+    from quill.llm.leaks import SLACK, Index, proximity_matches, windows_of
 
     item = "the quick brown fox jumps over a lazy dog while seven wizards box with care"
     docs = [
@@ -43,7 +43,7 @@ def test_proximity(spark):
     items = [(1, item), (2, "two words"), (3, None), (4, "seven wizards box with much care")]
     d, b = spark.createDataFrame(docs, "d int, text string"), spark.createDataFrame(items, "item_id int, text string")
     names = {r["w"]: " ".join(r["words"]) for r in windows_of(b).collect()}
-    got = {(r["d"], r["item_id"], names[r["w"]]): r["n_terms"] for r in proximity_matches(Index(d, b, missing=MISSING)).collect()}
+    got = {(r["d"], r["item_id"], names[r["w"]]): r["n_terms"] for r in proximity_matches(Index(d, b, slack=SLACK)).collect()}
     assert got == matches(docs, items, 10, 4, 2) and {k[0] for k in got} >= {1, 2, 3}
 
 
