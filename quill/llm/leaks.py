@@ -4,7 +4,7 @@ A benchmark window is ``WINDOW`` consecutive words of an item. Of each window th
 are rarest in the corpus are looked up: the index has (term, document, position) postings of those
 terms. Positions less the term's offset in the window are where the window would start; the starts
 that both lists give are compared word by word. Proximity matches start from the three rarest terms;
-64 bits beside every posting tell which words may lie around it, so that few places are compared.
+128 bits beside every posting tell which words may lie around it, so that few places are compared.
 """
 
 from __future__ import annotations
@@ -34,24 +34,31 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.select("item_id", F.sha1(F.array_join("words", " ")).alias("w"), "words").distinct()
 
 
-def _bit(term):
-    """One of 64 bits for a term."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(term), F.lit(64)).cast("int"))
+#: Sets of 64 bits for the words around a posting; every word has one bit in each.
+SETS = ("bits_0", "bits_1")
+
+
+def _bits(term) -> list:
+    """The bit of a term in each set, from unlike parts of one hash."""
+    h = F.xxhash64(term)
+    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")).alias(c) for k, c in enumerate(SETS)]
 
 
 def _surroundings(docs: DataFrame, reach: int) -> DataFrame:
-    """d, all (the words), around: for every word the bits of the words less than ``reach`` places away.
+    """d, all (the words), and for each set of bits an array: for every word those of the words less than ``reach`` places away.
 
     The bits of 2, 4, 8 ... words from each place on are those of half as many from there and from
     behind these; two such stretches that overlap make the width wanted.
     """
-    zeros = F.array_repeat(F.lit(0).cast("long"), reach - 1)
-    own = docs.select("d", words_of(F.col("text")).alias("all")).select("d", "all", F.concat(zeros, F.transform("all", _bit)).alias("around"))
+    none = F.lit(0).cast("long")
+    own = docs.select("d", words_of(F.col("text")).alias("all"))
+    each = lambda k: F.transform("all", lambda w: _bits(w)[k])
+    own = own.select("d", "all", *[F.concat(F.array_repeat(none, reach - 1), each(k)).alias(c) for k, c in enumerate(SETS)])
     width, wanted = 1, 2 * reach - 1
     while width < wanted:
         step = min(width, wanted - width)
-        behind = F.slice("around", step + 1, F.greatest(F.lit(0), F.size("around") - step))
-        own = own.select("d", "all", F.zip_with("around", behind, lambda x, y: x.bitwiseOR(F.coalesce(y, F.lit(0).cast("long")))).alias("around"))
+        behind = lambda c: F.slice(c, step + 1, F.greatest(F.lit(0), F.size(c) - step))  # noqa: B023, E731
+        own = own.select("d", "all", *[F.zip_with(c, behind(c), lambda x, y: x.bitwiseOR(F.coalesce(y, none))).alias(c) for c in SETS])
         width += step
     return own
 
@@ -61,20 +68,20 @@ def _postings(docs: DataFrame, terms: DataFrame, reach: int | None = None) -> Da
     if reach is None:
         placed = docs.select("d", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
     else:
-        each = _surroundings(docs, reach).select("d", F.posexplode(F.arrays_zip("all", F.slice("around", 1, F.size("all")).alias("around"))).alias("pos", "x"))
-        placed = each.select("d", "pos", F.col("x.all").alias("term"), F.col("x.around").alias("around"))
+        each = _surroundings(docs, reach).select("d", F.posexplode(F.arrays_zip("all", *[F.slice(c, 1, F.size("all")).alias(c) for c in SETS])).alias("pos", "x"))
+        placed = each.select("d", "pos", F.col("x.all").alias("term"), *[F.col(f"x.{c}").alias(f"around_{c}") for c in SETS])
     return placed.join(terms, "term")
 
 
 def _ranked(docs: DataFrame, windows: DataFrame, most: int) -> DataFrame:
-    """w, len, n_terms, bits (of its terms), rarest: of each window the ``most`` distinct terms (n in the corpus, term, first offset) that the corpus has least often."""
+    """w, len, n_terms, bits of its terms, rarest: of each window the ``most`` distinct terms (n in the corpus, term, first offset) that the corpus has least often."""
     placed = windows.select("w", "words").distinct().select("w", F.size("words").alias("len"), F.posexplode("words").alias("offset", "term"))
     vocabulary, _ = written(placed.select("term").distinct(), "vocabulary")
     counted = docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     counts, _ = written(counted, "term-counts")
     first = placed.groupBy("w", "len", "term").agg(F.min("offset").alias("offset"))
     terms = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")))
-    return first.join(counts, "term", "left").groupBy("w", "len").agg(F.count(F.lit(1)).alias("n_terms"), F.bit_or(_bit(F.col("term"))).alias("bits"), F.slice(terms, 1, most).alias("rarest"))
+    return first.join(counts, "term", "left").groupBy("w", "len").agg(F.count(F.lit(1)).alias("n_terms"), *[F.bit_or(x).alias(c) for c, x in zip(SETS, _bits(F.col("term")), strict=True)], F.slice(terms, 1, most).alias("rarest"))
 
 
 class Index:
@@ -93,8 +100,8 @@ class Index:
         self.anchors, _ = written(live.select("w", "len", F.col("one.term").alias("term"), F.col("one.offset").alias("offset"), F.col("two.term").alias("other"), F.col("two.offset").alias("other_offset")), "anchors")
         terms = self.anchors.select("term").union(self.anchors.where("other is not null").select(F.col("other").alias("term")))
         if slack is not None:
-            near = ranked.where(F.col("n_terms") > missing + 1).select("w", "bits", F.explode(F.slice("rarest", 1, missing + 1)).alias("r"))
-            self.near, _ = written(near.select("w", "bits", "r.term"), "near-anchors")
+            near = ranked.where(F.col("n_terms") > missing + 1).select("w", *SETS, F.explode(F.slice("rarest", 1, missing + 1)).alias("r"))
+            self.near, _ = written(near.select("w", *SETS, "r.term"), "near-anchors")
             terms = terms.union(self.near.select("term"))
         wanted, _ = written(terms.distinct(), "anchor-terms")
         self.postings, self.path = written(_postings(docs, wanted, self.reach), "postings")
@@ -123,14 +130,14 @@ def proximity_matches(index: Index) -> DataFrame:
     distinct terms of a window; of each window and document the run of most terms is given, of those
     the first. Windows of no more than ``missing + 1`` distinct terms match as phrases only. Every match
     has one of the ``missing + 1`` rarest terms of its window, so the postings of these are all its
-    candidates; those where the words around lack more than ``missing`` bits of the window's terms
-    are none, and for the others the words are compared.
+    candidates; those where the words around lack more than ``missing`` bits of the window's terms in
+    either set are none, and for the others the words are compared.
     """
     if index.reach is None:
         raise ValueError("an index for proximity matches is made with `slack`")
     missing, windows, reach = index.missing, index.windows, index.reach
     distinct = windows.select("w", F.array_distinct("words").alias("terms")).distinct().where(F.size("terms") > missing + 1)
-    lacking = F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not("around")))
+    lacking = F.greatest(*[F.bit_count(F.col(c).bitwiseAND(F.bitwise_not(f"around_{c}"))) for c in SETS])
     near, near_path = written(index.postings.join(index.near, "term").where(lacking <= missing).select("w", "d", "pos"), "near")
     texts = index.docs.join(near.select("d").distinct().hint("merge"), "d", "left_semi").select("d", words_of(F.col("text")).alias("all"))
     low = F.greatest(F.lit(0), F.col("pos") - reach + 1)
