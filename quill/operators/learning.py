@@ -26,11 +26,11 @@ def question_accuracy(answers: DataFrame, question: Column, prompt: str, positio
     return stats.withColumn("accuracy", F.when(F.col("answers") == 0, F.lit(0.0)).otherwise(F.round(100 * F.col("n_correct") / F.col("answers"), 2)))
 
 
-def shares(weights: DataFrame, by: str, weight: str, total: Column) -> DataFrame:
-    """Largest remainders: whole shares of a total in proportion to weights; ties go to the smaller key."""
+def shares(weights: DataFrame, by: str, weight: str, total: Column, within: tuple[str, ...] = ()) -> DataFrame:
+    """Largest remainders: whole shares of each part's total in proportion to weights; ties go to the smaller key."""
     exact = weights.withColumn("_exact", total * F.col(weight)).withColumn("share", F.floor("_exact"))
-    rank = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("_exact") - F.col("share"), 9)), by))
-    left = total - F.sum("share").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rank = F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(F.round(F.col("_exact") - F.col("share"), 9)), by))
+    left = total - F.sum("share").over(Window.partitionBy(*within))
     return exact.withColumn("_rank", rank).withColumn("share", (F.col("share") + F.when(F.col("_rank") <= left, 1).otherwise(0)).cast("long")).drop("_exact", "_rank")
 
 

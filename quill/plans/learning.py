@@ -124,15 +124,16 @@ def agg_paired_wins(spark, d):
     return pairs.groupBy("l_partkey").agg(count(F.col("x") < F.col("y")).alias("wins"), count(F.col("x") > F.col("y")).alias("losses"), count(F.col("x") == F.col("y")).alias("ties"))
 
 
-@PLANS.add("""WITH w(level, weight) AS (VALUES (1, 0.10), (2, 0.25), (3, 0.35), (4, 0.25), (5, 0.05)), t AS (SELECT unnest([10, 23, 40]) AS total),
-e AS (SELECT total, level, total * weight AS exact, floor(total * weight) AS base FROM w, t), r AS (SELECT *, row_number() OVER (PARTITION BY total ORDER BY round(exact - base, 9) DESC, level) AS rn, total - sum(base) OVER (PARTITION BY total) AS rest FROM e)
-SELECT total, level, (base + CASE WHEN rn <= rest THEN 1 ELSE 0 END)::BIGINT AS share FROM r""")
+@PLANS.add("""WITH w(level, weight) AS (VALUES (1, 0.10), (2, 0.25), (3, 0.35), (4, 0.25), (5, 0.05)), t AS (SELECT source, lang, count(*) AS total FROM documents GROUP BY source, lang),
+e AS (SELECT source, lang, total, level, total * weight AS exact, floor(total * weight) AS base FROM w, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY round(exact - base, 9) DESC, level) AS rn, total - sum(base) OVER (PARTITION BY source, lang) AS rest FROM e)
+SELECT source, lang, level, (base + CASE WHEN rn <= rest THEN 1 ELSE 0 END)::BIGINT AS share FROM r""")
 def win_largest_remainder(spark, d):
-    from functools import reduce
-
-    weights = spark.createDataFrame([(1, 0.10), (2, 0.25), (3, 0.35), (4, 0.25), (5, 0.05)], "level int, weight double")
-    parts = [L.shares(weights, "level", "weight", F.lit(n)).select(F.lit(n).alias("total"), "level", "share") for n in (10, 23, 40)]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """The documents of each source and language, shared out over five levels."""
+    level = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.lit(w).alias("weight")) for n, w in ((1, 0.10), (2, 0.25), (3, 0.35), (4, 0.25), (5, 0.05))])).alias("x")
+    totals = table(spark, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("total"))
+    weights = totals.select("source", "lang", "total", level).select("source", "lang", "total", "x.*")
+    return L.shares(weights, "level", "weight", F.col("total"), ("source", "lang")).select("source", "lang", "level", "share")
 
 
 @PLANS.add("""WITH k AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS k FROM part), p AS (SELECT *, row_number() OVER (ORDER BY k, p_type) AS place FROM k)
