@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quill.functions.recovered import recovered
+from quill.operators import export as E
 from quill.operators import related as R
 from quill.plans.base import Plans, table
+from quill.plans.strings import _SQUASHED
 
 PLANS = Plans()
 _PAGE = r"regexp_replace(regexp_replace(coalesce(html, ''), '<(script|style)[^>]*>[^<]*', ' ', 'g'), '<[^>]*>', ' ', 'g')"
@@ -105,3 +107,23 @@ def str_recovered_json(spark, d):
     read = rows.select("conv_id", recovered(whole, "questions").alias("r"))
     listed = F.json_array_length(F.get_json_object("r.json", "$.questions")).cast("long")
     return read.select("conv_id", "r.status", listed.alias("n_questions"), F.sha2("r.json", 256).alias("json_sha256"))
+
+
+@PLANS.add(rf"""WITH r AS (SELECT doc_id AS id, CASE WHEN substr(sha256(source), 1, 1) IN ('0', '1', '2') THEN 'test' ELSE 'train' END AS split, source, text, n_chars, length(text) AS now FROM documents),
+v AS (SELECT doc_id AS id, quality = 1 AND coalesce(toxic, 0) <> 1 AS approved FROM labels),
+j AS (SELECT id, source, text, CASE WHEN NOT coalesce(approved, false) THEN '{E.NOT_APPROVED}' WHEN split <> '{E.EXPORTED}' THEN 'protected_' || split WHEN n_chars IS NOT NULL AND n_chars IS DISTINCT FROM now THEN '{E.CHANGED}' END AS reason FROM r LEFT JOIN v USING (id)),
+t AS (SELECT id, source, reason, CASE WHEN reason IS NULL THEN regexp_replace(nfc_normalize({_SQUASHED.replace("text", "coalesce(text, '')")}), '[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_.-]+\.[A-Za-z]{{2,}}', '{E.ADDRESS}', 'g') END AS text FROM j),
+f AS (SELECT *, CASE WHEN reason IS NULL THEN min(id) OVER (PARTITION BY reason IS NULL, source, text) END AS first FROM t)
+SELECT id AS doc_id, CASE WHEN first <> id THEN '{E.DUPLICATE}' ELSE reason END AS reason, CASE WHEN first <> id THEN first END AS canonical_id, CASE WHEN first IS NULL OR first = id THEN sha256(text) END AS text_sha256 FROM f""")
+def cor_region_export(spark, d):
+    """Documents that their labels approve, outside of the sources held back and still as long as recorded; a later review takes toxic ones back."""
+    docs = table(spark, d, "documents")
+    split = F.when(F.substring(F.sha2("source", 256), 1, 1).isin("0", "1", "2"), "test").otherwise("train")
+    records = docs.select(F.col("doc_id").alias("id"), F.lit(1).alias("revision"), split.alias("split"), F.col("source").alias("pixels"), "n_chars", F.length("text").cast("long").alias("now"))
+    labels = table(spark, d, "labels")
+    first = labels.select(F.col("doc_id").alias("id"), F.lit(1).alias("seq"), F.when(F.col("quality") == 1, "approve").otherwise("reject").alias("decision"))
+    later = labels.where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit(2).alias("seq"), F.lit("reject").alias("decision"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    reviews = first.union(later).join(texts, "id").withColumns({"revision": F.lit(1), "verified": F.lit(True)})
+    found = E.region_export(records, reviews, [("n_chars", "now")])
+    return found.select(F.col("id").alias("doc_id"), "reason", "canonical_id", F.sha2("text", 256).alias("text_sha256"))
