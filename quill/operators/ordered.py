@@ -22,13 +22,15 @@ def totals_before(df: DataFrame, order: list[str], sizes: dict[str, Column], by:
     by = by or []
     held = {f"_size_{name}": size for name, size in sizes.items()}
     dealt = stored(df.withColumns(held).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    own = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ranges = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy("_part", *by).agg(*(F.sum(f"_size_{name}").alias(f"_n_{name}") for name in sizes))
-    base = sums.withColumns({f"_base_{name}": F.coalesce(F.sum(f"_n_{name}").over(ranges), F.lit(0)) for name in sizes}).drop(*(f"_n_{name}" for name in sizes))
-    met = dealt.alias("l").join(base.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in ["_part", *by]]).select("l.*", *(f"_base_{name}" for name in sizes))
-    out = met.withColumns({name: F.col(f"_base_{name}") + F.coalesce(F.sum(f"_size_{name}").over(own), F.lit(0)) for name in sizes})
-    return out.drop("_part", *(f"_size_{name}" for name in sizes), *(f"_base_{name}" for name in sizes))
+    sums = dealt.groupBy("_part", *by).agg(*(F.sum(name).alias(f"_n{name}") for name in held))
+    # what lies before a range stands as a row of its own before the range's rows: nothing is joined, and
+    # nothing is broadcast where groups are many
+    heads = sums.select("_part", *by, *(F.coalesce(F.sum(f"_n{name}").over(ranges), F.lit(0)).alias(name) for name in held), F.lit(0).alias("_row"))
+    rows = dealt.withColumn("_row", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    own = Window.partitionBy("_part", *by).orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({name: F.sum(f"_size_{name}").over(own) for name in sizes}).where("_row = 1")
+    return out.drop("_part", "_row", *held)
 
 
 def running(df: DataFrame, order: list[str], size: Column, name: str, by: list[str] | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ WIDTH = 12
 
 
 def tree_order(nodes: DataFrame, node: str, parent: str, order: str, by: list[str] | None = None) -> DataFrame:
-    """by, node, parent, depth, place: the nodes of each group in depth-first order, parents first, from 1.
+    """by, node, parent, order, depth, place: the nodes of each group in depth-first order, parents first, from 1.
 
     Siblings, and roots (null parent), come by ``order``, then ``node``. A path is a node's places
     among siblings, from its root on; each round puts before it the path of the ancestor where it
@@ -25,21 +25,21 @@ def tree_order(nodes: DataFrame, node: str, parent: str, order: str, by: list[st
     own = nodes.select(*dict.fromkeys([*by, node, parent, order]))
     ranked = numbered(own, [order, node], "_rank", [*by, parent])
     paths = ranked.select(*by, F.col(node).alias("_node"), F.col(parent).alias("_up"), F.lpad(F.col("_rank").cast("string"), WIDTH, "0").alias("_path"))
-    paths, rounds = stored(paths, "paths"), max(1, nodes.count()).bit_length() + 1
+    paths, rounds = stored(paths, "paths"), max(1, own.count()).bit_length() + 1
     for _ in range(rounds):
         open_ = paths.where("_up is not null")
         if open_.isEmpty():
             break
         # a missing ancestor leaves -1 behind it: nothing is above that, and no path is right
         above = paths.select(*by, F.col("_node").alias("_up"), F.col("_up").alias("_next"), F.col("_path").alias("_front"), F.lit(True).alias("_there"))
-        met = open_.alias("a").join(above.alias("b"), _same("a", "b", [*by, "_up"]), "left")
+        met = open_.alias("a").join(above.hint("merge").alias("b"), _same("a", "b", [*by, "_up"]), "left")
         moved = met.select(*(f"a.{n}" for n in [*by, "_node"]), F.col("b._next").alias("_up"), F.when(F.col("b._there"), F.concat("b._front", "a._path")).alias("_path"))
         paths = stored(paths.where("_up is null").unionByName(moved), "paths")
     # after so many rounds whatever still has something above it is on a cycle or below one
     told = paths.select(*by, F.col("_node").alias(node), F.when(F.col("_up").isNull(), F.col("_path")).alias("_path"))
-    rows = own.alias("a").join(told.alias("b"), _same("a", "b", [*by, node])).select("a.*", "b._path")
+    rows = own.alias("a").join(told.hint("merge").alias("b"), _same("a", "b", [*by, node])).select("a.*", "b._path")
     rows = rows.withColumns({"depth": (F.length("_path") / WIDTH).cast("long"), "_last": F.col("_path").isNull(), "_order": F.when(F.col("_path").isNull(), F.col(order))})
-    return numbered(rows, ["_last", "_path", "_order", node], "place", by).select(*by, node, parent, "depth", "place")
+    return numbered(rows, ["_last", "_path", "_order", node], "place", by).select(*dict.fromkeys([*by, node, parent, order]), "depth", "place")
 
 
 #: Elements that have no content.

@@ -150,8 +150,7 @@ SELECT page_id, node, parent, name, depth, row_number() OVER (PARTITION BY page_
 def src_document_tree(spark, d):
     """The elements of each page in depth-first order, siblings by name, with their depths."""
     nodes = X.elements(table(spark, d, "pages"), "page_id", "html")
-    placed = X.tree_order(nodes, "node", "parent", "name", ["page_id"]).drop("name")
-    return placed.join(nodes.select("page_id", "node", "name"), ["page_id", "node"]).select("page_id", "node", "parent", "name", "depth", "place")
+    return X.tree_order(nodes, "node", "parent", "name", ["page_id"]).select("page_id", "node", "parent", "name", "depth", "place")
 
 
 def _tokens_file():

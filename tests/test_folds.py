@@ -168,3 +168,18 @@ def test_elements_of_a_page(spark):
     got = elements(spark.createDataFrame([(1, html), (2, None)], "k int, h string"), "k", "h").orderBy("node").collect()
     names = {r["node"]: r["name"] for r in got}
     assert [(r["name"], names.get(r["parent"])) for r in got] == [("div", None), ("p", "div"), ("br", "p"), ("ul", "div"), ("li", "ul"), ("li", "ul"), ("p", None)]
+
+
+def test_order_and_trees_broadcast_nothing(spark):
+    """Groups are as many as rows: what stands before a range must not be sent to all as a whole."""
+    from quill.operators.ordered import numbered
+    from quill.operators.trees import tree_order
+
+    rows = spark.createDataFrame([(k % 7, k // 2, k) for k in range(40)], "g long, p long, v long")
+    placed = numbered(rows, ["v"], "n", ["g", "p"])
+    nodes = spark.createDataFrame([(1, 0, None, "a"), (1, 1, 0, "b"), (1, 2, 0, "a")], "g long, node long, parent long, name string")
+    tree = tree_order(nodes, "node", "parent", "name", ["g"])
+    for df in (placed, tree):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r["node"], r["name"], r["place"]) for r in tree.orderBy("place").collect()] == [(0, "a", 1), (2, "a", 2), (1, "b", 3)]
+    assert sorted((r["v"], r["n"]) for r in placed.collect()) == [(k, 1 if k % 2 == 0 or (k - 1) % 7 != k % 7 else 2) for k in range(40)]
