@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from quill.functions.batches import by_slices
 
 
 def _pairs(pairs):
@@ -28,6 +32,11 @@ def checked(text: str | None) -> str | None:
     return None
 
 
+@F.arrow_udf(StringType())
+def _error(value: pa.Array) -> pa.Array:
+    return by_slices(checked, pa.string(), value)
+
+
 def scanned(spark: SparkSession, path: str) -> DataFrame:
     """file, line, value, error: one row per line that is not blank.
 
@@ -41,7 +50,7 @@ def scanned(spark: SparkSession, path: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lines = read.join(blocks.withColumn("before", before), ["file", "block"]).withColumn("line", F.col("before") + F.col("at") - F.col("first") + 1)
     plain = F.regexp_replace(F.when(F.col("line") == 1, F.regexp_replace("value", "^\\x{FEFF}", "")).otherwise(F.col("value")), "\r$", "")
-    return lines.select("file", "line", plain.alias("value")).where(F.trim("value") != "").withColumn("error", F.udf(checked, "string", useArrow=True)("value"))
+    return lines.select("file", "line", plain.alias("value")).where(F.trim("value") != "").withColumn("error", _error("value"))
 
 
 def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
