@@ -135,15 +135,28 @@ def arr_pad_batch(spark, d):
     return rows.select("doc_id", "batch", "width", F.array_join(padded, ",").alias("padded"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).cast("long").alias("attended"))
 
 
+def slots_checked(requests, results):
+    """l_orderkey, twice, unexpected, missing of results (l_orderkey, slot), where each request (l_orderkey) has the slots 1 to 4.
+
+    Requests are counted, not expanded into slots, and results are dealt by request once: both sums of
+    them are made where they are then. A null key is no one's.
+    """
+    got = results.repartition("l_orderkey").groupBy("l_orderkey", "slot").agg(F.count(F.lit(1)).alias("n"))
+    rows = got.select("l_orderkey", "slot", "n", F.lit(0).cast("long").alias("asked"))
+    own = requests.select("l_orderkey", F.lit(None).cast("int").alias("slot"), F.lit(None).cast("long").alias("n"), F.lit(1).cast("long").alias("asked"))
+    planned = F.coalesce(F.col("slot").between(1, 4), F.lit(False)) & F.col("l_orderkey").isNotNull()
+    result = F.col("n").isNotNull()
+    sums = rows.unionByName(own).groupBy("l_orderkey").agg(F.bool_or(F.coalesce(F.col("n") > 1, F.lit(False))).alias("twice"), F.count_if(result).alias("_all"), F.count_if(result & planned).alias("_met"), F.sum("asked").alias("_asked"))
+    beyond = F.col("_all") > F.when(F.col("_asked") > 0, F.col("_met")).otherwise(0)
+    return sums.select("l_orderkey", "twice", beyond.alias("unexpected"), (F.col("_asked") * (4 - F.col("_met"))).alias("missing"))
+
+
 @PLANS.add("""WITH r AS (SELECT l_orderkey, l_linenumber AS slot, count(*) AS n FROM lineitem GROUP BY 1, 2), p AS (SELECT o_orderkey AS l_orderkey, unnest([1, 2, 3, 4]) AS slot FROM orders),
 j AS (SELECT coalesce(p.l_orderkey, r.l_orderkey) AS l_orderkey, coalesce(p.slot, r.slot) AS slot, p.slot IS NULL AS unexpected, r.slot IS NULL AS missing, coalesce(n, 0) > 1 AS twice FROM p FULL JOIN r ON p.l_orderkey = r.l_orderkey AND p.slot = r.slot)
 SELECT l_orderkey, bool_or(twice) AS twice, bool_or(unexpected) AS unexpected, count(*) FILTER (WHERE missing) AS missing FROM j GROUP BY 1""")
 def arr_slot_order(spark, d):
     """Results against the planned slots of each request: repeated, unexpected and missing ones."""
-    got = table(spark, d, "lineitem").groupBy(F.col("l_orderkey"), F.col("l_linenumber").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    plan = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.array(*(F.lit(k) for k in (1, 2, 3, 4)))).alias("slot")).withColumn("planned", F.lit(True))
-    both = plan.join(got, ["l_orderkey", "slot"], "full")
-    return both.groupBy("l_orderkey").agg(F.bool_or(F.coalesce("n", F.lit(0)) > 1).alias("twice"), F.bool_or(F.col("planned").isNull()).alias("unexpected"), _count(F.col("n").isNull()).alias("missing"))
+    return slots_checked(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("slot")))
 
 
 @PLANS.add("""WITH r AS (SELECT p_partkey, p_size, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part)
