@@ -8,6 +8,7 @@ from quill.functions.text import tokens
 from quill.operators import context as X
 from quill.operators import retrieval as R
 from quill.plans.base import Plans, table
+from quill.session import stored
 
 PLANS = Plans()
 _VEC = """v AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, q.label AS ql, c.label AS cl,
@@ -105,14 +106,16 @@ def _chunked(spark, d):
 
 def _hybrid(spark, d, k=12):
     """Lists by words and by vectors, fused, the first ones in the order of another score."""
+    # every search and context reads the chunks: they are cut once
     chunks = _chunked(spark, d)
+    chunks = stored(chunks.withColumn("terms", tokens(F.col("text"))), "chunks")
     q = table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("terms"))
-    by_words = R.bm25_top(q, chunks.select("chunk_id", tokens(F.col("text")).alias("terms")), 30)
+    by_words = R.bm25_top(q, chunks.select("chunk_id", "terms"), 30)
     vectors, corpus = _vectors(spark, d)
     corpus = corpus.select(F.concat(F.col("chunk_id").cast("string"), F.lit("-0")).alias("chunk_id"), "vector")
     by_vectors = R.vector_top(vectors, corpus, 30, 0.25)
     ranked = R.reranked(R.fused(by_words, by_vectors), F.pmod(F.xxhash64("chunk_id"), F.lit(97)))
-    return ranked.select("query_id", "chunk_id", F.col("new_rank").alias("rank")).where(F.col("rank") <= k), chunks
+    return ranked.select("query_id", "chunk_id", F.col("new_rank").alias("rank")).where(F.col("rank") <= k), chunks.drop("terms")
 
 
 @PLANS.add()
