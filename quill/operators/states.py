@@ -97,9 +97,12 @@ def exam_items(lines: DataFrame, order: list[str], by: list[str], line: str = "l
     ("ANSWER: B" or "ANSWER: A, C") and all of them are labels; otherwise it is quarantined with the
     first reason that holds. Texts of an option go on over the lines without a label.
     """
-    rows = lines.withColumn("_symbol", exam_symbol(F.col(line)))
+    # the scan moves numbers alone: texts are stored once and come back by their number
+    kept = stored(lines.select(*dict.fromkeys([*by, *order, line])).withColumn("_id", F.monotonically_increasing_id()), "lines")
+    rows = kept.select(*dict.fromkeys([*by, *order]), "_id", exam_symbol(F.col(line)).alias("_symbol"))
     states = scan_states(rows, order, "_symbol", exam_moves(), PROMPT, by, block)
     keyed = totals_before(states, ["pos"], {"item": (F.col("_symbol") == ANSWER).cast("long")}, by)
+    keyed = keyed.select(*by, "_id", "pos", "_symbol", "before", "item").join(kept.select("_id", line).hint("merge"), "_id")
     ended = F.max((F.col("_symbol") == ANSWER).cast("int"))
     part = F.struct("pos", F.when(F.col("_symbol").between(1, len(LABELS)), F.col("_symbol")).alias("label"), F.regexp_replace(F.btrim(F.regexp_replace(line, r"^\s*[A-H][.)]\s*(?=\S)", ""), F.lit(" \t\n\x0b\x0c\r")), r"\s+", " ").alias("text"), F.regexp_replace(F.btrim(F.col(line), F.lit(" \t\n\x0b\x0c\r")), r"\s+", " ").alias("whole"))
     items = keyed.groupBy(*by, "item").agg(
