@@ -9,6 +9,7 @@ walks its part of the path. No task holds more than a block, one group may hold
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -56,22 +57,47 @@ def reach_of_distinct(placed: DataFrame, by: list[str], items: str, budget: int,
     return spent.where(F.col("spent") > budget).groupBy(*by, "begin").agg(F.min("pos").alias("reach")).select(*by, F.col("begin").alias("pos"), "reach")
 
 
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where groups begin: positions have no gaps in a group's block, and every block begins with its first one."""
+    pos, block = (rows.column(c).to_numpy() for c in ("pos", "_block"))
+    return np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1] + 1) | (block[1:] != block[:-1])]))
+
+
+def _over_blocks(rows: DataFrame, by: list[str], done: Callable[[pa.Table, np.ndarray], pa.Table], schema: T.StructType) -> DataFrame:
+    """``done`` of whole blocks in the order of positions, with where each begins: many small ones at once, held until the next begins."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in it:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            starts = _starts(rows)
+            held = rows.slice(int(starts[-1]))
+            if len(starts) > 1:
+                yield from done(rows.slice(0, int(starts[-1])), starts[:-1]).combine_chunks().to_batches()
+        if held is not None:
+            yield from done(held, _starts(held)).combine_chunks().to_batches()
+
+    return rows.repartition(*by, "_block").sortWithinPartitions(*by, "_block", "pos").mapInArrow(batches, schema)
+
+
 def _exits(blocks: DataFrame, by: list[str], block: int) -> DataFrame:
     """by, pos, exit: where the path from each row first leaves its block."""
     kept = [blocks.schema[n] for n in by]
     schema = T.StructType([*kept, T.StructField("pos", T.LongType()), T.StructField("exit", T.LongType())])
 
-    def composed(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("pos").to_numpy())
-        pos, step = (table.column(c).to_numpy()[order] for c in ("pos", "next"))
-        first, out = int(pos[0]), step.tolist()
-        end = first + len(out)
-        for k in range(len(out) - 1, -1, -1):
-            if out[k] < end:
-                out[k] = out[out[k] - first]
-        return pa.Table.from_arrays([*(table.column(n) for n in by), pa.array(pos), pa.array(out, pa.int64())], names=schema.names)
+    def composed(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        pos, step = (table.column(c).to_numpy() for c in ("pos", "next"))
+        n = len(pos)
+        end = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))).tolist()
+        out, to = step.tolist(), (np.arange(n) + step - pos).tolist()
+        for k in range(n - 1, -1, -1):
+            if to[k] < end[k]:
+                out[k] = out[to[k]]
+        return pa.Table.from_arrays([*(table.column(n) for n in by), table.column("pos"), pa.array(out, pa.int64())], names=schema.names)
 
-    return blocks.groupBy(*by, "_block").applyInArrow(composed, schema)
+    return _over_blocks(blocks, by, composed, schema)
 
 
 def _reached(exits: DataFrame, by: list[str]) -> DataFrame:
@@ -99,19 +125,21 @@ def _walked(blocks: DataFrame, entries: DataFrame, by: list[str], block: int) ->
     entered = entries.withColumns({"_block": F.floor(F.col("pos") / block), "_entry": F.col("pos")}).drop("pos")
     rows = blocks.alias("a").join(entered.alias("b"), _same("a", "b", [*by, "_block"]), "left").select(*(f"a.{n}" for n in [*by, "_block", "pos", "next"]), "b._entry")
 
-    def walk(table: pa.Table) -> pa.Table:
+    def walk(table: pa.Table, starts: np.ndarray) -> pa.Table:
         pos, step = (table.column(c).to_numpy() for c in ("pos", "next"))
-        order = np.argsort(pos)
-        first, after = int(pos[order[0]]), step[order].tolist()
-        begins, at = np.zeros(len(after), np.int64), table.column("_entry")[0].as_py()
-        while at is not None and at < first + len(after):
-            begins[at - first] = 1
-            at = after[at - first]
-        local = np.empty(len(after), np.int64)
-        local[order] = np.cumsum(begins)
+        n, entry = len(pos), table.column("_entry")
+        to, begins = (np.arange(n) + step - pos).tolist(), np.zeros(n, np.int64)
+        ends = np.append(starts[1:], n)
+        for start, stop, at in zip(starts.tolist(), ends.tolist(), entry.take(pa.array(starts)).to_pylist(), strict=True):
+            at = stop if at is None else start + at - int(pos[start])
+            while at < stop:
+                begins[at] = 1
+                at = to[at]
+        total = np.cumsum(begins)
+        local = total - np.repeat(total[starts] - begins[starts], ends - starts)
         return table.select(schema.names[:-1]).append_column("_local", pa.array(local))
 
-    return rows.groupBy(*by, "_block").applyInArrow(walk, schema)
+    return _over_blocks(rows, by, walk, schema)
 
 
 def batches_by_reach(placed: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
