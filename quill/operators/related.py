@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegralType
 
+from quill.functions.nearest import nearest
 from quill.operators.fields import weighted_top
-from quill.session import stored
+from quill.session import bucketed, stored
 
 #: A related text is at most this like the asked one, and less than this like any other that is chosen.
 MOST_LIKE, APART, RELATED = 0.72, 0.8, 3
+#: Rows found for an asked one in each block and round; blocks that terms are spread over where each has so many, and terms of a block at most.
+NEAREST, SPREAD, SPREAD_TERMS, BLOCK_TERMS = 8, 8, 1 << 20, 1 << 24
 #: Longest terms that are searched, results looked at, terms and share of them that a context has at least.
 SEARCHED, LOOKED_AT, LEAST_TERMS, LEAST_COVERAGE = 45, 15, 3, 0.08
 #: Contexts of a question and their code points in all.
@@ -21,12 +28,19 @@ def name_likeness(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def _overlaps(asked: DataFrame, pool: DataFrame, part: str) -> DataFrame:
-    """query_id, key, likeness: rows of ``pool`` that share a term with one of ``asked`` in its part, by the Jaccard similarity of terms."""
-    a = asked.select("query_id", part, F.size("terms").alias("na"), F.explode("terms").alias("term"))
-    b = pool.select("key", part, F.size("terms").alias("nb"), F.explode("terms").alias("term"))
-    both = a.join(b, [part, "term"]).groupBy("query_id", "key", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
-    return both.select("query_id", "key", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("likeness"))
+def _distinct(found: DataFrame, n: int) -> DataFrame:
+    """query_id, have, chosen: of each asked row's ``ranked`` those that are unlike all taken before, as long as it ``have`` fewer than ``n``."""
+
+    def like(a: Column, b: Column) -> Column:
+        both = F.size(F.array_intersect(a, b))
+        return both / (F.size(a) + F.size(b) - both)
+
+    def step(held: Column, x: Column) -> Column:
+        alike = F.exists(held, lambda c: (like(c["terms"], x["terms"]) >= APART) | (name_likeness(c["name"], x["name"]) >= APART))
+        return F.when((F.size(held) + F.col("have") < n) & ~alike, F.array_append(held, x)).otherwise(held)
+
+    kind = found.schema["ranked"].dataType.simpleString()
+    return found.withColumn("chosen", F.aggregate("ranked", F.expr("array()").cast(kind), step)).drop("ranked")
 
 
 def distinct_related(rows: DataFrame, asked: Column, part: str, n: int = RELATED) -> DataFrame:
@@ -40,34 +54,74 @@ def distinct_related(rows: DataFrame, asked: Column, part: str, n: int = RELATED
     contained in every other), null places
     are last.
 
-    Every round takes the best row left for each asked one and drops what is like it, so that no group
-    of candidates is ever held together: rows of candidates have ids and numbers, partial maxima precede the shuffle.
+    Rows are dealt into blocks, once, and every block meets the asked rows of its part: terms, as 64-bit
+    hashes, are counted there, all pairs of them, and only the ``NEAREST`` rows of each block that are unlike the asked
+    one and those chosen before leave it. The best of these is always chosen, so ``n`` rounds at most are
+    made, later ones for asked rows whose ``NEAREST`` were too alike. No row is made for a pair.
     """
-    clean = rows.select("key", part, "place", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("terms", F.expr("array()").cast("array<string>")).alias("terms"))
-    pool = stored(clean, "related-pool")
-    queries = pool.where(asked).withColumnRenamed("key", "query_id")
-    names = pool.select("key", "name", "place")
-    met = _overlaps(queries, pool, part).where((F.col("query_id") != F.col("key")) & (F.col("likeness") <= MOST_LIKE))
-    own = queries.select("query_id", F.col("name").alias("own"), F.col("place").alias("at"))
-    named = met.join(names, "key").join(own, "query_id")
-    differs = ~F.contains("name", F.col("own")) & ~F.contains("own", F.col("name")) & (name_likeness(F.col("name"), F.col("own")) < APART)
-    order = F.struct("likeness", (-F.abs(F.col("place") - F.col("at"))).alias("near"), F.sha2(F.col("key").cast("string"), 256).alias("tie"))
-    left = stored(named.where(differs).select("query_id", "key", order.alias("order")), "related")
+    integral = isinstance(rows.schema["place"].dataType, IntegralType)
+    name, terms = F.coalesce("name", F.lit("")), F.transform("terms", lambda t: F.xxhash64(t))
+    clean = rows.select("key", part, F.col("place").cast("long" if integral else "double").alias("place"), name.alias("name"), terms.alias("terms"), F.coalesce(asked, F.lit(False)).alias("asked"))
+    # a row without terms shares none, one without a name is contained in every other
+    pool = stored(clean.where((F.size("terms") > 0) & (F.col("name") != "") & F.col(part).isNotNull()), "related-pool")
+    total = pool.agg(F.sum(F.size("terms"))).first()[0] or 0
+    blocks = max(min(SPREAD, -(-total // SPREAD_TERMS)), -(-total // BLOCK_TERMS), 1)
+    dealt = pool.drop("asked").withColumns({"block": F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"), "tie": F.unhex(F.sha2(F.col("key").cast("string"), 256))})
+    block = bucketed(dealt, "related", 8 * blocks, part, "block")
+    key, at = pool.schema["key"].dataType.simpleString(), pool.schema["place"].dataType.simpleString()
+    open_ = pool.where("asked").select(F.col("key").alias("query_id"), F.lit(0).alias("slot"), part, "place", "name", "terms")
     chosen = None
-    for rank in range(1, n + 1):
-        best = stored(left.groupBy("query_id").agg(F.max_by("key", "order").alias("key")).withColumn("rank", F.lit(rank).cast("long")), "related-best")
-        chosen = best if chosen is None else chosen.union(best)
-        if rank < n:
-            picked = best.join(pool, "key").select("query_id", part, "terms", F.col("name").alias("own"))
-            like = _overlaps(picked, pool, part).where(F.col("likeness") >= APART).select("query_id", "key")
-            apart = left.join(picked.select("query_id", "own"), "query_id").join(names.select("key", "name"), "key")
-            apart = apart.where(name_likeness(F.col("name"), F.col("own")) < APART).select("query_id", "key", "order")
-            done = best.select("query_id", "key")  # rows without terms are like nothing, themselves included
-            left = stored(apart.join(like.union(done), ["query_id", "key"], "left_anti"), "related")
+    for _ in range(n):
+        best = stored(_best_of_blocks(block, open_, part, blocks, f"query_id {key}, {part} {pool.schema[part].dataType.simpleString()}, block int, key {key}, likeness double, near {at}"), "related-best")
+        told = best.groupBy(part, "block").cogroup(block.groupBy(part, "block")).applyInArrow(_told, T.StructType([*best.schema.fields, pool.schema["name"], pool.schema["terms"]]))
+        ranked = F.sort_array(F.collect_list(F.struct("rank", "key", "name", "terms")))
+        had = open_.groupBy("query_id", part).agg(F.max("slot").alias("have"))
+        lists = told.groupBy("query_id").agg(ranked.alias("ranked"), F.max("more").alias("more")).join(had, "query_id")
+        new = stored(_distinct(lists, n), "related-chosen")
+        put = new.select("query_id", part, "have", "more", F.size("chosen").alias("got"), F.posexplode("chosen").alias("pos", "c"))
+        put = put.select("query_id", (F.col("have") + F.col("pos") + 1).alias("slot"), part, "c.key", "c.name", "c.terms", ((F.col("have") + F.col("got") < n) & F.col("more")).alias("open"))
+        picked = put.select("query_id", F.col("slot").cast("long").alias("rank"), "key")
+        chosen = picked if chosen is None else chosen.union(picked)
+        left = put.where("open")
+        again = open_.join(left.select("query_id").distinct(), "query_id", "left_semi")
+        open_ = stored(again.unionByName(left.select("query_id", "slot", part, F.lit(None).cast(at).alias("place"), "name", "terms")), "related-open")
+        if open_.isEmpty():
+            break
     whole = chosen.groupBy("query_id").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") == n)
     return chosen.join(whole.select("query_id"), "query_id", "left_semi").select("query_id", "rank", "key")
 
 
+def _best_of_blocks(block: DataFrame, asked: DataFrame, part: str, blocks: int, kinds: str) -> DataFrame:
+    """query_id, part, block, key, rank, more: the ``NEAREST`` rows for each of ``asked``, and whether there may be others."""
+
+    def met(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not mine.num_rows or not theirs.num_rows:
+            return schema.empty_table()
+        found = nearest(mine, theirs, NEAREST, MOST_LIKE, APART)
+        here = {c: pa.array([mine.column(c)[0].as_py()] * found.num_rows, schema.field(c).type) for c in (part, "block")}
+        return pa.table({c: here.get(c, found.column(c) if c in found.column_names else None) for c in schema.names}, schema=schema)
+
+    schema = to_arrow_schema(T.StructType.fromDDL(kinds))
+    # asked rows that a block meets at once are bounded too; more than one turn takes millions of them
+    turns = max(1, -(-(asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // BLOCK_TERMS))
+    copies = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = None
+    for turn in range(turns):
+        own = copies if turns == 1 else copies.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn)
+        new = block.groupBy(part, "block").cogroup(own.groupBy(part, "block")).applyInArrow(met, kinds)
+        found = new if found is None else found.unionByName(new)
+    order = Window.partitionBy("query_id").orderBy(F.desc("likeness"), F.desc_nulls_last("near"), F.desc(F.sha2(F.col("key").cast("string"), 256)))
+    ranked = found.withColumns({"rank": F.row_number().over(order), "more": F.count(F.lit(1)).over(Window.partitionBy("query_id")) >= NEAREST})
+    return ranked.where(F.col("rank") <= NEAREST).drop("likeness", "near")
+
+
+def _told(found: pa.Table, block: pa.Table) -> pa.Table:
+    """Names and terms of the rows of a block that were found."""
+    place = {k: i for i, k in enumerate(block.column("key").to_pylist())} if found.num_rows else {}
+    at = pa.array([place[k] for k in found.column("key").to_pylist()], pa.int64())
+    return found.append_column("name", block.column("name").take(at)).append_column("terms", block.column("terms").take(at))
+
+
 def expanded(rows: DataFrame, key: list[str], glossary: DataFrame) -> DataFrame:
     """key, term, distinct: the ``terms`` of each row and what the glossary (a, b) has for them, either way; once, not on and on."""
     own = rows.select(*key, F.explode(F.array_distinct("terms")).alias("term"))

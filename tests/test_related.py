@@ -108,3 +108,38 @@ def test_glossary_contexts(spark):
     got = {tuple(r)[:5] for r in R.glossary_contexts(q, c, g, "part").collect()}
     assert got == plain_contexts(queries, corpus, glossary) and {r[2] for r in got} == {1, 2}
     assert R.glossary_contexts(q, c, g.limit(0), "part").count() > 0 and R.glossary_contexts(q, c.limit(0), g, "part").count() == 0
+
+
+def test_related_rows_of_blocks(spark, monkeypatch):
+    """Many blocks, pieces of few places, groups of near copies that outnumber what a block gives; no row for a pair."""
+    from quill.functions import nearest as N
+
+    rng, rows = random.Random(8), []
+    words = [f"w{i}" for i in range(60)]
+    for k in range(240):
+        base = rng.choice(rows) if rows and rng.random() < 0.5 else None
+        terms = [t for t in base[4] if rng.random() < 0.97] if base else rng.sample(words, rng.randint(4, 30))
+        rows.append((k, rng.choice("uv"), rng.choice([None, k]), "".join(rng.choices("klmnopq", k=rng.randint(3, 14))), terms))
+    rows += [(300 + k, "u", k, "".join(rng.choices("abcdefgh", k=9)), words[:30]) for k in range(60)]
+    rows += [(400 + k, "u", k, f"one site, page {k:03}", words[5:30]) for k in range(60)]
+    for name, value in {"BITS": 64, "STRIP": 7, "CELLS": 200, "PLACES": 50, "CHARS": 90, "WAITING": 100}.items():
+        monkeypatch.setattr(N, name, value)
+    for name, value in {"NEAREST": 2, "SPREAD_TERMS": 1200}.items():
+        monkeypatch.setattr(R, name, value)
+    kept = []
+    monkeypatch.setattr(R, "stored", lambda df, what, f=R.stored: (kept.append((what, f(df, what))), kept[-1][1])[1])
+    df = spark.createDataFrame(rows, KIND)
+    got = {tuple(r) for r in R.distinct_related(df, R.F.col("key") % 3 == 0, "part").collect()}
+    assert got == plain_related(rows, 3) and len(got) > 150
+    asked = sum(k % 3 == 0 for k, *_ in rows)
+    assert len([w for w, _ in kept if w == "related-best"]) == 3
+    assert all(t.count() <= 3 * asked for w, t in kept if w != "related-pool")
+
+
+def test_edits_of_pairs():
+    from quill.functions import nearest as N
+
+    rng = random.Random(2)
+    a, b = ([rng.choice(["", "é", "x" * 40, "".join(rng.choices("abcé😀", k=rng.randint(0, 12)))]) for _ in range(300)] for _ in range(2))
+    assert N.edits(a, b).tolist() == [lev(x, y) for x, y in zip(a, b, strict=True)] and N.edits([], []).tolist() == []
+    assert N.names_differ(a, b, 0.8).tolist() == [names(x, y) < 0.8 for x, y in zip(a, b, strict=True)]
