@@ -5,10 +5,13 @@ are rarest in the corpus are looked up: the index has (term, document, position)
 terms. Positions less the term's offset in the window are where the window would start; the starts
 that both lists give are compared word by word. Proximity matches start from the three rarest terms;
 64 bits beside every posting tell which words may lie around it, so that few places are compared.
+Where there are such bits, they stand in for the second list of phrases too.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +21,15 @@ WINDOW = 10
 #: A proximity match may have so many other words in it, and lack so many terms of the window.
 SLACK, MISSING = 4, 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What lies between words, once A-Z are in lower case.
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words, each character by itself: a table look-up to the regular expression, where ranges are comparisons.
+BETWEEN = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 
 
 def words_of(text):
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN, -1), lambda w: w != "")
+    text = F.coalesce(text, F.lit(""))
+    # of ASCII alone, lower() changes A-Z alone, and takes far less time than translate()
+    lower = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.array_remove(F.split(lower, BETWEEN, -1), "")
 
 
 def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -39,6 +45,11 @@ def _bit(term):
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(term), F.lit(64)).cast("int"))
 
 
+def _lacking():
+    """How many bits of a window's terms the words around a posting lack."""
+    return F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not("around")))
+
+
 def _surroundings(docs: DataFrame, reach: int) -> DataFrame:
     """d, all (the words), around: for every word the bits of the words less than ``reach`` places away.
 
@@ -89,31 +100,58 @@ class Index:
         self.windows, _ = written(windows_of(benchmark, window), "windows")
         ranked, _ = written(_ranked(docs, self.windows, 2 if slack is None else max(2, missing + 1)), "ranked")
         # a window with a term that the corpus lacks occurs nowhere
-        live = ranked.where(F.col("rarest")[0]["n"] > 0).select("w", "len", F.col("rarest")[0].alias("one"), F.when(F.size("rarest") > 1, F.col("rarest")[1]).alias("two"))
-        self.anchors, _ = written(live.select("w", "len", F.col("one.term").alias("term"), F.col("one.offset").alias("offset"), F.col("two.term").alias("other"), F.col("two.offset").alias("other_offset")), "anchors")
-        terms = self.anchors.select("term").union(self.anchors.where("other is not null").select(F.col("other").alias("term")))
-        if slack is not None:
+        live = ranked.where(F.col("rarest")[0]["n"] > 0).select("w", "len", "bits", F.col("rarest")[0].alias("one"), F.when(F.size("rarest") > 1, F.col("rarest")[1]).alias("two"))
+        self.anchors, _ = written(live.select("w", "len", "bits", F.col("one.term").alias("term"), F.col("one.offset").alias("offset"), F.col("two.term").alias("other"), F.col("two.offset").alias("other_offset")), "anchors")
+        terms = self.anchors.select("term")
+        if slack is None:
+            terms = terms.union(self.anchors.where("other is not null").select(F.col("other").alias("term")))
+        else:
             near = ranked.where(F.col("n_terms") > missing + 1).select("w", "bits", F.explode(F.slice("rarest", 1, missing + 1)).alias("r"))
             self.near, _ = written(near.select("w", "bits", "r.term"), "near-anchors")
             terms = terms.union(self.near.select("term"))
         wanted, _ = written(terms.distinct(), "anchor-terms")
         self.postings, self.path = written(_postings(docs, wanted, self.reach), "postings")
 
+    def _starts(self) -> DataFrame:
+        """d, w, at, len: places where windows may start."""
+        first = self.postings.join(self.anchors, "term").withColumns({"at": F.col("pos") - F.col("offset"), "pos": F.col("pos") - F.col("offset") + F.col("other_offset")}).where("at >= 0")
+        if self.reach is not None:
+            return first.where(_lacking() == 0).select("d", "w", "at", "len").distinct()
+        first = first.select("d", "w", "at", "len", "other", "pos")
+        second = self.postings.select("d", "pos", F.col("term").alias("other")).join(self.anchors.select("other").distinct(), "other", "left_semi")
+        both = first.where("other is not null").join(second, ["d", "pos", "other"]).unionByName(first.where("other is null"))
+        return both.select("d", "w", "at", "len").distinct()
+
+    @functools.cached_property
+    def compared(self) -> DataFrame:
+        """d, w, at, len: where a window of ``len`` words starts. Without len, around places that have all but ``missing`` of a window's n terms: low, n, around (the words there by their places among the terms, others 0)."""
+        places = self._starts()
+        if self.reach is not None:
+            near = self.postings.join(self.near, "term").where(_lacking() <= self.missing)
+            places = places.unionByName(near.select("d", "w", F.col("pos").alias("at")), allowMissingColumns=True)
+        places, path = written(places, "places")
+        # the documents with places grow with the corpus: sort and merge at every size, never a broadcast
+        texts = self.docs.join(places.select("d").distinct().hint("merge"), "d", "left_semi").select("d", words_of(F.col("text")).alias("all"))
+        reach, low = self.reach or 1, F.greatest(F.lit(0), F.col("at") - (self.reach or 1) + 1)
+        words = self.windows.select("w", "words", F.array_distinct("words").alias("terms")).distinct()
+        told = places.join(words, "w").join(texts.hint("merge"), "d").withColumn("low", low)
+        told = told.withColumn("around", F.when(F.col("len").isNull(), F.slice("all", F.col("low") + 1, F.col("at") - F.col("low") + reach)))
+        same = F.slice("all", F.col("at") + 1, F.col("len")) == F.col("words")
+        close = F.size(F.array_intersect("around", "terms")) >= F.size("terms") - self.missing
+        found = told.where(F.when(F.col("len").isNull(), close).otherwise(same))
+        found = found.select("d", "w", "at", "len", "low", F.size("terms").alias("n"), F.transform("around", lambda x: F.array_position("terms", x)).alias("around"))
+        # written, so that the words around are cut once for all runs in them
+        out, _ = written(found, "compared")
+        dropped(self.docs.sparkSession, path)
+        return out
+
     def drop(self) -> None:
         dropped(self.docs.sparkSession, self.path)
 
 
 def phrase_matches(index: Index) -> DataFrame:
     """d, start, w, len: every place of every window in the documents."""
-    distinct = index.windows.select("w", "words").distinct()
-    first = index.postings.join(index.anchors, "term").select("d", (F.col("pos") - F.col("offset")).alias("start"), "w", "len", "other", (F.col("pos") - F.col("offset") + F.col("other_offset")).alias("pos")).where("start >= 0")
-    second = index.postings.select("d", "pos", F.col("term").alias("other")).join(index.anchors.select("other").distinct(), "other", "left_semi")
-    both = first.where("other is not null").join(second, ["d", "pos", "other"]).unionByName(first.where("other is null")).select("d", "start", "w", "len")
-    starts, _ = written(both.distinct(), "window-starts")
-    # the documents with starts grow with the corpus: sort and merge at every size, never a broadcast
-    texts = index.docs.join(starts.select("d").distinct().hint("merge"), "d", "left_semi").select("d", words_of(F.col("text")).alias("all"))
-    found = starts.join(distinct, "w").join(texts.hint("merge"), "d").where(F.slice("all", F.col("start") + 1, F.col("len")) == F.col("words")).select("d", "start", "w", "len")
-    return written(found.distinct(), "phrases")[0]
+    return index.compared.where("len is not null").select("d", F.col("at").alias("start"), "w", "len")
 
 
 def proximity_matches(index: Index) -> DataFrame:
@@ -129,18 +167,11 @@ def proximity_matches(index: Index) -> DataFrame:
     if index.reach is None:
         raise ValueError("an index for proximity matches is made with `slack`")
     missing, windows, reach = index.missing, index.windows, index.reach
-    distinct = windows.select("w", F.array_distinct("words").alias("terms")).distinct().where(F.size("terms") > missing + 1)
-    lacking = F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not("around")))
-    near, near_path = written(index.postings.join(index.near, "term").where(lacking <= missing).select("w", "d", "pos"), "near")
-    texts = index.docs.join(near.select("d").distinct().hint("merge"), "d", "left_semi").select("d", words_of(F.col("text")).alias("all"))
-    low = F.greatest(F.lit(0), F.col("pos") - reach + 1)
-    told = near.join(distinct, "w").join(texts.hint("merge"), "d").select("d", "w", "terms", low.alias("low"), (F.col("pos") - low).alias("last"), F.slice("all", low + 1, F.col("pos") - low + reach).alias("around"))
-    told = told.where(F.size(F.array_intersect("around", "terms")) >= F.size("terms") - missing)
-    shared = lambda s: F.size(F.array_intersect(F.slice("around", s + 1, reach), F.col("terms")))
-    runs = told.select("d", "w", F.size("terms").alias("n"), F.array_max(F.transform(F.sequence(F.lit(0), F.col("last")), lambda s: F.struct(shared(s).alias("n_terms"), (-s - F.col("low")).alias("back")))).alias("run"))
+    shared = lambda s: F.size(F.array_remove(F.array_distinct(F.slice("around", s + 1, reach)), 0))
+    told = index.compared.where((F.col("n") > missing + 1) & F.col("len").isNull())
+    runs = told.select("d", "w", "n", F.array_max(F.transform(F.sequence(F.lit(0), F.col("at") - F.col("low")), lambda s: F.struct(shared(s).alias("n_terms"), (-s - F.col("low")).alias("back")))).alias("run"))
     best = runs.where(F.col("run.n_terms") >= F.col("n") - missing).groupBy("d", "w").agg(F.max("run").alias("run"))
     found, _ = written(best.join(windows.select("w", "item_id"), "w").select("d", "item_id", "w", (-F.col("run.back")).alias("start"), "run.n_terms"), "proximities")
-    dropped(index.docs.sparkSession, near_path)
     return found
 
 
@@ -157,6 +188,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.drop("n_words", "n_hit", "items", "contaminated", "near_items").withColumn("_d", F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("v")))
+    counted = rows.withColumn("n_words", F.size(words_of(F.col("text"))).cast("long"))  # before the joins, so that they need no texts
     keyed = rows.select(F.col("_d").alias("d"), text.alias("text"))
     index = Index(keyed, benchmark, window, slack)
     found, windows = phrase_matches(index), index.windows
@@ -166,7 +198,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     kind = benchmark.schema["item_id"].dataType.simpleString()
     if slack is not None:
         near = proximity_matches(index).groupBy(F.col("d").alias("_d")).agg(F.collect_set("item_id").alias("near_items"))
-        rows = rows.join(near, "_d", "left").withColumn("near_items", F.coalesce("near_items", F.expr(f"cast(array() as array<{kind}>)")))
+        counted = counted.join(near, "_d", "left").withColumn("near_items", F.coalesce("near_items", F.expr(f"cast(array() as array<{kind}>)")))
     index.drop()
-    out = rows.withColumn("n_words", F.size(words_of(F.col("text"))).cast("long")).join(both, "_d", "left").drop("_d")
+    out = counted.join(both, "_d", "left").drop("_d")
     return out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.expr(f"cast(array() as array<{kind}>)")), "contaminated": F.coalesce("n_hit", F.lit(0)) > 0})
