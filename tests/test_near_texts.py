@@ -93,7 +93,7 @@ def test_no_texts(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-@pytest.mark.parametrize("name", ["set_near_dup_components"])
+@pytest.mark.parametrize("name", ["set_near_dup_components", "join_near_dup_pairs"])
 def test_no_row_is_moved_for_each_shingle(spark, name):
     def written():
         found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
